@@ -1,8 +1,8 @@
 """Registered queries over the given tables, with check SQL where it exists."""
 
-from cumulo.catalog import geometry
+from cumulo.catalog import geometry, sets
 
-MODULES = (geometry,)
+MODULES = (geometry, sets)
 
 
 def all_queries() -> dict:

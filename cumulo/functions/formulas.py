@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 FLOOR = 1e-12
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A plain column referenced inside a lambda is computed again per element once
+    the optimizer merges projections; a lambda argument is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def square(value: Column) -> Column:
     return value * value
 

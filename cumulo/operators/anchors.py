@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.functions.formulas import square, squared_distance
+from cumulo.functions.formulas import let, square, squared_distance
 from cumulo.operators.ranking import quantiles
 
 # Up to this size the K distances are unrolled into generated code.
@@ -77,7 +77,7 @@ def _per_slot_minimum(met: DataFrame, size: int | None, keys: Sequence[str], ext
 
 
 def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+    return total(values) / F.size(values)
 
 
 def set_quality(points: DataFrame, anchors: DataFrame, size: int | None = None, keys: Sequence[str] = KEY) -> DataFrame:
@@ -134,10 +134,9 @@ def repulsion(anchors: DataFrame, margin: float = 0.1, keys: Sequence[str] = KEY
     """Mean hinge ``max(margin^2 - d^2, 0)`` over the K x K pairs; the diagonal adds nothing."""
     hinge = F.transform("anchors", lambda a, i: F.aggregate(
         _others(F.col("anchors"), i), F.lit(0.0),
-        lambda total, b: total + F.greatest(F.lit(margin * margin) - _between(a, b), F.lit(0.0)),
+        lambda so_far, b: so_far + F.greatest(F.lit(margin * margin) - _between(a, b), F.lit(0.0)),
     ))
-    total = F.aggregate(hinge, F.lit(0.0), lambda s, v: s + v)
-    return anchor_rows(anchors, keys).select(*keys, (total / (F.col("k") * F.col("k"))).alias("repulsion"))
+    return anchor_rows(anchors, keys).select(*keys, (total(hinge) / (F.col("k") * F.col("k"))).alias("repulsion"))
 
 
 def set_loss(points: DataFrame, anchors: DataFrame, *, size: int | None = None, surface_weight: float = 0.1,
@@ -162,20 +161,22 @@ def tail_distances(points: DataFrame, anchors: DataFrame, size: int | None = Non
     return tails.join(pooled.groupBy("cloud_id").agg(F.max("d").alias("hausdorff")), "cloud_id")
 
 
-def softmax_weights(temperature: float) -> Column:
-    """Share of a point given to each anchor: softmax of -d^2 / temperature."""
-    low = F.array_min("d2s")
-    raw = F.transform("d2s", lambda d: F.exp((low - d) / F.lit(temperature)))
-    return raw
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def softmax(scores: Column) -> Column:
+    """Normalized exponentials of an array, shifted by its maximum."""
+    def raised(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
+
+    return let(scores, lambda values: let(raised(values), lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))))
 
 
 def responsibilities(points: DataFrame, anchors: DataFrame, temperature: float, size: int | None = None) -> DataFrame:
     """Points with the array ``share`` of soft assignments (sums to one)."""
-    met = with_distances(points, anchors, size).withColumn("_raw", softmax_weights(temperature))
-    total = F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("_total", total).withColumn(
-        "share", F.transform("_raw", lambda v: v / F.col("_total"))
-    ).drop("_raw", "_total")
+    met = with_distances(points, anchors, size)
+    return met.withColumn("share", softmax(F.transform("d2s", lambda d: -d / F.lit(temperature))))
 
 
 def mass_imbalance(points: DataFrame, anchors: DataFrame, temperature: float = 0.05, size: int | None = None) -> DataFrame:
@@ -194,9 +195,9 @@ def soft_means(points: DataFrame, anchors: DataFrame, temperature: float, size:
     """One soft k-means step: responsibility-weighted mean of the points per anchor."""
     soft = responsibilities(points, anchors, temperature, size)
     spread = soft.select("cloud_id", "x", "y", "z", F.posexplode("share").alias("slot", "w"))
-    total = F.greatest(F.sum("w"), F.lit(1e-8))
+    whole = F.greatest(F.sum("w"), F.lit(1e-8))
     return spread.groupBy("cloud_id", "slot").agg(
-        *[(F.sum(F.col("w") * F.col(a)) / total).alias(a) for a in ("x", "y", "z")], F.sum("w").alias("mass")
+        *[(F.sum(F.col("w") * F.col(a)) / whole).alias(a) for a in ("x", "y", "z")], F.sum("w").alias("mass")
     )
 
 
@@ -225,7 +226,7 @@ def density_aware_chamfer(points: DataFrame, anchors: DataFrame, temperature: fl
         "back", F.transform("d2s", lambda d, i: F.exp((F.get("low", i) - d) / tau) / F.get("norm", i))
     ).withColumn("affinity", F.transform("d2s", lambda d: F.exp(-d / tau)))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    occupancy = F.aggregate("back", F.lit(0.0), lambda s, v: s + v)
+    occupancy = total(F.col("back"))
     full = full.withColumn("_point_discount", F.lit(1.0) / (F.lit(1.0) + square(occupancy / (k / n) - F.lit(1.0))))
     spread = full.select(
         "cloud_id", "n", "k", F.posexplode(F.arrays_zip("share", "back", "affinity")).alias("slot", "m"), "_point_discount"
