@@ -1,8 +1,8 @@
 """Registered queries over the given tables, with check SQL where it exists."""
 
-from cumulo.catalog import geometry, sets
+from cumulo.catalog import geometry, results, sets
 
-MODULES = (geometry, sets)
+MODULES = (geometry, sets, results)
 
 
 def all_queries() -> dict:

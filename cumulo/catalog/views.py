@@ -166,3 +166,21 @@ rate AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'validation' ELSE
   CAST((year(l_shipdate) - 1994) * 4 AS INTEGER) AS constellation_size,
   sqrt(avg(l_tax) + CAST(0.001 AS DOUBLE)) AS chamfer_rmse
   FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY ALL)"""
+
+
+def stability_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Factorial rows with a split (cloud parity) and a method (return flag)."""
+    return table(spark, folder, "lineitem").groupBy(
+        F.when(F.col("l_linestatus") == "F", "baseline").otherwise("stabilized").alias("arm"),
+        F.col("l_linenumber").cast("int").alias("decoder_seed"), (F.year("l_shipdate") % 3).cast("int").alias("refiner_seed"),
+        F.when(F.col("l_suppkey") % 2 == 0, "validation").otherwise("ood").alias("split"),
+        F.when(F.col("l_returnflag") == "A", "fps").otherwise("refiner").alias("method"),
+        F.col("l_suppkey").cast("string").alias("model_id"),
+    ).agg((F.avg(F.col("l_tax") + F.lit(0.0)) + F.lit(0.001)).alias("chamfer_mse"))
+
+
+STABILITY_CTES = """
+stb AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'stabilized' END AS arm, l_linenumber AS decoder_seed,
+  CAST(year(l_shipdate) % 3 AS INTEGER) AS refiner_seed, CASE WHEN l_suppkey % 2 = 0 THEN 'validation' ELSE 'ood' END AS split,
+  CASE WHEN l_returnflag = 'A' THEN 'fps' ELSE 'refiner' END AS method, CAST(l_suppkey AS VARCHAR) AS model_id,
+  avg(l_tax) + CAST(0.001 AS DOUBLE) AS chamfer_mse FROM lineitem GROUP BY ALL)"""
