@@ -1,8 +1,8 @@
 """Registered queries over the given tables, with check SQL where it exists."""
 
-from cumulo.catalog import geometry, results, sets
+from cumulo.catalog import geometry, results, sets, surfaces
 
-MODULES = (geometry, sets, results)
+MODULES = (geometry, sets, results, surfaces)
 
 
 def all_queries() -> dict:

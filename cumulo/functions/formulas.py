@@ -69,7 +69,7 @@ def radical_inverse(index: Column, base: int, digits: int = 48) -> Column:
     )
     return F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(digits), F.ceil(
-            F.log(F.lit(float(base)), index + F.lit(1.0))).cast("int") + F.lit(1)))),
+            F.log(float(base), index + F.lit(1.0))).cast("int") + F.lit(1)))),
         start,
         lambda state, _: F.struct(
             F.floor(state["rest"] / F.lit(base)).cast("bigint").alias("rest"),

@@ -57,7 +57,7 @@ def running_start(blocks: DataFrame, keys: Sequence[str], index: str, value: str
     def before(partition: list[str], order: str):
         return F.coalesce(F.sum("_t").over(
             Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        ), F.lit(0.0))
+        ), F.lit(0))
 
     level1 = placed.groupBy(*keys, "_l2", "_l1").agg(F.sum(value).alias("_t"))
     level2 = level1.groupBy(*keys, "_l2").agg(F.sum("_t").alias("_t"))
@@ -72,35 +72,39 @@ def sample_surface(geometry: DataFrame, count: int, *, seed: object = 0, roles:
                    split: Column | None = None) -> DataFrame:
     """``count`` area-weighted points per mesh and role, with face normals.
 
-    Faces are packed in blocks of 64. A draw finds its block through an interval
-    join bucketed on the draw's share of the area, then its face inside the one
-    block row: no draw ever meets more than a few rows.
+    Areas become whole-number weights out of 2^60, so running sums are exact in
+    any order and every draw falls into exactly one face. Faces are packed in
+    blocks of 64; a draw finds its block through an interval join bucketed on its
+    share of the weight, then its face inside that one block row.
     """
-    packed = geometry.groupBy("mesh_id", F.floor(F.col("face_ix") / BLOCK).alias("block")).agg(
-        F.sum("double_area").alias("block_area"), F.array_sort(F.collect_list(F.struct("face_ix", "double_area"))).alias("faces")
+    area = geometry.groupBy("mesh_id").agg(F.sum("double_area").alias("area"))
+    weighed = geometry.select("mesh_id", "face_ix", "double_area").join(area, "mesh_id").select(
+        "mesh_id", "face_ix", F.rint(F.col("double_area") / F.col("area") * F.lit(float(2**60))).cast("bigint").alias("weight")
+    )
+    packed = weighed.groupBy("mesh_id", F.floor(F.col("face_ix") / BLOCK).alias("block")).agg(
+        F.sum("weight").alias("block_weight"), F.array_sort(F.collect_list(F.struct("face_ix", "weight"))).alias("faces")
+    )
+    totals = packed.groupBy("mesh_id").agg(F.sum("block_weight").alias("total"), F.count(F.lit(1)).alias("blocks"))
+    placed = running_start(packed, ["mesh_id"], "block", "block_weight", "low").join(totals, "mesh_id")
+
+    def bucket(position: Column) -> Column:
+        return F.floor(position / F.col("total") * F.col("blocks"))
+
+    placed = placed.withColumn("high", F.col("low") + F.col("block_weight")).withColumn(
+        "bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high"))))
     )
-    totals = packed.groupBy("mesh_id").agg(F.sum("block_area").alias("area"), F.count(F.lit(1)).alias("blocks"))
-    placed = running_start(packed, ["mesh_id"], "block", "block_area", "low").join(totals, "mesh_id")
-    share = F.col("blocks") / F.col("area")
-    last = F.col("blocks") - 1
-    placed = placed.withColumn("high", F.col("low") + F.col("block_area")).withColumn("bucket", F.explode(F.sequence(
-        F.least(F.floor(F.col("low") * share), last), F.least(F.floor(F.col("high") * share) + 1, last)
-    )))
     keyed = [seed] + ([split] if split is not None else []) + [F.col("mesh_id"), F.col("role"), F.col("draw")]
     draws = totals.withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles]))).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    ).withColumn("at", hash_uniform(*keyed, "face") * F.col("area")).withColumn("bucket", F.least(F.floor(F.col("at") * share), last))
+    ).withColumn("at", (hash_uniform(*keyed, "face") * F.col("total")).cast("bigint")).withColumn("bucket", bucket(F.col("at")))
     found = draws.select("mesh_id", "role", "draw", "at", "bucket").join(
         placed.select("mesh_id", "bucket", "low", "high", "faces"), ["mesh_id", "bucket"]
     ).filter((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
-    walk = F.aggregate(
-        "faces", F.struct(F.col("low").alias("sum"), F.lit(None).cast("int").alias("face")),
-        lambda state, f: F.struct(
-            (state["sum"] + f["double_area"]).alias("sum"),
-            F.coalesce(state["face"], F.when(F.col("at") < state["sum"] + f["double_area"], f["face_ix"])).alias("face"),
-        ),
-        lambda state: F.coalesce(state["face"], F.element_at("faces", -1)["face_ix"]),
-    )
+    begin = F.struct(F.col("at").alias("at"), F.col("low").alias("sum"), F.lit(None).cast("int").alias("face"))
+    walk = F.aggregate("faces", begin, lambda state, f: F.struct(
+        state["at"].alias("at"), (state["sum"] + f["weight"]).alias("sum"),
+        F.coalesce(state["face"], F.when(state["at"] < state["sum"] + f["weight"], f["face_ix"].cast("int"))).alias("face"),
+    ), lambda state: state["face"])
     chosen = found.select("mesh_id", "role", "draw", walk.alias("face_ix"))
     first, second = F.sqrt(hash_uniform(*keyed, "first")), hash_uniform(*keyed, "second")
     weighted = chosen.join(geometry, ["mesh_id", "face_ix"]).withColumns({"_f": first, "_s": second})
