@@ -126,4 +126,4 @@ def metric_logs(spark: SparkSession, folder: str) -> DataFrame:
     lines = [F.concat(F.lit(f"   {label}  ({kind}): "), F.round("c_acctbal", 2).cast("string"), F.lit("\n")) for label, kind in LOG_METRICS.values()]
     read, _ = metrics_from_text(rows.select(F.col("c_custkey").cast("bigint").alias("log"), F.concat(*lines).alias("value")))
     total = read.agg(F.count(F.lit(1)).alias("logs")).withColumn("_k", F.lit(1))
-    return read.select("log", (F.col("d1_mse") + F.lit(0.0)).alias("d1_mse"), F.lit(1).alias("_k")).join(total, "_k").drop("_k")
+    return read.select("log", (F.col("d1_mse") + F.lit(0.0)).alias("d1_mse"), F.lit(1).alias("_k")).join(F.broadcast(total), "_k").drop("_k")

@@ -78,3 +78,12 @@ def radical_inverse(index: Column, base: int, digits: int = 48) -> Column:
         ),
         lambda state: state["total"],
     )
+
+
+def square_grid(count: int) -> Column:
+    """Array of (u, v): the first ``count`` points of the smallest even grid over [-1, 1]."""
+    side = math.ceil(math.sqrt(count))
+    at = lambda i: F.lit(-1.0) + i.cast("double") * F.lit(2.0 / max(side - 1, 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
+        at(F.floor(i / F.lit(side))).alias("u"), at(F.pmod(i, F.lit(side))).alias("v")
+    ))

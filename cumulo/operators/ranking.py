@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cumulo.operators.grouping import GROUP_BOUND, by_size
 from cumulo.session import cut_lineage
 
+# Rows per window level when folding along an index.
+LEVEL = 4096
+
 # Spark trims row_number() <= k before the shuffle up to this k.
 TRIMMED_LIMIT = 1000
 
@@ -133,3 +136,32 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, tie: str, probabil
         lambda d: spread_quantiles(d, keys, value, tie, probabilities, names),
         sized=sized, bound=bound, key=keys[0],
     )
+
+
+def fold_before(df: DataFrame, keys: Sequence[str], index: str, value: str, name: str,
+                fold: Callable[[Column], Column]) -> DataFrame:
+    """Fold (``F.sum``, ``F.min``, ``F.max``) of all earlier rows by a whole-number index.
+
+    Works in three levels of windows over at most 4096 index values each, so one
+    long key is spread over many tasks. The first row of a key gets NULL.
+    """
+    keys = list(keys)
+    placed = df.withColumn("_l1", F.floor(F.col(index) / LEVEL)).withColumn("_l2", F.floor(F.col(index) / (LEVEL * LEVEL)))
+
+    def before(partition: list[str], order: str, column: str) -> Column:
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return fold(F.col(column)).over(window)
+
+    level1 = placed.groupBy(*keys, "_l2", "_l1").agg(fold(F.col(value)).alias("_t"))
+    level2 = level1.groupBy(*keys, "_l2").agg(fold(F.col("_t")).alias("_t"))
+    level2 = level2.withColumn("_s2", before(keys, "_l2", "_t")).drop("_t")
+    level1 = level1.withColumn("_s1", before([*keys, "_l2"], "_l1", "_t")).drop("_t")
+    inside = placed.withColumn("_s0", before([*keys, "_l2", "_l1"], index, value))
+    joined = inside.join(level1, [*keys, "_l2", "_l1"]).join(level2, [*keys, "_l2"])
+    parts = [F.col("_s2"), F.col("_s1"), F.col("_s0")]
+    if fold is F.sum:
+        some = F.coalesce(*parts).isNotNull()
+        total = F.when(some, sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+    else:
+        total = F.array_min(F.array(*parts)) if fold is F.min else F.array_max(F.array(*parts))
+    return joined.withColumn(name, total).drop("_l1", "_l2", "_s0", "_s1", "_s2")

@@ -16,7 +16,7 @@ from cumulo.functions.hashing import hash_index, hash_normal
 from cumulo.functions.lattice import snap
 from cumulo.operators.anchors import chamfer
 from cumulo.operators.farthest import farthest_points
-from cumulo.operators.ranking import rank_in_group, top_per_key
+from cumulo.operators.ranking import fold_before, rank_in_group
 from cumulo.operators.sampling import multi_start
 from cumulo.session import cut_lineage
 
@@ -167,9 +167,9 @@ def subset_mutation_search(points: DataFrame, start: DataFrame, score: Score, *,
 
 
 def running_best(losses: DataFrame, keys: Sequence[str], order: str, loss: str = "loss") -> DataFrame:
-    """Best loss so far along each stored search history."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return losses.withColumn("best_loss", F.min(loss).over(window))
+    """Best loss so far along each stored search history; ``order`` is a whole number."""
+    folded = fold_before(losses, keys, order, loss, "_before", F.min)
+    return folded.withColumn("best_loss", F.least("_before", loss)).drop("_before")
 
 
 def search_curve(history: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import square
 from cumulo.functions.hashing import hash_uniform
+from cumulo.operators.ranking import fold_before
 
 AXES = ("x", "y", "z")
 BLOCK = 64
-LEVEL = 4096
 
 
 def assemble(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -49,25 +49,6 @@ def flat_meshes(faces: DataFrame, geometry: DataFrame) -> DataFrame:
     )
 
 
-def running_start(blocks: DataFrame, keys: Sequence[str], index: str, value: str, name: str) -> DataFrame:
-    """Sum of all earlier rows' ``value`` by ``index``, in three levels of bounded windows."""
-    keys = list(keys)
-    placed = blocks.withColumn("_l1", F.floor(F.col(index) / LEVEL)).withColumn("_l2", F.floor(F.col(index) / (LEVEL * LEVEL)))
-
-    def before(partition: list[str], order: str):
-        return F.coalesce(F.sum("_t").over(
-            Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        ), F.lit(0))
-
-    level1 = placed.groupBy(*keys, "_l2", "_l1").agg(F.sum(value).alias("_t"))
-    level2 = level1.groupBy(*keys, "_l2").agg(F.sum("_t").alias("_t"))
-    level2 = level2.withColumn("_s2", before(keys, "_l2")).drop("_t")
-    level1 = level1.withColumn("_s1", before([*keys, "_l2"], "_l1")).drop("_t", "_l2")
-    inside = placed.withColumn("_t", F.col(value)).withColumn("_s0", before([*keys, "_l1"], index)).drop("_t")
-    joined = inside.join(level1, [*keys, "_l1"]).join(level2, [*keys, "_l2"])
-    return joined.withColumn(name, F.col("_s0") + F.col("_s1") + F.col("_s2")).drop("_l1", "_l2", "_s0", "_s1", "_s2")
-
-
 def sample_surface(geometry: DataFrame, count: int, *, seed: object = 0, roles: Sequence[str] = ("source", "target"),
                    split: Column | None = None) -> DataFrame:
     """``count`` area-weighted points per mesh and role, with face normals.
@@ -85,7 +66,9 @@ def sample_surface(geometry: DataFrame, count: int, *, seed: object = 0, roles:
         F.sum("weight").alias("block_weight"), F.array_sort(F.collect_list(F.struct("face_ix", "weight"))).alias("faces")
     )
     totals = packed.groupBy("mesh_id").agg(F.sum("block_weight").alias("total"), F.count(F.lit(1)).alias("blocks"))
-    placed = running_start(packed, ["mesh_id"], "block", "block_weight", "low").join(totals, "mesh_id")
+    placed = fold_before(packed, ["mesh_id"], "block", "block_weight", "low", F.sum).join(totals, "mesh_id").withColumn(
+        "low", F.coalesce("low", F.lit(0))
+    )
 
     def bucket(position: Column) -> Column:
         return F.floor(position / F.col("total") * F.col("blocks"))

@@ -40,12 +40,13 @@ def cross_axes(spark: SparkSession, axes: dict[str, Sequence], primary: dict[str
 def grid_of(rows: DataFrame, design: Sequence[str], unit: str) -> DataFrame:
     """Complete design x unit grid of stored rows.
 
-    The design levels are few and travel as one array; units stay distributed.
+    The design levels are one row of short arrays and are broadcast; units stay
+    distributed.
     """
     levels = rows.select(F.lit(1).alias("_k"), F.struct(*design).alias("_d")).distinct().groupBy("_k").agg(
         *[F.collect_set(F.col(f"_d.{c}")).alias(c) for c in design]
     )
-    units = rows.select(unit, F.lit(1).alias("_k")).distinct().join(levels, "_k").drop("_k")
+    units = rows.select(unit, F.lit(1).alias("_k")).distinct().join(F.broadcast(levels), "_k").drop("_k")
     for column in design:
         units = units.withColumn(column, F.explode(column))
     return units.select(*design, unit)
