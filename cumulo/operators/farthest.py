@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cumulo.functions.formulas import squared_distance
 from cumulo.functions.lattice import snap
 from cumulo.operators.anchors import assign
-from cumulo.operators.grouping import by_size
+from cumulo.operators.grouping import by_size, per_cloud
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
@@ -32,25 +32,20 @@ def _schema(points: DataFrame) -> T.StructType:
 
 
 def _in_task(points: DataFrame, size: int) -> DataFrame:
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        xyz = rows[list(AXES)].to_numpy(dtype=np.float64)
-        x, y, z = xyz.T
-        weight = rows["_weight"].to_numpy()
-        nearest = np.full(len(rows), np.inf)
-        current = int(rows["_start"].to_numpy().argmax())
+    def pick(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("point_id").to_numpy(), kind="stable")
+        x, y, z, start, weight = (rows.column(c).to_numpy()[order] for c in ("x", "y", "z", "_start", "_weight"))
+        nearest = np.full(len(order), np.inf)
+        current = int(start.argmax())
         chosen = []
-        for _ in range(min(size, len(rows))):
+        for _ in range(min(size, len(order))):
             chosen.append(current)
-            ax, ay, az = xyz[current]
-            nearest = np.minimum(nearest, (x - ax) ** 2 + (y - ay) ** 2 + (z - az) ** 2)
+            nearest = np.minimum(nearest, (x - x[current]) ** 2 + (y - y[current]) ** 2 + (z - z[current]) ** 2)
             current = int((nearest * weight).argmax())
-        taken = rows.iloc[chosen]
-        return taken.assign(slot=np.arange(len(chosen), dtype=np.int32))[
-            ["cloud_id", "slot", "point_id", *AXES]
-        ]
+        taken = rows.select(["cloud_id", "point_id", "x", "y", "z"]).take(pa.array(order[chosen]))
+        return taken.add_column(1, "slot", pa.array(range(len(chosen)), pa.int32()))
 
-    return points.groupBy("cloud_id").applyInPandas(pick, _schema(points))
+    return per_cloud(points, pick, _schema(points))
 
 
 def _farthest_row(points: DataFrame, priority: Column, *more: Column) -> DataFrame:

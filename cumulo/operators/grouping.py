@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_BOUND = 20_000
 
@@ -19,6 +21,16 @@ def cloud_sizes(points: DataFrame, key: str = "cloud_id") -> DataFrame:
     return points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def per_cloud(rows: DataFrame, task: Callable[[pa.Table], pa.Table], schema: T.StructType, key: str = "cloud_id") -> DataFrame:
+    """Run ``task`` on each (small) group as an Arrow table.
+
+    The explicit partition count keeps adaptive coalescing, which sees bytes and
+    not the cost of the task, from piling all groups onto one core.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).groupBy(key).applyInArrow(task, schema)
+
+
 def by_size(
     points: DataFrame,
     grouped: Callable[[DataFrame], DataFrame],

@@ -33,7 +33,7 @@ def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations:
 
     def solve(cloud: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if cloud.empty or chosen.empty:
-            return pd.DataFrame({"cloud_id": [], "potential": []})
+            return pd.DataFrame({"cloud_id": [], "potential": []}, dtype=object)
         a = chosen.sort_values("slot")[["x", "y", "z"]].to_numpy()
         p = cloud[["x", "y", "z"]].to_numpy()
         kernel = -((a[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) / epsilon
@@ -42,7 +42,7 @@ def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations:
         for _ in range(iterations):
             u = row_mass - lse(kernel + v[None, :], 1)
             v = column_mass - lse(kernel + u[:, None], 0)
-        return pd.DataFrame({"cloud_id": [cloud["cloud_id"].iloc[0]], "potential": [u]})
+        return pd.DataFrame({"cloud_id": [cloud["cloud_id"].iloc[0]], "potential": [u.tolist()]})
 
     return points.select("cloud_id", *AXES).groupBy("cloud_id").cogroup(
         anchors.select("cloud_id", "slot", *AXES).groupBy("cloud_id")

@@ -184,8 +184,8 @@ def association(units: DataFrame, keys: Sequence[str], first: str, second: str)
     ranked = average_ranks(average_ranks(units, keys, first, "_ra"), keys, second, "_rb")
 
     def guarded(a: str, b: str) -> Column:
-        flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0) | (F.count(F.lit(1)) < 2)
-        return F.when(~flat, F.corr(a, b))
+        # corr() itself divides by zero on a constant side.
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), guarded("_ra", "_rb").alias("spearman"), guarded(first, second).alias("pearson")

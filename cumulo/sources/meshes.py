@@ -56,7 +56,7 @@ def uneven_categories(catalog: DataFrame) -> DataFrame:
 
 
 def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return read.select(F.col("_metadata.file_path").alias("path"), "value").select(
         F.regexp_replace(_relative(root), "^file:", "").alias("mesh_id"), "value"
     )
