@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import let, square, squared_distance
+from cumulo.operators.grouping import attach
 from cumulo.operators.ranking import quantiles
 
 # Up to this size the K distances are unrolled into generated code.
@@ -41,7 +42,7 @@ def distance_array(size: int | None) -> Column:
 def with_distances(points: DataFrame, anchors: DataFrame, size: int | None, keys: Sequence[str] = KEY) -> DataFrame:
     """Points with ``k``, ``anchors`` and ``d2s``. Points are matched on ``cloud_id``;
     further ``keys`` tell several sets of one cloud apart."""
-    return points.join(anchor_rows(anchors, keys), "cloud_id").withColumn("d2s", distance_array(size))
+    return attach(points, anchor_rows(anchors, keys)).withColumn("d2s", distance_array(size))
 
 
 def nearest_slot(dists: Column = None) -> Column:
@@ -214,13 +215,14 @@ def density_aware_chamfer(points: DataFrame, anchors: DataFrame, temperature: fl
     low = met.select("cloud_id", F.posexplode("d2s").alias("slot", "d")).groupBy("cloud_id", "slot").agg(F.min("d").alias("low"))
     low = low.groupBy("cloud_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "low"))), lambda s: s["low"]).alias("low"))
     norm = (
-        met.join(low, "cloud_id")
+        attach(met, low, sized=points)
         .select("cloud_id", F.posexplode(F.zip_with("d2s", "low", lambda d, l: F.exp((l - d) / tau))).alias("slot", "e"))
         .groupBy("cloud_id", "slot").agg(F.sum("e").alias("e"))
         .groupBy("cloud_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "e"))), lambda s: s["e"]).alias("norm"))
     )
     size_of = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
-    full = responsibilities(points, anchors, temperature, size).join(low, "cloud_id").join(norm, "cloud_id").join(size_of, "cloud_id")
+    constants = low.join(norm, "cloud_id").join(size_of, "cloud_id")
+    full = attach(responsibilities(points, anchors, temperature, size), constants, sized=points)
     # share: point -> anchor softmax; back: anchor -> point softmax of this point.
     full = full.withColumn(
         "back", F.transform("d2s", lambda d, i: F.exp((F.get("low", i) - d) / tau) / F.get("norm", i))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cumulo.functions.formulas import squared_distance
 from cumulo.functions.lattice import snap
 from cumulo.operators.anchors import assign
-from cumulo.operators.grouping import by_size, per_cloud
+from cumulo.operators.grouping import attach, by_size, per_cloud
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
@@ -58,6 +58,7 @@ def _farthest_row(points: DataFrame, priority: Column, *more: Column) -> DataFra
 
 def _spread(points: DataFrame, size: int) -> DataFrame:
     """One fold over the points per round; only the chosen anchors are carried."""
+    counted = points.select("cloud_id")
     points = points.withColumn("_near", F.lit(float("inf")))
     chosen = _farthest_row(points, F.col("_start")).select("cloud_id", F.array("next").alias("done"))
     pending = 0
@@ -67,7 +68,7 @@ def _spread(points: DataFrame, size: int) -> DataFrame:
         near = F.least("_near", F.array_min(F.transform(recent, lambda a: squared_distance(
             F.col("x"), F.col("y"), F.col("z"), a["x"], a["y"], a["z"]
         ))))
-        met = points.join(chosen, "cloud_id").withColumn("_now", near)
+        met = attach(points, chosen, sized=counted).withColumn("_now", near)
         # The chosen list rides through the fold, so each round reads its predecessor once.
         picked = _farthest_row(met, F.col("_now") * F.col("_weight"), F.any_value("done").alias("done"))
         extended = picked.select("cloud_id", F.concat("done", F.array("next")).alias("done"))
@@ -100,7 +101,7 @@ def farthest_points(points: DataFrame, size: int, *, bound: int | None = None) -
     (cloud, slot) with the chosen ``point_id`` and coordinates.
     """
     centre = points.groupBy("cloud_id").agg(*[F.avg(a).alias(f"_c{a}") for a in AXES])
-    placed = points.join(centre, "cloud_id")
+    placed = attach(points, centre)
     start = squared_distance(*[F.col(a) for a in AXES], *[F.col(f"_c{a}") for a in AXES])
     return _pick(placed, size, start, F.lit(1.0), bound)
 

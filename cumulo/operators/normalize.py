@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import square
+from cumulo.operators.grouping import attach
 
 
 def _shift(points: DataFrame, origin: DataFrame, key: str) -> DataFrame:
-    return points.join(origin, key).select(
+    return attach(points, origin, key).select(
         *[c for c in points.columns if c not in ("x", "y", "z")],
         (F.col("x") - F.col("_ox")).alias("x"),
         (F.col("y") - F.col("_oy")).alias("y"),
@@ -23,8 +24,8 @@ def _radius(points: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).agg(F.max(reach).alias("_radius"))
 
 
-def _scale(points: DataFrame, radius: DataFrame, key: str) -> DataFrame:
-    scaled = points.join(radius, key)
+def _scale(points: DataFrame, radius: DataFrame, key: str, sized: DataFrame) -> DataFrame:
+    scaled = attach(points, radius, key, sized=sized)
     for axis in ("x", "y", "z"):
         scaled = scaled.withColumn(axis, F.col(axis) / F.col("_radius"))
     return scaled.drop("_radius")
@@ -38,7 +39,7 @@ def center_unit_radius(points: DataFrame, key: str = "cloud_id") -> DataFrame:
     origin = points.groupBy(key).agg(F.avg("x").alias("_ox"), F.avg("y").alias("_oy"), F.avg("z").alias("_oz"))
     shifted = _shift(points, origin, key)
     radius = _radius(shifted, key).withColumn("_radius", F.greatest("_radius", F.lit(1e-8)))
-    result = _scale(shifted, radius, key)
+    result = _scale(shifted, radius, key, points)
     if "nx" in points.columns:
         length = F.greatest(
             F.sqrt(square(F.col("nx")) + square(F.col("ny")) + square(F.col("nz"))), F.lit(1e-8)
@@ -61,7 +62,7 @@ def box_center_unit_radius(vertices: DataFrame, key: str = "mesh_id") -> tuple[D
     shifted = _shift(vertices, origin, key)
     radius = _radius(shifted, key)
     flat = radius.filter(F.col("_radius") <= 1e-12).select(key, F.lit("mesh has no spatial extent").alias("reason"))
-    result = _scale(shifted, radius.filter(F.col("_radius") > 1e-12), key)
+    result = _scale(shifted, radius.filter(F.col("_radius") > 1e-12), key, vertices)
     return result.select(*vertices.columns), flat
 
 
@@ -71,7 +72,7 @@ def rigid_transform(points: DataFrame, motions: DataFrame, key: str = "cloud_id"
     ``motions`` has one row per cloud: ``r00 .. r22`` and ``tx, ty, tz``. Normals
     are rotated only.
     """
-    joined = points.join(motions, key)
+    joined = attach(points, motions, key)
 
     def turned(row: int, axes: tuple[str, str, str]) -> Column:
         return sum(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import radical_inverse, square
+from cumulo.operators.grouping import attach
 
 AXES = ("x", "y", "z")
 MOMENTS = tuple(f"c{a}{b}" for i, a in enumerate(AXES) for b in AXES[i:])
@@ -83,7 +84,7 @@ def _along(axis: str) -> Column:
 def plane_corners(points: DataFrame, *, max_rmse: float | None = None, key: str = "cloud_id") -> tuple[DataFrame, DataFrame]:
     """Four corners of the principal rectangle of each cloud (corner, x, y, z)."""
     planes, rejected = fit_planes(points, max_rmse=max_rmse, key=key)
-    placed = points.join(planes, key).withColumns({"_a": _along("u"), "_b": _along("v")})
+    placed = attach(points, planes, key).withColumns({"_a": _along("u"), "_b": _along("v")})
     box = placed.groupBy(key).agg(F.min("_a").alias("lu"), F.max("_a").alias("hu"), F.min("_b").alias("lv"), F.max("_b").alias("hv"))
     corners = F.array(*[
         F.struct(F.lit(i).alias("corner"), F.col(a).alias("s"), F.col(b).alias("t"))
@@ -152,4 +153,4 @@ def decode_corners(corners: DataFrame, count: int, key: str = "cloud_id") -> Dat
 def corner_plane_error(points: DataFrame, corners: DataFrame, key: str = "cloud_id") -> DataFrame:
     """RMSE of points to the plane through a cloud's four corners."""
     planes, _ = fit_planes(corners, key=key)
-    return points.join(planes, key).groupBy(key).agg(F.sqrt(F.avg(square(_along("w")))).alias("corner_plane_rmse"))
+    return attach(points, planes, key).groupBy(key).agg(F.sqrt(F.avg(square(_along("w")))).alias("corner_plane_rmse"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cumulo.operators.anchors import softmax, total, with_distances
-from cumulo.operators.grouping import by_size
+from cumulo.operators.grouping import attach, by_size
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
@@ -68,17 +68,17 @@ def _spread(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: i
     eps = F.lit(epsilon)
     met = with_distances(points.select("cloud_id", *AXES), anchors, size).select("cloud_id", "d2s", F.col("k"))
     low = _per_slot(met, F.col("d2s"), F.min).withColumnRenamed("folded", "low")
-    shifted = met.join(low, "cloud_id").select(
+    shifted = attach(met, low, sized=points).select(
         "cloud_id", "low", "k", F.zip_with("d2s", "low", lambda d, l: F.exp((l - d) / eps)).alias("e")
     )
     state = _per_slot(shifted, F.col("e"), F.sum, "low", "k").select(
         "cloud_id", F.zip_with("folded", "low", lambda e, l: l / eps - F.log(e) - F.log(F.col("k").cast("double"))).alias("potential")
     )
     counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
-    met = met.join(counts, "cloud_id")
+    met = attach(met, counts, sized=points)
     for i in range(1, iterations):
         # Column-normalized shares stay below 1/n, so their row sums cannot overflow.
-        shares = _with_share(met.join(state, "cloud_id"), epsilon)
+        shares = _with_share(attach(met, state, sized=points), epsilon)
         state = _per_slot(shares, F.col("share"), F.sum, "potential", "n", "k").select(
             "cloud_id",
             F.zip_with("potential", "folded", lambda u, m: u - F.log(m * F.col("k") / F.col("n"))).alias("potential"),
@@ -106,7 +106,7 @@ def balanced_shares(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0
                     size: int | None = None, bound: int | None = None) -> DataFrame:
     """Points with ``share``: one unit split over anchors, near-equal mass per anchor."""
     state = anchor_potentials(points, anchors, epsilon=epsilon, iterations=iterations, size=size, bound=bound)
-    return _with_share(with_distances(points, anchors, size).join(state, "cloud_id"), epsilon)
+    return _with_share(attach(with_distances(points, anchors, size), state, sized=points), epsilon)
 
 
 def transport_cost(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, iterations: int = 40,
@@ -121,6 +121,6 @@ def transport_plan(points: DataFrame, anchors: DataFrame, **options) -> DataFram
     """Plan entries (cloud_id, slot, point_id, mass); rows sum to 1/K, columns to 1/N."""
     shares = balanced_shares(points, anchors, **options)
     counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
-    return shares.join(counts, "cloud_id").select(
+    return attach(shares, counts, sized=points).select(
         "cloud_id", "point_id", "_n", F.posexplode("share").alias("slot", "share")
     ).select("cloud_id", "slot", "point_id", (F.col("share") / F.col("_n")).alias("mass"))

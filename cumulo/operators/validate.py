@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.operators.grouping import cloud_sizes
+from cumulo.operators.grouping import attach, cloud_sizes
 
 
 def _finite(name: str) -> Column:
@@ -34,7 +34,7 @@ def check_points(points: DataFrame, *, minimum: int = 1, lower: float | None = -
     state = marked.groupBy("cloud_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.count("reason").alias("_bad")
     )
-    judged = marked.join(state, "cloud_id").withColumn(
+    judged = attach(marked, state).withColumn(
         "reason",
         F.coalesce(
             F.col("reason"),

@@ -240,3 +240,20 @@ def test_roles(spark):
     frame = spark.createDataFrame([("c", "source", 1), ("c", "target", 2)], "cloud_id string, role string, v int")
     assert {(r.role, r.v) for r in pick_role(frame, "source").collect()} == {("source", 1), ("target", 1), ("fresh", 2)}
     assert {(r.role, r.v) for r in pick_role(frame, "independent").collect()} == {("source", 1), ("target", 2), ("fresh", 2)}
+
+
+def test_hot_keys_are_sliced_and_nothing_is_lost(spark, monkeypatch):
+    import cumulo.operators.grouping as grouping
+    frame = clouds(spark, random_clouds({"hot": 300, "cold": 20}))
+    rows = frame.groupBy("cloud_id").agg(F.avg("x").alias("m"))
+    plain = table(grouping.attach(frame, rows), "cloud_id", "point_id")
+    sliced = table(grouping.attach(frame, rows, hot_rows=50), "cloud_id", "point_id")
+    pd.testing.assert_frame_equal(plain, sliced[plain.columns])
+    slices = grouping.attach(frame, rows, hot_rows=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in slices
+    monkeypatch.setattr(grouping, "HOT_ROWS", 50)
+    from cumulo.operators.normalize import center_unit_radius
+    sets = anchors(spark, {"hot": [[0, 0, 0], [1, 0, 0]], "cold": [[0, 0, 1.0], [0, 1, 0]]})
+    hot = table(an.set_quality(center_unit_radius(frame), sets, 2), "cloud_id")
+    monkeypatch.setattr(grouping, "HOT_ROWS", 10**6)
+    pd.testing.assert_frame_equal(hot, table(an.set_quality(center_unit_radius(frame), sets, 2), "cloud_id"))
