@@ -58,8 +58,9 @@ def _farthest_row(points: DataFrame, priority: Column, *more: Column) -> DataFra
 
 def _spread(points: DataFrame, size: int) -> DataFrame:
     """One fold over the points per round; only the chosen anchors are carried."""
+    # Read once per round, so whatever made the points runs only here.
+    points = cut_lineage(points.withColumn("_near", F.lit(float("inf"))))
     counted = points.select("cloud_id")
-    points = points.withColumn("_near", F.lit(float("inf")))
     chosen = _farthest_row(points, F.col("_start")).select("cloud_id", F.array("next").alias("done"))
     pending = 0
     for _ in range(size - 1):

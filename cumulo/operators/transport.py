@@ -8,13 +8,13 @@ the points and the plan itself is never stored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cumulo.operators.anchors import softmax, total, with_distances
-from cumulo.operators.grouping import attach, by_size
+from cumulo.operators.grouping import attach, by_size, per_cloud
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
@@ -26,27 +26,34 @@ def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations:
         T.StructField("cloud_id", points.schema["cloud_id"].dataType),
         T.StructField("potential", T.ArrayType(T.DoubleType())),
     ])
+    # Both sides travel in one shuffle; anchors of clouds handled elsewhere drop out below.
+    both = points.select("cloud_id", *AXES, F.lit(None).cast("int").alias("slot")).unionByName(
+        anchors.select("cloud_id", *AXES, F.col("slot").cast("int").alias("slot"))
+    )
 
     def lse(values: np.ndarray, axis: int) -> np.ndarray:
         top = values.max(axis=axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(values - top).sum(axis=axis))
 
-    def solve(cloud: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-        if cloud.empty or chosen.empty:
-            return pd.DataFrame({"cloud_id": [], "potential": []}, dtype=object)
-        a = chosen.sort_values("slot")[["x", "y", "z"]].to_numpy()
-        p = cloud[["x", "y", "z"]].to_numpy()
-        kernel = -((a[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) / epsilon
-        row_mass, column_mass = -np.log(len(a)), -np.log(len(p))
-        v = np.zeros(len(p))
-        for _ in range(iterations):
-            u = row_mass - lse(kernel + v[None, :], 1)
-            v = column_mass - lse(kernel + u[:, None], 0)
-        return pd.DataFrame({"cloud_id": [cloud["cloud_id"].iloc[0]], "potential": [u.tolist()]})
-
-    return points.select("cloud_id", *AXES).groupBy("cloud_id").cogroup(
-        anchors.select("cloud_id", "slot", *AXES).groupBy("cloud_id")
-    ).applyInPandas(solve, schema)
+    def solve(rows: pa.Table) -> pa.Table:
+        slots = rows.column("slot").to_pandas().to_numpy(dtype=float)
+        xyz = np.stack([rows.column(c).to_numpy() for c in ("x", "y", "z")], axis=1)
+        mine = np.flatnonzero(~np.isnan(slots))
+        a, p = xyz[mine[np.argsort(slots[mine], kind="stable")]], xyz[np.isnan(slots)]
+        found = []
+        if len(a) and len(p):
+            kernel = -((a[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) / epsilon
+            row_mass, column_mass = -np.log(len(a)), -np.log(len(p))
+            v = np.zeros(len(p))
+            for _ in range(iterations):
+                u = row_mass - lse(kernel + v[None, :], 1)
+                v = column_mass - lse(kernel + u[:, None], 0)
+            found = [u.tolist()]
+        return pa.table({
+            "cloud_id": rows.column("cloud_id").slice(0, len(found)), "potential": pa.array(found, pa.list_(pa.float64())),
+        })
+
+    return per_cloud(both, solve, schema)
 
 
 def _with_share(met: DataFrame, epsilon: float) -> DataFrame:
