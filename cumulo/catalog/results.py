@@ -439,7 +439,8 @@ def q90_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "split", "units", "baseline_q90", "stabilized_q90", "q90_reduction_percent", "ci_lower", "ci_upper", "median_reduction_percent", "median_gain_over_fps_percent", "better_than_baseline", "better_than_fps")
 
 
-@query()
+@query(f"""SELECT *, primary_material AND other_holds AS passed FROM (SELECT bool_or(split = 'validation' AND q90_reduction_percent >= 5 AND ci_lower > 0 AND median_reduction_percent >= -1 AND median_gain_over_fps_percent >= 10) AS primary_material,
+ bool_or(split = 'ood' AND q90_reduction_percent > 0 AND median_gain_over_fps_percent >= 10) AS other_holds FROM ({TAIL}))""")
 def stability_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the Q90 report."""
     return gt.stability_gate(sx.tail_reduction(_marginals(spark, folder), ["split"], replicates=B, seed="tail"))
@@ -486,7 +487,16 @@ def arm_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rs.arm_comparison(stability_rows(spark, folder), ["decoder_seed", "refiner_seed", "split", "method"]))
 
 
-@query()
+def _gate_boot() -> str:
+    """The bootstrap text with one cell per split and the free method only."""
+    head, rest = BOOT.split("lp AS MATERIALIZED (")
+    rest = "SELECT split, model_seed, family, model_id, b, c FROM pairs WHERE method = 'free')," + rest.split("FROM pairs),", 1)[1]
+    text = head + "lp AS MATERIALIZED (" + rest
+    return text.replace("split || ':' || method || ':' || metric", "split").replace("split, method, metric", "split").replace("'boot'", "'gate'")
+
+
+@query(f"""WITH {RESULT_CTES}, {PAIRS}, ps AS (SELECT split, model_seed, sqrt(avg(b)) > sqrt(avg(c)) AS better FROM pairs WHERE method = 'free' GROUP BY ALL), es AS (SELECT split, bool_and(better) AS es FROM ps GROUP BY split)
+SELECT *, cells > 0 AND every_seed_improves AND intervals_positive AS passed FROM (SELECT count(*) AS cells, bool_and(es) AS every_seed_improves, bool_and(ci_lower > 0) AS intervals_positive FROM ({_gate_boot()}) g JOIN es USING (split))""")
 def benefit_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Every seed improves and every interval excludes zero."""
     long = _long_pairs(spark, folder).filter("method = 'free' AND metric = 'chamfer_mse'")
