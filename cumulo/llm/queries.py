@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import exact_dedup, mixing
+from cumulo.llm import exact_dedup, mixing, packing, token_counts
 from cumulo.llm.common import read
 
 
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary; the operators take any other as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
@@ -16,5 +23,13 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup)}
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, folder, "documents"), vocabulary())
+
+
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op6_token_counts, op9_best_fit_packing)}
 SQL = {"op2_mix_sources": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
