@@ -21,9 +21,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def crc32_remainder(doc_id: Column | str, modulus: int) -> Column:
-    """crc32 of the id written as text, modulo ``modulus``; null ids count as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % modulus
+def crc32_remainder(column: str, modulus: int) -> Column:
+    """crc32 of an id written as text, modulo ``modulus``; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
