@@ -48,3 +48,28 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
 def stored(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     return cut_lineage(df)
+
+
+def _bits(hashed: Column, words: int) -> tuple[Column, Column]:
+    """Word of a member filter and the two bits that stand for a hash in it."""
+    pair = [F.shiftright(hashed, k).bitwiseAND(F.lit(63)).cast("int") for k in (40, 50)]
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), pair[0]).bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), pair[1]))
+    return F.pmod(hashed, F.lit(words)), mask
+
+
+def mark_members(rows: DataFrame, keys: DataFrame, hashed: Column, flag: str, max_words: int = 1 << 22) -> DataFrame:
+    """Adds ``flag``: false only where a row's hash is certainly none of ``keys`` (stored), for which ``hashed`` also holds.
+
+    What is broadcast is a Bloom filter of at most ``max_words`` 64-bit words. It
+    spares rows a shuffle; an exact join decides about those it lets through.
+    """
+    count, words = keys.count(), 1024
+    while words * 4 < count and words < max_words:
+        words *= 2
+    word, mask = _bits(hashed, words)
+    names = [OWN + "word", OWN + "mask", OWN + "bits"]
+    bits = keys.select(word.alias(names[0]), mask.alias(names[1])).groupBy(names[0]).agg(F.bit_or(names[1]).alias(names[2]))
+    tried = rows.withColumns({names[0]: word, names[1]: mask}).join(F.broadcast(bits), names[0], "left")
+    hit = F.col(names[2]).bitwiseAND(F.col(names[1])) == F.col(names[1])
+    return tried.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(*names)
