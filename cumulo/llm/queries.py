@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, token_counts, toxicity
+from cumulo.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, token_counts, toxicity
 from cumulo.llm.common import read
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(read(spark, folder, "documents"))
 
@@ -43,5 +47,5 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op5_minhash_dedup, op6_token_counts, op7_embedding_dedup, op8_toxicity, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_exact_dedup, op5_minhash_dedup, op6_token_counts, op7_embedding_dedup, op8_toxicity, op9_best_fit_packing)}
 SQL = {"op2_mix_sources": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
