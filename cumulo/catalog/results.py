@@ -189,10 +189,10 @@ def method_ranking(spark: SparkSession, folder: str) -> DataFrame:
 SCORES = f"sco AS (SELECT decoder_seed, refiner_seed AS epoch, arm AS kind, sqrt(avg(chamfer_mse)) AS score FROM stb WHERE method = 'fps' GROUP BY ALL)"
 
 
-@query(f"WITH {STABILITY_CTES}, {SCORES} SELECT decoder_seed, epoch, kind, {out('score')} AS calibration_chamfer_rmse FROM sco WHERE kind = 'stabilized' QUALIFY row_number() OVER (PARTITION BY decoder_seed ORDER BY score, epoch) = 1")
+@query(f"WITH {STABILITY_CTES}, {SCORES} SELECT decoder_seed, epoch, kind, {out('score')} AS calibration_chamfer_rmse FROM sco QUALIFY row_number() OVER (PARTITION BY decoder_seed ORDER BY score, epoch) = 1")
 def pick_by_score(spark: SparkSession, folder: str) -> DataFrame:
     """Calibration choice per decoder seed."""
-    scores = stability_rows(spark, folder).filter("method = 'fps' AND arm = 'stabilized'").groupBy(
+    scores = stability_rows(spark, folder).filter("method = 'fps'").groupBy(
         "decoder_seed", F.col("refiner_seed").alias("epoch"), F.col("arm").alias("kind")
     ).agg(F.sqrt(F.avg("chamfer_mse")).alias("calibration_chamfer_rmse"))
     return rounded(rs.pick_by_score(scores))
@@ -341,13 +341,14 @@ def contract_checks(spark: SparkSession, folder: str) -> DataFrame:
     return gt.contract_checks(factorial_rows(spark, folder), {"nonnegative": F.col("chamfer_mse") >= 0, "small": F.col("chamfer_mse") <= 0.05})
 
 
-@query(f"WITH {FACTORIAL_CTES}, h AS (SELECT arm, decoder_seed, sha256(string_agg(model_id, ',' ORDER BY model_id)) AS members, sha256(CAST(round(sum(chamfer_mse) * 1e9) AS BIGINT)::VARCHAR) AS state FROM fac WHERE refiner_seed = 0 GROUP BY ALL) SELECT arm, count(*) AS runs, count(DISTINCT state) = count(*) AS state_unique, count(DISTINCT members) = 1 AS members_equal FROM h GROUP BY arm")
+@query(f"WITH {FACTORIAL_CTES}, h AS (SELECT arm, decoder_seed, refiner_seed, sha256(string_agg(model_id, ',' ORDER BY model_id)) AS members, sha256(CAST(round(sum(chamfer_mse) * 1e9) AS BIGINT)::VARCHAR) AS state FROM fac GROUP BY ALL) SELECT arm, count(*) AS runs, count(DISTINCT state) = count(*) AS state_unique, count(DISTINCT members) = 1 AS members_equal FROM h GROUP BY arm")
 def run_identity(spark: SparkSession, folder: str) -> DataFrame:
     """Digests that must differ between seeds, and digests that must agree."""
-    rows = factorial_rows(spark, folder).filter("refiner_seed = 0")
-    runs = rs.dataset_fingerprint(rows, ["model_id"], ["arm", "decoder_seed"]).withColumnRenamed("fingerprint", "members_hash")
-    state = rows.groupBy("arm", "decoder_seed").agg(F.sha2(F.round(F.sum("chamfer_mse") * 1e9).cast("bigint").cast("string"), 256).alias("state"))
-    joined = runs.select("arm", "decoder_seed", F.col("members_hash").alias("members")).join(state, ["arm", "decoder_seed"])
+    rows = factorial_rows(spark, folder)
+    seeds = ["arm", "decoder_seed", "refiner_seed"]
+    runs = rs.dataset_fingerprint(rows, ["model_id"], seeds).withColumnRenamed("fingerprint", "members_hash")
+    state = rows.groupBy(*seeds).agg(F.sha2(F.round(F.sum("chamfer_mse") * 1e9).cast("bigint").cast("string"), 256).alias("state"))
+    joined = runs.select(*seeds, F.col("members_hash").alias("members")).join(state, seeds)
     return gt.run_identity(joined, group=["arm"], independent=["state"], shared=["members"])
 
 

@@ -125,12 +125,13 @@ _STARTS = " UNION ALL ".join(
 STARTS = f"{farthest('em', K)}, st AS ({_STARTS}), sets AS MATERIALIZED ({snapped('st', BITS)}), sc AS MATERIALIZED ({set_chamfer('em', 'sets', 'cloud_id, candidate_id')})"
 
 
-@query(f"""WITH {EMBED_CTES}, {STARTS} SELECT cloud_id, candidate_id, {out('mse', 9)} AS loss FROM sc
- QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY mse, candidate_id) = 1""")
+@query(f"""WITH {EMBED_CTES}, {STARTS} , won AS (SELECT * FROM sc
+ QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY mse, candidate_id) = 1)
+SELECT w.cloud_id, w.candidate_id, s.slot, s.point_id, {out('w.mse', 9)} AS loss FROM won w JOIN sets s ON s.cloud_id = w.cloud_id AND s.candidate_id = w.candidate_id""")
 def best_of_subsets(spark: SparkSession, folder: str) -> DataFrame:
     """Best of the farthest-point subset and random subsets."""
     best = se.best_of_subsets(embedding_clouds(spark, folder), K, TRIALS, BITS, "best")
-    return best.filter("slot = 0").select("cloud_id", "candidate_id", fm.out(F.col("loss"), 9).alias("loss"))
+    return best.select("cloud_id", "candidate_id", "slot", "point_id", fm.out(F.col("loss"), 9).alias("loss"))
 
 
 @query(f"""WITH {EMBED_CTES}, {STARTS}, bs AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY mse, candidate_id) = 1),
@@ -327,13 +328,13 @@ def noise_response(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {EMBED_CTES}, {SUBSET_EM}, sch AS (SELECT step, exp(sum(ln({d(1.0)} - beta)) OVER (ORDER BY step)) AS ab FROM (SELECT CAST(i AS INTEGER) AS step, {d(0.01)} + i * {d(0.19 / 9)} AS beta FROM range(10) t(i))),
- m AS (SELECT cloud_id, slot, step, ab, x FROM (SELECT *, CAST(slot % 10 AS INTEGER) AS step FROM sub) JOIN sch USING (step))
-SELECT cloud_id, slot, step, {out(f"sqrt(ab) * x + sqrt({d(1.0)} - ab) * {_normal(chr(39) + '0' + chr(39), s('step'), 'cloud_id', s('slot'), chr(39) + 'x' + chr(39))}")} AS x FROM m""")
+ m AS (SELECT cloud_id, slot, step, ab, x, y, z FROM (SELECT *, CAST(slot % 10 AS INTEGER) AS step FROM sub) JOIN sch USING (step))
+SELECT cloud_id, slot, step, {', '.join(out(f"sqrt(ab) * {a} + sqrt({d(1.0)} - ab) * {_normal(chr(39) + '0' + chr(39), s('step'), 'cloud_id', s('slot'), chr(39) + a + chr(39))}") + f' AS {a}' for a in AXES)} FROM m""")
 def forward_noise(spark: SparkSession, folder: str) -> DataFrame:
     """Noise-schedule mixing of anchors at per-row steps."""
     schedule = bh.noise_schedule(spark, 10, 0.01, 0.2)
     sets = subset(embedding_clouds(spark, folder)).withColumn("step", (F.col("slot") % 10).cast("int"))
-    return bh.forward_noise(sets, schedule).select("cloud_id", "slot", "step", fm.out(F.col("x")).alias("x"))
+    return bh.forward_noise(sets, schedule).select("cloud_id", "slot", "step", *[fm.out(F.col(a)).alias(a) for a in AXES])
 
 
 @query(f"""WITH {EMBED_CTES} SELECT cloud_id, point_id, {', '.join(out(snap(f"{a} + ({hash_uniform(chr(39) + 'jitter' + chr(39), 'cloud_id', s('point_id'), chr(39) + a + chr(39))} - {d(0.5)}) * {d(lattice_step(6))}", 6)) + f' AS {a}' for a in AXES)} FROM em""")

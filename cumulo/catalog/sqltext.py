@@ -31,11 +31,11 @@ def hash_text(*parts: str) -> str:
 
 
 def hash_int(*parts: str) -> str:
-    return f"('0x' || substr({hash_text(*parts)}, 1, 8))::BIGINT"
+    return f"('0x' || substr({hash_text(*parts)}, 1, 15))::BIGINT"
 
 
 def hash_uniform(*parts: str) -> str:
-    return f"(({hash_int(*parts)} + {d(0.5)}) / {d(4294967296.0)})"
+    return f"((({hash_int(*parts)} >> 8) + {d(0.5)}) / {d(4503599627370496.0)})"
 
 
 def s(column: str) -> str:

@@ -20,8 +20,8 @@ def hash_rank(*parts: object) -> Column:
 
 
 def hash_int(*parts: object) -> Column:
-    """First 32 digest bits as a BIGINT."""
-    return F.conv(F.substring(hash_rank(*parts), 1, 8), 16, 10).cast("bigint")
+    """First 60 digest bits as a BIGINT."""
+    return F.conv(F.substring(hash_rank(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def role_seed(*parts: object) -> Column:
@@ -30,8 +30,8 @@ def role_seed(*parts: object) -> Column:
 
 
 def hash_uniform(*parts: object) -> Column:
-    """Uniform draw in the open unit interval."""
-    return (hash_int(*parts) + F.lit(0.5)) / F.lit(4294967296.0)
+    """Uniform draw in the open unit interval, from as many bits as a double holds."""
+    return (F.shiftright(hash_int(*parts), 8) + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
 def hash_index(bound: Column | int, *parts: object) -> Column:

@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GROUP_BOUND = 20_000
-# Rows of one key that a single join task should see.
-HOT_ROWS = 2_000_000
-
-# Largest group per (session, plan). Only picks between equally exact plans, so an
-# outdated entry costs time and never changes a result.
-_LARGEST: dict[tuple, int] = {}
-
 
 def cloud_sizes(points: DataFrame, key: str = "cloud_id") -> DataFrame:
     return points.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -29,28 +22,23 @@ def cloud_sizes(points: DataFrame, key: str = "cloud_id") -> DataFrame:
 
 def largest_group(points: DataFrame, key: str = "cloud_id") -> int:
     """Rows of the biggest group: one map-side fold over the key column."""
-    sizes = cloud_sizes(points, key)
-    known = (points.sparkSession.sparkContext.applicationId, sizes.semanticHash())
-    if known not in _LARGEST:
-        _LARGEST[known] = sizes.agg(F.max("n")).first()[0] or 0
-    return _LARGEST[known]
+    return cloud_sizes(points, key).agg(F.max("n")).first()[0] or 0
 
 
 def attach(points: DataFrame, per_key: DataFrame, key: str = "cloud_id", *, sized: DataFrame | None = None,
            hot_rows: int | None = None) -> DataFrame:
     """Join one or a few rows per key to all points of that key.
 
-    A plain key join keeps the points co-located by key, which later joins and
-    folds reuse. If some key is hot, its points are cut into slices and its rows
-    are repeated per slice, so no task receives the whole key. The list of hot
-    keys is at most rows / hot_rows long and may be broadcast.
+    Without ``hot_rows`` this is a plain key join: the points stay co-located by
+    key, which later joins and folds reuse, and adaptive execution splits a key
+    that turns out too large. With it, keys of more points are cut into slices
+    and their rows repeated per slice inside the plan. Nothing is counted ahead.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     counted = points if sized is None else sized
-    if largest_group(counted, key) <= hot_rows:
+    if hot_rows is None:
         return points.join(per_key, key)
     slices = F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_slices")
-    hot = F.broadcast(cloud_sizes(counted, key).filter(F.col("n") > hot_rows).select(key, slices))
+    hot = cloud_sizes(counted, key).filter(F.col("n") > hot_rows).select(key, slices)
     row = F.xxhash64("point_id") if "point_id" in points.columns else F.monotonically_increasing_id()
     salted = points.join(hot, key, "left").withColumn(
         "_slice", F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(F.pmod(row, F.col("_slices")).cast("int"))

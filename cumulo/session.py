@@ -19,6 +19,7 @@ def build_session(app: str = "cumulo", master: str | None = None, **conf: object
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})

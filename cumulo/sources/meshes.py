@@ -68,8 +68,9 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _number(text: Column) -> Column:
-    """Single-precision value of a token, NULL if it is not one."""
-    return text.try_cast("double").cast("float").cast("double")
+    """Single-precision value of a decimal token, NULL if it is not one."""
+    plain = text.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(plain, text.try_cast("double").cast("float").cast("double"))
 
 
 def _finite(value: Column) -> Column:

@@ -81,12 +81,16 @@ LOG_METRICS = {
 }
 
 
+#: A decimal with an optional exponent, or one of the two words for what is none.
+DECIMAL = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|inf)|nan"
+
+
 def metrics_from_text(logs: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Named numbers of each log; logs that lack one are rejected with its name."""
     keys = [c for c in logs.columns if c != text]
 
     def found(label: str, kind: str) -> Column:
-        pattern = label.replace(".", r"\.") + r"\s+\(" + kind + r"\):\s*([-+0-9.eE]+|[-+]?inf|nan)"
+        pattern = label.replace(".", r"\.") + r"\s+\(" + kind + r"\):\s*(" + DECIMAL + ")"
         return F.regexp_extract(text, pattern, 1).try_cast("double")
 
     read = logs.select(*keys, *[found(*where).alias(name) for name, where in LOG_METRICS.items()])

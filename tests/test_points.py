@@ -242,7 +242,7 @@ def test_roles(spark):
     assert {(r.role, r.v) for r in pick_role(frame, "independent").collect()} == {("source", 1), ("target", 2), ("fresh", 2)}
 
 
-def test_hot_keys_are_sliced_and_nothing_is_lost(spark, monkeypatch):
+def test_hot_keys_are_sliced_and_nothing_is_lost(spark):
     import cumulo.operators.grouping as grouping
     frame = clouds(spark, random_clouds({"hot": 300, "cold": 20}))
     rows = frame.groupBy("cloud_id").agg(F.avg("x").alias("m"))
@@ -251,9 +251,18 @@ def test_hot_keys_are_sliced_and_nothing_is_lost(spark, monkeypatch):
     pd.testing.assert_frame_equal(plain, sliced[plain.columns])
     slices = grouping.attach(frame, rows, hot_rows=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "_slice" in slices
-    monkeypatch.setattr(grouping, "HOT_ROWS", 50)
-    from cumulo.operators.normalize import center_unit_radius
-    sets = anchors(spark, {"hot": [[0, 0, 0], [1, 0, 0]], "cold": [[0, 0, 1.0], [0, 1, 0]]})
-    hot = table(an.set_quality(center_unit_radius(frame), sets, 2), "cloud_id")
-    monkeypatch.setattr(grouping, "HOT_ROWS", 10**6)
-    pd.testing.assert_frame_equal(hot, table(an.set_quality(center_unit_radius(frame), sets, 2), "cloud_id"))
+
+
+def test_bad_points_take_no_part_and_lose_no_others(spark):
+    from cumulo.operators.neighbors import nearest, unusable_points
+    rows = [("c", k, float(k), 0.0, 0.0) for k in range(6)]
+    bad = [("c", 50, float("nan"), 0.0, 0.0), ("c", 51, None, 0.0, 0.0), ("c", 52, float("inf"), 0.0, 0.0), (None, 53, 0.0, 0.0, 0.0)]
+    far = [("far", 1, 0.0, 0.0, 0.0), ("far", 2, 1e200, 0.0, 0.0)]
+    kind = "cloud_id string, point_id long, x double, y double, z double"
+    frame = spark.createDataFrame(rows + bad + far, kind)
+    for self_too in (False, True):
+        small = table(nearest(frame, frame, k=2, exclude_self=self_too), "cloud_id", "point_id", "rank")
+        large = table(nearest(frame, frame, k=2, exclude_self=self_too, bound=1), "cloud_id", "point_id", "rank")
+        pd.testing.assert_frame_equal(small, large[small.columns])
+        assert len(small) == (14 if self_too else 16)
+    assert sorted(r["point_id"] for r in unusable_points(frame).collect()) == [50, 51, 52, 53]
