@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """0.1 to 1: the share of characters that are neither ASCII digits nor punctuation; 0.1 for no text."""
     plain = F.length(F.regexp_replace(text, r"[!-@\[-`{-~]", ""))
-    return F.lit(0.1) + F.lit(0.9) * F.coalesce(plain / F.length(text), F.lit(0.0))
+    return F.lit(0.1) + F.lit(0.9) * F.coalesce(F.try_divide(plain, F.length(text)), F.lit(0.0))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: int) -> Column:

