@@ -45,11 +45,15 @@ def event_clouds_with_normals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_clouds(spark: SparkSession, folder: str) -> DataFrame:
-    """One cloud per label; the first three vector entries are the coordinates."""
-    return table(spark, folder, "embeddings").select(
+    """One cloud per label; every three entries of a vector are a point, the last one filled up with zeros."""
+    entry = lambda i: F.coalesce(F.get("embedding", i), F.lit(0.0)).cast("double")
+    places = F.sequence(F.lit(0), F.ceil(F.size("embedding") / F.lit(3)).cast("int") - 1)
+    return table(spark, folder, "embeddings").filter(F.size("embedding") > 0).select(
+        "label", "vec_id", "embedding", F.explode(places).alias("part")
+    ).select(
         F.col("label").cast("string").alias("cloud_id"),
-        F.col("vec_id").alias("point_id"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate(AXES)],
+        (F.col("vec_id") * 1024 + F.col("part")).alias("point_id"),
+        *[entry(F.col("part") * 3 + i).alias(a) for i, a in enumerate(AXES)],
     )
 
 
@@ -134,8 +138,10 @@ evn AS MATERIALIZED (SELECT *, x / len AS nx, y / len AS ny, z / len AS nz FROM
   (SELECT *, greatest(sqrt(x*x + y*y + z*z), CAST(1e-8 AS DOUBLE)) AS len FROM ev))"""
 
 EMBED_CTES = """
-em AS MATERIALIZED (SELECT CAST(label AS VARCHAR) AS cloud_id, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x,
-  CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
+em AS MATERIALIZED (SELECT CAST(label AS VARCHAR) AS cloud_id, vec_id * 1024 + part AS point_id,
+  CAST(coalesce(embedding[3 * part + 1], 0) AS DOUBLE) AS x, CAST(coalesce(embedding[3 * part + 2], 0) AS DOUBLE) AS y,
+  CAST(coalesce(embedding[3 * part + 3], 0) AS DOUBLE) AS z
+  FROM (SELECT label, vec_id, embedding, unnest(range((len(embedding) + 2) // 3)) AS part FROM embeddings))"""
 
 LINE_CTES = """
 li AS (SELECT CAST(l_suppkey AS VARCHAR) AS cloud_id, l_quantity / CAST(50 AS DOUBLE) AS x,
