@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulo.session import cut_lineage
+from cumulo.session import cut_lineage, ensure_checkpoint_dir
 
 #: A group with more than 1/HOT_PARTS of all rows is hot, so there are fewer than HOT_PARTS hot groups.
 HOT_PARTS = 256
@@ -33,7 +35,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     is broadcast. Beyond that only the groups with more than 1/HOT_PARTS of
     ``total`` rows are, which are fewer than HOT_PARTS; the other rows join by shuffle.
     """
-    if groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if groups.count() <= SMALL_ROWS:
         return rows.join(F.broadcast(groups), keys, "left")
     mark = OWN + "hot"
     hot = groups.where(F.col(size) * HOT_PARTS > total).withColumn(mark, F.lit(True))
@@ -50,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """Like ``stored``, as a compressed table beside the checkpoints: for large rows that resemble their neighbours."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _bits(hashed: Column, words: int) -> tuple[Column, Column]:
     """Word of a member filter and the two bits that stand for a hash in it."""
     pair = [F.shiftright(hashed, k).bitwiseAND(F.lit(63)).cast("int") for k in (40, 50)]

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import attach_groups, stored
+from cumulo.llm.common import stored
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least v of each u and the size of its group; hot u are not gathered."""
-    least = stored(pairs.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("degree")))
-    return attach_groups(pairs, least, ["u"], "degree", pairs.count())
+    """(u, v) with the least v of each u; adaptive execution splits the join of a u with very many."""
+    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("least")), "u")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,13 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen or now[0] == 0:
             break
         seen = now
-        both = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        large = stored(large.where("u <> v").distinct())
-        small = _with_least(large)
-        small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").unionByName(
-            small.select("u", F.col("least").alias("v")))
-        edges = stored(small.distinct())
+        small = _with_least(large.where("u <> v").distinct())
+        small = small.select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e"))
+        edges = stored(small.select("e.*").where("u <> v").distinct())
     roots = edges.select(F.col("v").alias("u"), "v").distinct()
     alone = ends.where("x = y").select(F.col("x").alias("u"), F.col("y").alias("v"))
     return edges.where("u <> v").unionByName(roots).unionByName(alone).groupBy("u").agg(F.min("v").alias("v")).select(
