@@ -40,7 +40,7 @@ HELD = 400_000
 MEMO = 500_000
 #: Documents of the warm-up, at most.
 WARM_UP = 3000
-NOISE = 64
+NOISE = 32
 BATCH = 8192
 BLOCK = 4096
 END = b""
@@ -117,7 +117,14 @@ class Codes(dict):
 
 def lexicon_of(counts: DataFrame, own: int = OWN_WORDS, frequent: int = FREQUENT) -> Lexicon:
     """Symbols and class totals from all counts (stored); what comes to the driver is bounded."""
-    top = counts.orderBy(F.desc("count"), "hash").limit(frequent).toPandas()
+    # The lowest count that at most ``frequent`` words reach; equal counts stay together.
+    reached, least = 0, 1 << 62
+    for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("count")).collect():
+        reached += row["words"]
+        if reached > frequent:
+            break
+        least = row["count"]
+    top = counts.where(F.col("count") >= least).toPandas().sort_values(["count", "hash"], ascending=[False, True])
     own = min(own, len(top))
     classes = top["class"].to_numpy(np.int64)
     symbols = np.concatenate([np.arange(own), own + classes[own:], own + np.arange(CLASSES)])
@@ -146,8 +153,8 @@ class LogBilinear:
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH) -> "LogBilinear":
         draw = np.random.default_rng(3)
-        return cls(draw.normal(0, 0.3, (len(unigram), width)), draw.normal(0, 0.1, (len(unigram), width)),
-                   np.ones((2, width)), np.log(unigram))
+        return cls(*(x.astype(np.float32) for x in (
+            draw.normal(0, 0.3, (len(unigram), width)), draw.normal(0, 0.1, (len(unigram), width)), np.ones((2, width)), np.log(unigram))))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.context, self.target, self.place, self.bias)]).astype(np.float32)
@@ -155,15 +162,16 @@ class LogBilinear:
     @classmethod
     def of(cls, flat: np.ndarray, symbols: int, width: int = WIDTH) -> "LogBilinear":
         cut = np.cumsum([symbols * width, symbols * width, 2 * width])
-        a, b, c, d = np.split(flat.astype(np.float64), cut)
+        a, b, c, d = np.split(flat.astype(np.float32), cut)
         return cls(a.reshape(symbols, width), b.reshape(symbols, width), c.reshape(2, width), d)
 
     def normalisers(self, first: np.ndarray) -> np.ndarray:
         """log of the sum over all symbols, for each of the given symbols before the token and every symbol before that."""
-        far = self.context * self.place[1]
+        context, target, place = (x.astype(np.float64) for x in (self.context, self.target, self.place))
+        far = context * place[1]
         rows = np.empty((len(first), len(self.bias)), np.float32)
         for k, symbol in enumerate(first):
-            scores = (self.context[symbol] * self.place[0] + far) @ self.target.T + self.bias
+            scores = (context[symbol] * place[0] + far) @ target.T + self.bias
             high = scores.max(axis=1)
             rows[k] = high + np.log(np.exp(scores - high[:, None]).sum(axis=1))
         return rows
@@ -183,7 +191,7 @@ class NoiseContrast:
         self.model, self.rate = model, rate
         self.draw = np.random.default_rng(seed)
         self.sums = np.cumsum(unigram)
-        self.floor = np.log(NOISE * unigram)
+        self.floor = np.log(NOISE * unigram).astype(np.float32)
         self.squares = [np.full_like(x, 1e-2) for x in (model.context, model.target, model.place, model.bias)]
         self.seen = 0
 
@@ -204,12 +212,12 @@ class NoiseContrast:
         _add_rows(slopes[1], noise, by_false.T @ predicted)
         slopes[2][0] = (by_predicted * context_near).sum(axis=0)
         slopes[2][1] = (by_predicted * context_far).sum(axis=0)
-        slopes[3] += np.bincount(token, by_true, minlength=len(m.bias)) + np.bincount(
-            noise, by_false.sum(axis=0), minlength=len(m.bias))
+        slopes[3] += (np.bincount(token, by_true, minlength=len(m.bias)) + np.bincount(
+            noise, by_false.sum(axis=0), minlength=len(m.bias))).astype(np.float32)
         for value, square, slope in zip((m.context, m.target, m.place, m.bias), self.squares, slopes):
-            slope /= size
-            square += (slope * 30) ** 2
-            value -= self.rate * 30 * slope / np.sqrt(square)
+            slope *= np.float32(30 / size)
+            square += slope**2
+            value -= np.float32(self.rate) * slope / np.sqrt(square)
         self.seen += size
 
     def learn(self, texts: list[np.ndarray], end: int) -> None:
