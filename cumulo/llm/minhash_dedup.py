@@ -8,7 +8,7 @@ neighbours by longest common prefix; every one is confirmed by the exact Jaccard
 similarity of both full sets. Components of confirmed links are the classes.
 
 Equal sets are one row throughout, so copies are never paired. Two rounds keep
-the work small: the first links nearest neighbours of two trees, the second
+the work small: the first links nearest neighbours of four trees, the second
 tests wider neighbourhoods of all trees, but only between different components.
 Full sets are computed again for candidates only; whole texts are not shuffled.
 """
@@ -134,13 +134,21 @@ def _regions(classes: DataFrame, trees: int, depth: int, bound: int) -> DataFram
     return stored(whole)
 
 
-def _neighbours(regions: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs at ``first`` to ``last`` places from each other in a region's signature order, if their sizes allow a link."""
+def _neighbours(regions: DataFrame, last: int, known: DataFrame | None = None) -> DataFrame:
+    """Pairs up to ``last`` places apart in a region's signature order, if their sizes allow a link.
+
+    With ``known`` components only pairs of two different ones; others are never made.
+    """
+    if known is None:
+        regions = regions.withColumn("of", F.col("node"))
+    else:
+        regions = regions.join(known, "node", "left").withColumn("of", F.coalesce("component", "node"))
     order = Window.partitionBy("tree", "region", "part").orderBy("key", "node")
-    ahead = F.array(*[F.lead(F.struct("node", "n"), k).over(order) for k in range(first, last + 1)])
-    pairs = regions.select("node", "n", ahead.alias("ahead")).select("node", "n", F.explode("ahead").alias("next")).where("next IS NOT NULL")
-    fits = 100 * F.least("n", "next.n") >= 75 * F.greatest("n", "next.n")
-    return pairs.where(fits).select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct()
+    ahead = F.array(*[F.lead(F.struct("node", "n", "of"), k).over(order) for k in range(1, last + 1)])
+    useful = F.filter("ahead", lambda x: x.isNotNull() & (x["of"] != F.col("of")) & (
+        100 * F.least(F.col("n"), x["n"]) >= 75 * F.greatest(F.col("n"), x["n"])))
+    pairs = regions.select("node", "n", "of", ahead.alias("ahead")).select("node", F.explode(useful).alias("next"))
+    return pairs.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct()
 
 
 def _part_leaders(regions: DataFrame) -> DataFrame:
@@ -209,15 +217,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, dep
             F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     units = units.drop("signature")
     regions = _regions(classes, trees, depth, bound)
-    near = stored(_neighbours(regions.where("tree < 2"), 1, 1).unionByName(_part_leaders(regions)).distinct())
+    near = stored(_neighbours(regions.where("tree < 4"), 1).unionByName(_part_leaders(regions)).distinct())
     wanted = regions.select("node").distinct().join(classes.select("node", "digest", "lowest"), "node")
     sets = _full_sets(docs, stored(wanted), words)
     links = _confirm(near, sets)
     known = stored(components(links))
-    wide = _neighbours(regions, 1, NEIGHBOURS).join(near, ["a", "b"], "left_anti")
-    wide = wide.join(known.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(
-        known.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    wide = stored(wide.where("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b"))
+    wide = stored(_neighbours(regions, NEIGHBOURS, known).join(near, ["a", "b"], "left_anti"))
     of = components(links.unionByName(_confirm(wide, sets)))
     joined = stored(classes.drop("signature").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")))
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))
