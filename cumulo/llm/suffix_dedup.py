@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import attach_groups, mark_members, stored
+from cumulo.llm.common import attach_groups, mark_members, stored, stored_table
 
 SPAN = 100
 GRAM = 32
 #: Window starts that are handled at once; positions take the low bits of a hash.
 PLACE_BITS = 20
-#: 64-bit words of the filter of repeated anchors, at most: 32 MB.
-FILTER_WORDS = 1 << 22
+#: 64-bit words of the filter of repeated anchors, at most: 16 MB.
+FILTER_WORDS = 1 << 21
 #: Different stretches of one anchor that may meet in one index.
 GROUP = 5_000
 #: Bytes of stretches in one index, about.
@@ -122,10 +122,17 @@ def _filter(anchors: DataFrame, most: int = FILTER_WORDS) -> np.ndarray:
         words *= 2
     bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(anchor, {k}) & 63 AS int))")
     rows = anchors.select((F.col("anchor").bitwiseAND(F.lit(words - 1))).alias("word"), bit(40).bitwiseOR(bit(50)).alias("bits"))
-    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(words, np.int64)
-    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return table
+    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).withColumn("block", F.shiftright("word", 12))
+
+    def whole(block: pa.Table) -> pa.Table:
+        table = np.zeros(4096, np.int64)
+        table[block.column("word").to_numpy() & 4095] = block.column("bits").to_numpy()
+        return pa.table({"block": block.column("block").slice(0, 1), "bits": pa.array([table.tobytes()], pa.binary())})
+
+    table = np.zeros(-(-words // 4096) * 4096, np.int64)
+    for row in rows.groupBy("block").applyInArrow(whole, "block long, bits binary").collect():
+        table[row["block"] << 12:(row["block"] + 1) << 12] = np.frombuffer(row["bits"], np.int64)
+    return table[:words]
 
 
 def _may_repeat(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -135,35 +142,49 @@ def _may_repeat(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def repeated_stretches(docs: DataFrame, table: np.ndarray, span: int, gram: int) -> DataFrame:
-    """(anchor, digest, doc, tie, start, starts, content) of every stretch whose anchor may repeat."""
+    """(anchor, digest, doc, tie, start, starts, content) of every stretch whose anchor may repeat.
+
+    A stretch that its own document has had before goes as a whole; runs of
+    these are rows without anchor, digest and content.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = ["anchor", "digest", "doc", "tie", "start", "starts", "content"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, bits = Anchors(span, gram), shared.value
-        for batch in batches:
-            row, anchor, start, starts, digest, content = [], [], [], [], [], []
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            rows: list[tuple] = []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 data = text.encode()
+                seen: set[int] = set()
+                low = high = -1  # the run of starts that go
                 for offset, first, many, hashes in anchors.stretches(data):
                     keep = np.flatnonzero(_may_repeat(hashes, bits))
                     if not len(keep):
                         continue
-                    row += [k] * len(keep)
-                    anchor += hashes[keep].view(np.int64).tolist()
-                    begin, size = (first[keep] + offset).tolist(), many[keep].tolist()
-                    start += begin
-                    starts += size
-                    own = [data[a:a + m + span - 1] for a, m in zip(begin, size)]
-                    content += own
-                    digest += [xxhash.xxh3_128_digest(c) for c in own]
+                    for name, a, m in zip(
+                            hashes[keep].view(np.int64).tolist(), (first[keep] + offset).tolist(), many[keep].tolist()):
+                        own = data[a:a + m + span - 1]
+                        known = xxhash.xxh3_64_intdigest(own) - (1 << 63)
+                        if known not in seen:
+                            seen.add(known)
+                            rows.append((k, name, known, a, m, own))
+                        elif a == high:
+                            high += m
+                        else:
+                            if high > low:
+                                rows.append((k, None, None, low, high - low, None))
+                            low, high = a, a + m
+                if high > low:
+                    rows.append((k, None, None, low, high - low, None))
+            row, anchor, digest, start, starts, content = zip(*rows) if rows else ([],) * 6
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(digest, pa.binary()), batch.column(0).take(at), batch.column(1).take(at),
+                [pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
                  pa.array(start, pa.int64()), pa.array(starts, pa.int32()), pa.array(content, pa.binary())], names=names)
 
     return docs.select(*_document([])).mapInArrow(
-        found, "anchor long, digest binary, doc long, tie long, start long, starts int, content binary")
+        found, "anchor long, digest long, doc long, tie long, start long, starts int, content binary")
 
 
 class RunLengthIndex:
@@ -304,24 +325,27 @@ def _split_large(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Re
 def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, tie, a, b): byte ranges to remove, perhaps overlapping, of documents known by ``_document``."""
     anchors = stored(repeated_anchors(docs, span, gram))
-    stretches = stored(repeated_stretches(docs, _filter(anchors), span, gram))
-    place = F.struct("doc", "tie", "start")
-    classes = stored(stretches.groupBy("digest", "anchor").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
-    narrow = stretches.select("digest", "doc", "tie", "start", "starts")
-    copies = attach_groups(narrow, classes.where("size > 1").select("digest", "first", "size"), ["digest"], "size", stretches.count())
-    whole = copies.where("size IS NOT NULL").where(place != F.col("first")).select(
+    found = stored_table(repeated_stretches(docs, _filter(anchors), span, gram))
+    stretches = found.where("anchor IS NOT NULL")
+    again = found.where("anchor IS NULL")
+    place, same = F.struct("doc", "tie", "start"), ["anchor", "digest"]
+    classes = stored_table(stretches.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
+    narrow = stretches.select(*same, "doc", "tie", "start", "starts")
+    several = classes.where("size > 1").select(*same, "first")
+    copies = mark_members(narrow, several, F.xxhash64(*same), "possible").where("possible").join(several, same)
+    whole = again.select("doc", "tie", "start", "starts").unionByName(
+        copies.where(place != F.col("first")).select("doc", "tie", "start", "starts")).select(
         "doc", "tie", F.col("start").alias("a"), (F.col("start") + F.col("starts") + (span - 1)).alias("b"))
     groups = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    mixed = stored(attach_groups(classes, groups, ["anchor"], "classes", classes.count()).where("classes IS NOT NULL").select(
-        "digest", "first", "classes"))
-    wide = mark_members(stretches, mixed, F.xxhash64("digest"), "possible").where("possible").join(mixed, "digest").where(
+    mixed = stored_table(attach_groups(classes, groups, ["anchor"], "classes", classes.count()).where("classes IS NOT NULL").select(
+        *same, "first", "classes"))
+    wide = mark_members(stretches, mixed, F.xxhash64(*same), "possible").where("possible").join(mixed, same).where(
         place == F.col("first"))
     columns = [F.col("anchor").alias("key"), "doc", "tie", "start", "content"]
     small = wide.where(F.col("classes") <= group).select(*columns)
     schema = "key long, doc long, tie long, start long, content binary"
     large = wide.where(F.col("classes") > group).select("doc", "tie", "start", "content").mapInArrow(
         lambda batches: _split_large(batches, span), schema)
-    # Of equal strings from a split anchor only the first of each task moves on.
     met = small.unionByName(large).repartition("key").sortWithinPartitions("key")
     indexed = met.mapInArrow(lambda batches: _index_groups(batches, span), "doc long, tie long, a long, b long")
     return whole.unionByName(indexed)
