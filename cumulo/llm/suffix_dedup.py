@@ -36,14 +36,15 @@ from cumulo.llm.common import attach_groups, mark_members, stored, stored_table
 
 SPAN = 100
 GRAM = 32
-#: Window starts that are handled at once; positions take the low bits of a hash.
-PLACE_BITS = 20
+#: Bytes whose anchors are found at once, of one text or several; their places take the low bits of a hash.
+BLOCK = 1 << 15
+PLACE_BITS = 17
 #: 64-bit words of the filter of repeated anchors, at most: 16 MB.
 FILTER_WORDS = 1 << 21
 #: Different stretches of one anchor that may meet in one index.
 GROUP = 5_000
-#: Bytes of stretches in one index, about.
-INDEX_BYTES = 2_000_000
+#: Bytes of stretches in one index, about; its arrays stay in a core's cache.
+INDEX_BYTES = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,21 +59,32 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Anchors:
-    """Stretches of a text with their anchors, for one ``span`` and ``gram``."""
+    """Stretches of texts with their anchors, for one ``span`` and ``gram``."""
 
     def __init__(self, span: int = SPAN, gram: int = GRAM):
         self.span, self.gram, self.reach = span, gram, span - gram + 1
-        self.part = (1 << PLACE_BITS) - span
-        self.up, self.down = _powers(self.part + 2 * span)
-
-    def stretches(self, data: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each part of the text: (offset of the part, first starts, numbers of starts, anchor hashes)."""
-        last = len(data) - self.span
-        for offset in range(0, last + 1, self.part):
-            yield offset, *self._part(data[offset:min(len(data), offset + self.part + self.span - 1)])
-
-    def _part(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+        self.up, self.down = _powers(2 * (BLOCK + span))
+
+    def stretches(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (number of the text, first start, number of starts, anchor hash), in order."""
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
+        for k, data in enumerate(texts):
+            for offset in range(0, len(data) - self.span + 1, BLOCK):
+                piece = data[offset:offset + BLOCK + self.span - 1]
+                held.append((k, offset, piece))
+                size += len(piece)
+                if size >= BLOCK:
+                    yield self._block(held)
+                    held, size = [], 0
+        if held:
+            yield self._block(held)
+
+    def _block(self, held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        text, offset = (np.array(x, np.int64) for x in list(zip(*held))[:2])
+        lengths = np.array([len(piece) for _, _, piece in held], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        codes = np.frombuffer(b"".join(piece for _, _, piece in held), np.uint8).astype(np.uint64) + np.uint64(1)
         n = len(codes)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * self.up[:n], dtype=np.uint64)])
         hashed = (sums[self.gram:] - sums[:-self.gram]) * self.down[:n - self.gram + 1]
@@ -89,8 +101,16 @@ class Anchors:
             rest = self.reach - width
             least = np.minimum(least[:-rest], least[rest:])
         place = (least & low).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        return first, np.diff(np.concatenate([first, [len(place)]])), hashed[place[first]]
+        edge = np.concatenate([[True], place[1:] != place[:-1]])
+        edge[begins] = True
+        ends = begins + lengths - self.span + 1  # starts from here on reach into the next piece
+        edge[ends[ends < len(edge)]] = True
+        first = np.flatnonzero(edge)
+        many = np.diff(np.concatenate([first, [len(place)]]))
+        own = np.searchsorted(begins, first, side="right") - 1
+        inside = first < ends[own]
+        first, many, own = first[inside], many[inside], own[inside]
+        return text[own], first - begins[own] + offset[own], many, hashed[place[first]]
 
 
 def _document(columns: list[str]) -> list[Column]:
@@ -105,7 +125,7 @@ def repeated_anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(span, gram)
         for batch in batches:
-            found = [s[3] for t in batch.column(0).to_pylist() for s in anchors.stretches((t or "").encode())]
+            found = [block[3] for block in anchors.stretches([(t or "").encode() for t in batch.column(0).to_pylist()])]
             if not found:
                 continue
             hashes, times = np.unique(np.concatenate(found), return_counts=True)
@@ -154,29 +174,30 @@ def repeated_stretches(docs: DataFrame, table: np.ndarray, span: int, gram: int)
         anchors, bits = Anchors(span, gram), shared.value
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                data = text.encode()
-                seen: set[int] = set()
-                low = high = -1  # the run of starts that go
-                for offset, first, many, hashes in anchors.stretches(data):
-                    keep = np.flatnonzero(_may_repeat(hashes, bits))
-                    if not len(keep):
-                        continue
-                    for name, a, m in zip(
-                            hashes[keep].view(np.int64).tolist(), (first[keep] + offset).tolist(), many[keep].tolist()):
-                        own = data[a:a + m + span - 1]
-                        known = xxhash.xxh3_64_intdigest(own) - (1 << 63)
-                        if known not in seen:
-                            seen.add(known)
-                            rows.append((k, name, known, a, m, own))
-                        elif a == high:
-                            high += m
-                        else:
-                            if high > low:
-                                rows.append((k, None, None, low, high - low, None))
-                            low, high = a, a + m
-                if high > low:
-                    rows.append((k, None, None, low, high - low, None))
+            texts = [text.encode() for text in batch.column(2).to_pylist()]
+            seen: set[int] = set()
+            at = low = high = -1  # the text, and its run of starts that go
+            for which, first, many, hashes in anchors.stretches(texts):
+                keep = np.flatnonzero(_may_repeat(hashes, bits))
+                for k, name, a, m in zip(which[keep].tolist(), hashes[keep].view(np.int64).tolist(), first[keep].tolist(), many[keep].tolist()):
+                    if k != at:
+                        if high > low:
+                            rows.append((at, None, None, low, high - low, None))
+                        at, low, high = k, -1, -1
+                        seen.clear()
+                    own = texts[k][a:a + m + span - 1]
+                    known = xxhash.xxh3_64_intdigest(own) - (1 << 63)
+                    if known not in seen:
+                        seen.add(known)
+                        rows.append((k, name, known, a, m, own))
+                    elif a == high:
+                        high += m
+                    else:
+                        if high > low:
+                            rows.append((k, None, None, low, high - low, None))
+                        low, high = a, a + m
+            if high > low:
+                rows.append((at, None, None, low, high - low, None))
             row, anchor, digest, start, starts, content = zip(*rows) if rows else ([],) * 6
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -187,6 +208,16 @@ def repeated_stretches(docs: DataFrame, table: np.ndarray, span: int, gram: int)
         found, "anchor long, digest long, doc long, tie long, start long, starts int, content binary")
 
 
+def _ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of unsigned keys of so many bits; keys and places are sorted as one number where that fits."""
+    place = np.uint64(len(key).bit_length())
+    if bits + int(place) > 64:
+        return np.argsort(key, kind="stable")
+    packed = (key << place) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+
+
 class RunLengthIndex:
     """Suffix order of some stretches, the run-compressed transform, and its sampled run ends."""
 
@@ -198,31 +229,37 @@ class RunLengthIndex:
         symbols = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + len(contents)
         symbols[self.begins + lengths] = np.arange(len(contents))
         self.symbols = symbols
-        self.order = self._suffix_order(len(contents) + 256)
+        self.order = self._suffix_order(lengths)
         before = symbols[self.order - 1]  # the transform; the text counts as a circle
         self.run_starts = np.concatenate([[0], np.flatnonzero(np.diff(before)) + 1])
         self.run_symbols = before[self.run_starts]
         self.run_ends = self.order[np.concatenate([self.run_starts[1:] - 1, [len(before) - 1]])]
 
-    def _suffix_order(self, most: int) -> np.ndarray:
-        """Order of all suffixes, by doubling the number of symbols that ranks stand for; symbols are below ``most``."""
-        n, bits = len(self.symbols), int(most).bit_length()
-        width = 62 // bits
-        padded = np.concatenate([self.symbols, np.zeros(width, np.int64)])
-        key = np.zeros(n, np.int64)
-        for k in range(width):
-            key = (key << bits) | padded[k:k + n]
+    def _suffix_order(self, lengths: np.ndarray) -> np.ndarray:
+        """Order of all suffixes, by doubling the number of symbols that ranks stand for; an end counts by its place."""
+        n = len(self.symbols)
+        left = np.repeat(self.begins + lengths, lengths + 1) - np.arange(n)  # bytes up to the end of the stretch
+        codes = np.where(left > 0, self.symbols - (len(lengths) - 1), 0).astype(np.uint64)
+        # UTF-8 has no byte above 0xF4, so a code takes 8 bits.
+        width = max(1, (64 - n.bit_length()) // 8)
+        key = np.zeros(n, np.uint64)
+        for k in range(min(width, n)):
+            key <<= np.uint64(8)
+            key[:n - k] |= np.where(left[:n - k] >= k, codes[k:], np.uint64(0))
+        bits = 8 * width
         while True:
-            order = np.argsort(key, kind="stable")
+            order = _ordered(key, bits)
+            if width > self.longest:
+                return order
             ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
             if rank[order[-1]] == n - 1:
                 return order
-            far = np.zeros(n, np.int64)
-            far[:max(0, n - width)] = rank[width:] + 1
-            key = rank * (n + 1) + far
-            width *= 2
+            far = np.zeros(n, np.uint64)
+            far[:max(0, n - width)] = np.where(left[:max(0, n - width)] >= width, rank[width:] + np.uint64(1), np.uint64(0))
+            key = (rank << np.uint64(n.bit_length())) | far
+            bits, width = 2 * n.bit_length(), 2 * width
 
     def matching_lengths(self) -> np.ndarray:
         """Symbols that each suffix shares with the one before it in order, by place in the text.
@@ -339,8 +376,10 @@ def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = G
     groups = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     mixed = stored_table(attach_groups(classes, groups, ["anchor"], "classes", classes.count()).where("classes IS NOT NULL").select(
         *same, "first", "classes"))
-    wide = mark_members(stretches, mixed, F.xxhash64(*same), "possible").where("possible").join(mixed, same).where(
-        place == F.col("first"))
+    # The filter holds the classes' first places, so other copies seldom move with their content.
+    firsts = mixed.select(*same, "classes", "first.*")
+    wide = mark_members(stretches, firsts, F.xxhash64(*same, "doc", "tie", "start"), "possible").where("possible").join(
+        firsts, [*same, "doc", "tie", "start"])
     columns = [F.col("anchor").alias("key"), "doc", "tie", "start", "content"]
     small = wide.where(F.col("classes") <= group).select(*columns)
     schema = "key long, doc long, tie long, start long, content binary"
