@@ -10,7 +10,8 @@ earlier: in a smaller doc_id, or earlier in the same document.
    hold nothing that repeats. A Bloom filter of fixed size carries the repeated
    anchors to the texts; only their stretches are written out.
 3. Equal stretches are one class. All but the first of a class go as a whole.
-4. Different stretches with one anchor meet in an index. It sorts their
+4. Different stretches with one anchor meet in an index, but for those that
+   equal no other on either side of the anchor. The index sorts their
    suffixes, run-compresses the Burrows-Wheeler transform and samples the ends
    of its runs. Matching lengths are compared byte by byte at those samples
    only; all others follow by streaming along the text, one less at each step.
@@ -24,7 +25,9 @@ so no task holds an unbounded group.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +68,8 @@ class Anchors:
         self.span, self.gram, self.reach = span, gram, span - gram + 1
         self.up, self.down = _powers(2 * (BLOCK + span))
 
-    def stretches(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (number of the text, first start, number of starts, anchor hash), in order."""
+    def stretches(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Blocks of (number of the text, first start, number of starts, anchor hash, place of the anchor after the start), in order."""
         held: list[tuple[int, int, bytes]] = []
         size = 0
         for k, data in enumerate(texts):
@@ -80,7 +83,7 @@ class Anchors:
         if held:
             yield self._block(held)
 
-    def _block(self, held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _block(self, held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
         text, offset = (np.array(x, np.int64) for x in list(zip(*held))[:2])
         lengths = np.array([len(piece) for _, _, piece in held], np.int64)
         begins = np.cumsum(lengths) - lengths
@@ -110,7 +113,7 @@ class Anchors:
         own = np.searchsorted(begins, first, side="right") - 1
         inside = first < ends[own]
         first, many, own = first[inside], many[inside], own[inside]
-        return text[own], first - begins[own] + offset[own], many, hashed[place[first]]
+        return text[own], first - begins[own] + offset[own], many, hashed[place[first]], place[first] - first
 
 
 def _document(columns: list[str]) -> list[Column]:
@@ -162,13 +165,13 @@ def _may_repeat(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def repeated_stretches(docs: DataFrame, table: np.ndarray, span: int, gram: int) -> DataFrame:
-    """(anchor, digest, doc, tie, start, starts, content) of every stretch whose anchor may repeat.
+    """(anchor, digest, place, doc, tie, start, starts, content) of every stretch whose anchor may repeat.
 
     A stretch that its own document has had before goes as a whole; runs of
-    these are rows without anchor, digest and content.
+    these are rows without anchor, digest, place and content.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = ["anchor", "digest", "doc", "tie", "start", "starts", "content"]
+    names = ["anchor", "digest", "place", "doc", "tie", "start", "starts", "content"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, bits = Anchors(span, gram), shared.value
@@ -177,35 +180,36 @@ def repeated_stretches(docs: DataFrame, table: np.ndarray, span: int, gram: int)
             texts = [text.encode() for text in batch.column(2).to_pylist()]
             seen: set[int] = set()
             at = low = high = -1  # the text, and its run of starts that go
-            for which, first, many, hashes in anchors.stretches(texts):
+            for which, first, many, hashes, places in anchors.stretches(texts):
                 keep = np.flatnonzero(_may_repeat(hashes, bits))
-                for k, name, a, m in zip(which[keep].tolist(), hashes[keep].view(np.int64).tolist(), first[keep].tolist(), many[keep].tolist()):
+                columns = (x[keep].tolist() for x in (which, hashes.view(np.int64), first, many, places))
+                for k, name, a, m, place in zip(*columns):
                     if k != at:
                         if high > low:
-                            rows.append((at, None, None, low, high - low, None))
+                            rows.append((at, None, None, None, low, high - low, None))
                         at, low, high = k, -1, -1
                         seen.clear()
                     own = texts[k][a:a + m + span - 1]
                     known = xxhash.xxh3_64_intdigest(own) - (1 << 63)
                     if known not in seen:
                         seen.add(known)
-                        rows.append((k, name, known, a, m, own))
+                        rows.append((k, name, known, place, a, m, own))
                     elif a == high:
                         high += m
                     else:
                         if high > low:
-                            rows.append((k, None, None, low, high - low, None))
+                            rows.append((k, None, None, None, low, high - low, None))
                         low, high = a, a + m
             if high > low:
-                rows.append((at, None, None, low, high - low, None))
-            row, anchor, digest, start, starts, content = zip(*rows) if rows else ([],) * 6
+                rows.append((at, None, None, None, low, high - low, None))
+            row, anchor, digest, place, start, starts, content = zip(*rows) if rows else ([],) * 7
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), batch.column(0).take(at), batch.column(1).take(at),
-                 pa.array(start, pa.int64()), pa.array(starts, pa.int32()), pa.array(content, pa.binary())], names=names)
+                [pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(place, pa.int32()), batch.column(0).take(at),
+                 batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(starts, pa.int32()), pa.array(content, pa.binary())], names=names)
 
     return docs.select(*_document([])).mapInArrow(
-        found, "anchor long, digest long, doc long, tie long, start long, starts int, content binary")
+        found, "anchor long, digest long, place int, doc long, tie long, start long, starts int, content binary")
 
 
 def _ordered(key: np.ndarray, bits: int) -> np.ndarray:
@@ -310,7 +314,20 @@ def later_starts(contents: list[bytes], rank: np.ndarray, span: int) -> list[np.
     return [np.sort(offset[by_owner[cuts[k]:cuts[k + 1]]]) for k in range(len(contents))]
 
 
-def _index_groups(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+def _with_partner(rows: list[tuple], span: int, gram: int) -> list[tuple]:
+    """The rows of one anchor that can share a string with another one.
+
+    A string holds the anchor and at least half of its other bytes on one side
+    of it, so two rows that share one are equal there.
+    """
+    half = (span - gram) // 2
+    sides = [(c[p - half:p + gram] if p >= half else None, c[p:p + gram + half] if len(c) >= p + gram + half else None)
+             for *_, p, c in rows]
+    left, right = (Counter(x) for x in zip(*sides))
+    return [r for r, (a, b) in zip(rows, sides) if (a is not None and left[a] > 1) or (b is not None and right[b] > 1)]
+
+
+def _index_groups(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Runs of starts to remove, from stretches sorted by key; whole groups meet in indexes of bounded size."""
     names = ["doc", "tie", "a", "b"]
 
@@ -319,7 +336,7 @@ def _index_groups(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.R
         rank = np.empty(len(rows), np.int64)
         rank[order] = np.arange(len(rows))
         doc, tie, low, high = [], [], [], []
-        for (_, d, t, start, _), gone in zip(rows, later_starts([r[4] for r in rows], rank, span)):
+        for (_, d, t, start, _, _), gone in zip(rows, later_starts([r[-1] for r in rows], rank, span)):
             if len(gone):
                 edge = np.flatnonzero(np.diff(gone) > 1)
                 for a, b in zip(np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(gone) - 1]])):
@@ -329,15 +346,16 @@ def _index_groups(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.R
                     high.append(start + int(gone[b]) + span)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, tie, low, high)], names=names)
 
+    every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
     held: list[tuple] = []
     size = 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= INDEX_BYTES and row[0] != held[-1][0]:
-                yield flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+    for _, group in groupby(every, key=lambda row: row[0]):
+        rows = _with_partner(list(group), span, gram)
+        held += rows
+        size += sum(len(r[-1]) for r in rows)
+        if size >= INDEX_BYTES:
+            yield flush(held)
+            held, size = [], 0
     if held:
         yield flush(held)
 
@@ -355,8 +373,8 @@ def _split_large(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Re
                 start.append(s + k)
                 content.append(own)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.int64()) for x in (key, doc, tie, start)), pa.array(content, pa.binary())],
-            names=["key", "doc", "tie", "start", "content"])
+            [*(pa.array(x, pa.int64()) for x in (key, doc, tie, start)), pa.array([0] * len(key), pa.int32()), pa.array(content, pa.binary())],
+            names=["key", "doc", "tie", "start", "place", "content"])
 
 
 def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -365,13 +383,13 @@ def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = G
     found = stored_table(repeated_stretches(docs, _filter(anchors), span, gram))
     stretches = found.where("anchor IS NOT NULL")
     again = found.where("anchor IS NULL")
-    place, same = F.struct("doc", "tie", "start"), ["anchor", "digest"]
-    classes = stored_table(stretches.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")))
+    first, same = F.struct("doc", "tie", "start"), ["anchor", "digest"]
+    classes = stored_table(stretches.groupBy(*same).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")))
     narrow = stretches.select(*same, "doc", "tie", "start", "starts")
     several = classes.where("size > 1").select(*same, "first")
     copies = mark_members(narrow, several, F.xxhash64(*same), "possible").where("possible").join(several, same)
     whole = again.select("doc", "tie", "start", "starts").unionByName(
-        copies.where(place != F.col("first")).select("doc", "tie", "start", "starts")).select(
+        copies.where(first != F.col("first")).select("doc", "tie", "start", "starts")).select(
         "doc", "tie", F.col("start").alias("a"), (F.col("start") + F.col("starts") + (span - 1)).alias("b"))
     groups = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     mixed = stored_table(attach_groups(classes, groups, ["anchor"], "classes", classes.count()).where("classes IS NOT NULL").select(
@@ -380,13 +398,13 @@ def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = G
     firsts = mixed.select(*same, "classes", "first.*")
     wide = mark_members(stretches, firsts, F.xxhash64(*same, "doc", "tie", "start"), "possible").where("possible").join(
         firsts, [*same, "doc", "tie", "start"])
-    columns = [F.col("anchor").alias("key"), "doc", "tie", "start", "content"]
+    columns = [F.col("anchor").alias("key"), "doc", "tie", "start", "place", "content"]
     small = wide.where(F.col("classes") <= group).select(*columns)
-    schema = "key long, doc long, tie long, start long, content binary"
+    schema = "key long, doc long, tie long, start long, place int, content binary"
     large = wide.where(F.col("classes") > group).select("doc", "tie", "start", "content").mapInArrow(
         lambda batches: _split_large(batches, span), schema)
     met = small.unionByName(large).repartition("key").sortWithinPartitions("key")
-    indexed = met.mapInArrow(lambda batches: _index_groups(batches, span), "doc long, tie long, a long, b long")
+    indexed = met.mapInArrow(lambda batches: _index_groups(batches, span, gram), "doc long, tie long, a long, b long")
     return whole.unionByName(indexed)
 
 
