@@ -1,21 +1,22 @@
 """Near-duplicate texts by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
-Every distinct shingle set gets one signature per tree. A tree orders the
-signatures; texts whose signatures share a long prefix stand next to each
-other. The depth of the prefix adapts to the region: where too many signatures
-agree, the region is split by the next value, until it is small. Candidates are
-neighbours by longest common prefix; every one is confirmed by the exact Jaccard
-similarity of both full sets. Components of confirmed links are the classes.
+Every distinct shingle set gets one signature per tree. Signatures that agree
+in a tree's first two values are a region. All pairs of a region are compared,
+by parts that meet each other where it is large; those whose signatures do not
+rule it out are confirmed by the exact Jaccard similarity of both full sets.
+Components of confirmed links are the classes.
 
 Equal sets are one row throughout, so copies are never paired. Two rounds keep
-the work small: the first links nearest neighbours of four trees, the second
-tests wider neighbourhoods of all trees, but only between different components.
+the work small: the first links the nearest neighbours of four trees, in the
+order of whole signatures; the second compares all pairs of the regions of all
+trees, but only those of different components, as others change nothing.
 Full sets are computed again for candidates only; whole texts are not shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +33,13 @@ TREES = 16
 DEPTH = 5
 #: Signatures start a region when they agree in so many values.
 SHALLOW = 2
-#: A region with more signatures is split by the next value.
-REGION = 400
-#: Neighbours on one side that the second round tests.
-NEIGHBOURS = 16
+#: A region with more signatures is cut into parts, all of which meet.
+REGION = 2000
+#: Chance that a pair of similarity 0.75 shares fewer values than the second round asks for.
+MISSED = 1e-9
+#: Bytes of full sets in one block, about, and pairs that two blocks confirm in one task, about.
+BLOCK_BYTES = 16 << 20
+BLOCK_PAIRS = 500_000
 MEMO = 400_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -105,58 +109,126 @@ def describe(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int
     return rows.mapInArrow(convert, "doc_id long, tie long, n_shingles long, digest binary, signature binary")
 
 
-def _regions(classes: DataFrame, trees: int, depth: int, bound: int) -> DataFrame:
-    """(tree, region, node, size, key): signatures that share a prefix, at most about ``bound`` in a region."""
+def _regions(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(tree, region, node, n, key): signatures that agree in a tree's first SHALLOW values, however many."""
     width = 4 * depth
-    active = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
-        "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key"))
-    total = classes.count() * trees
-    settled = []
-    for level in range(min(SHALLOW, depth), depth + 1):
-        cut = active.withColumn("region", F.substring("key", 1, 4 * level))
-        sizes = stored(cut.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        placed = attach_groups(cut, sizes, ["tree", "region"], "size", total).where("size IS NOT NULL")
-        if sizes.where(F.col("size") > bound).isEmpty():
-            settled.append(placed.withColumn("part", F.lit(0)))
-            break
-        placed = stored(placed)
-        settled.append(placed.where(F.col("size") <= bound).withColumn("part", F.lit(0)))
-        active = placed.where(F.col("size") > bound)
-        if level < depth:
-            active = active.drop("region", "size")
-            continue
-        # Whole signatures agree: split by hash, another way in each tree, and tie every part's members to one that all know.
-        parts = F.ceil(F.col("size") / bound)
-        settled.append(active.withColumn("part", F.pmod(F.xxhash64("node", "tree"), parts).cast("int")))
-    whole = settled[0]
-    for frame in settled[1:]:
-        whole = whole.unionByName(frame)
-    return stored(whole)
+    cut = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key")).withColumn(
+        "region", F.substring("key", 1, 4 * min(SHALLOW, depth)))
+    sizes = stored(cut.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    placed = attach_groups(cut, sizes, ["tree", "region"], "size", classes.count() * trees)
+    return stored(placed.where("size IS NOT NULL").drop("size"))
+
+
+def _neighbours(regions: DataFrame) -> DataFrame:
+    """Pairs that stand next to each other in a region's signature order, if their sizes allow a link."""
+    order = Window.partitionBy("tree", "region").orderBy("key", "node")
+    pairs = regions.select("node", "n", F.lead(F.struct("node", "n")).over(order).alias("next")).where(
+        100 * F.least(F.col("n"), F.col("next.n")) >= 75 * F.greatest(F.col("n"), F.col("next.n")))
+    return pairs.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct()
 
 
-def _neighbours(regions: DataFrame, last: int, known: DataFrame | None = None) -> DataFrame:
-    """Pairs up to ``last`` places apart in a region's signature order, if their sizes allow a link.
+def least_matches(values: int) -> int:
+    """Values that two signatures share at least, but for one pair in MISSED, where the sets' similarity is 0.75 or more."""
+    below, matches = 0.0, 0
+    while True:
+        below += math.comb(values, matches) * 0.75 ** matches * 0.25 ** (values - matches)
+        if below > MISSED:
+            return matches
+        matches += 1
 
-    With ``known`` components only pairs of two different ones; others are never made.
-    """
-    if known is None:
-        regions = regions.withColumn("of", F.col("node"))
-    else:
-        regions = regions.join(known, "node", "left").withColumn("of", F.coalesce("component", "node"))
-    order = Window.partitionBy("tree", "region", "part").orderBy("key", "node")
-    ahead = F.array(*[F.lead(F.struct("node", "n", "of"), k).over(order) for k in range(1, last + 1)])
-    useful = F.filter("ahead", lambda x: x.isNotNull() & (x["of"] != F.col("of")) & (
-        100 * F.least(F.col("n"), x["n"]) >= 75 * F.greatest(F.col("n"), x["n"])))
-    pairs = regions.select("node", "n", "of", ahead.alias("ahead")).select("node", F.explode(useful).alias("next"))
-    return pairs.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct()
 
+def _meetings(regions: DataFrame, known: DataFrame, signed: DataFrame, bound: int) -> DataFrame:
+    """(meet, side, tree, node, n, of, signature): what meets in one task, for regions with several components.
 
-def _part_leaders(regions: DataFrame) -> DataFrame:
-    """Pairs that tie the parts of a split region: each part's first node with the region's first."""
-    split = regions.groupBy("tree", "region", "part").agg(F.min("node").alias("leader"))
-    top = split.groupBy("tree", "region").agg(F.min("leader").alias("first"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return split.join(top, ["tree", "region"]).where("leader <> first").select(
-        F.col("first").alias("a"), F.col("leader").alias("b")).distinct()
+    A region of more than about ``bound`` signatures is cut into parts by hash,
+    and every part meets every other one, on two sides, and itself, on side 0.
+    """
+    rows = stored(regions.select("tree", "region", "node", "n").join(known, "node", "left").withColumn(
+        "of", F.coalesce("component", "node")).drop("component"))
+    several = stored(rows.groupBy("tree", "region").agg(
+        F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").drop("low", "high"))
+    parts = F.ceil(F.col("size") / bound).cast("int")
+    placed = attach_groups(rows, several, ["tree", "region"], "size", rows.count()).where("size IS NOT NULL").withColumns(
+        {"part": F.pmod(F.xxhash64("node", "tree"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    return placed.select(
+        F.xxhash64("tree", "region", F.least("part", "other"), F.greatest("part", "other")).alias("meet"),
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "tree", "node", "n", "of").join(
+        signed, "node").select("meet", "side", "tree", "node", "n", "of", "signature")
+
+
+def _alike(columns: list[np.ndarray], signed: np.ndarray, trees: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of one meeting that may link: of different components, with enough equal values, in the first tree where they meet."""
+    side, tree, node, n, of = columns
+    order = np.lexsort((of, side))
+    side, node, n, of, signed = side[order], node[order], n[order], of[order], signed[order]
+    own, shallow = tree[0], min(SHALLOW, signed.shape[1] // trees)
+    turned = np.ascontiguousarray(signed.T)
+    heads = signed.reshape(len(node), trees, -1)[:, :, :shallow]
+    split = int(np.searchsorted(side, 1))
+    base = split if split < len(node) else 0
+    other = np.arange(base, len(node))
+    for at in range(0, split, 256):
+        rows = np.arange(at, min(split, at + 256))
+        if of[rows[0]] == of[rows[-1]] == of[other[0]] == of[other[-1]]:
+            continue
+        fits = of[rows, None] != of[None, other]
+        if not base:
+            fits &= rows[:, None] < other[None, :]
+        fits &= 100 * np.minimum(n[rows, None], n[None, other]) >= 75 * np.maximum(n[rows, None], n[None, other])
+        x, y = np.nonzero(fits)
+        if not len(x):
+            continue
+        if 4 * len(x) < fits.size or fits.size < 1000:
+            equal = np.concatenate([
+                (signed[rows[x[k:k + 4096]]] == signed[other[y[k:k + 4096]]]).sum(axis=1) for k in range(0, len(x), 4096)])
+            good = equal >= least
+        else:
+            shared = np.zeros(fits.shape, np.uint16)
+            for values in turned:
+                shared += values[rows, None] == values[None, other]
+            good = shared[x, y] >= least
+        x, y = rows[x[good]], other[y[good]]
+        for k in range(0, len(x), 1 << 16):
+            i, j = x[k:k + (1 << 16)], y[k:k + (1 << 16)]
+            first = (heads[i] == heads[j]).all(axis=2).argmax(axis=1) == own
+            i, j = node[i[first]], node[j[first]]
+            if len(i):
+                yield np.minimum(i, j), np.maximum(i, j)
+
+
+def _all_pairs(regions: DataFrame, known: DataFrame, signed: DataFrame, trees: int, depth: int, bound: int) -> DataFrame:
+    """All pairs (a, b) of a region, of different ``known`` components, whose signatures do not rule out a link."""
+    least, values = least_matches(trees * depth), trees * depth
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 0):
+            columns = [c.to_numpy() for c in group.columns[1:6]]
+            rows = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint32).reshape(-1, values)
+            for pair in _alike(columns, rows, trees, least):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["a", "b"])
+
+    met = _meetings(regions, known, signed, bound).repartition("meet").sortWithinPartitions("meet")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Tables of the rows with one value in column ``key``, by which the rows are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if held and values[low] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = values[low]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _id_key() -> Column:
@@ -185,21 +257,62 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= 75 * union of their full sets."""
+    """The pairs with 100 * intersection >= 75 * union of their full sets.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(left[k].as_py(), np.uint64), np.frombuffer(right[k].as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+    ``pairs`` and ``sets`` are stored. Nodes fall into blocks by hash, and a task
+    gets the sets of two blocks once each, only those that it has pairs of.
+    """
+    pairs_made = pairs.count()
+    size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    blocks = max(8, -(-size // BLOCK_BYTES), math.isqrt(2 * pairs_made // BLOCK_PAIRS))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
+    task = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
+    keyed = pairs.select(task.alias("task"), "a", "b")
+    members = keyed.select("task", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = keyed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("shingles")).unionByName(
+        members.select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles"))
 
-    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    return stored(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 0):
+            kind, a, b = (c.to_numpy() for c in group.columns[1:4])
+            ours = np.flatnonzero(kind == 0)
+            own = [np.frombuffer(x, np.uint64) for x in group.column(4).take(pa.array(ours)).to_pylist()]
+            nodes = a[ours]
+            order = np.argsort(nodes)
+            nodes = nodes[order]
+            own = [own[k] for k in order]
+            length = np.array([len(x) for x in own], np.int64)
+            names, codes = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            begins = np.cumsum(length) - length
+            left, right = a[kind == 1], b[kind == 1]
+            if not len(left):
+                continue
+            i, j = (np.minimum(np.searchsorted(nodes, x), max(0, len(nodes) - 1)) for x in (left, right))
+            order = np.argsort(i, kind="stable")
+            i, j, left, right = i[order], j[order], left[order], right[order]
+            if not ((nodes[i] == left).all() and (nodes[j] == right).all()):
+                raise ValueError("a pair without its full sets")
+            good = np.zeros(len(i), bool)
+            marked = np.zeros(len(names), bool)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]).tolist()
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                k = i[low]
+                mine = codes[begins[k]:begins[k] + length[k]]
+                marked[mine] = True
+                for at in range(low, high, 1000):
+                    with_ = j[at:min(high, at + 1000)]
+                    many = length[with_]
+                    starts = np.cumsum(many) - many
+                    places = np.arange(int(many.sum())) + np.repeat(begins[with_] - starts, many)
+                    shared = np.add.reduceat(marked[codes[places]], starts, dtype=np.int64)
+                    good[at:at + len(with_)] = 100 * shared >= 75 * (length[k] + many - shared)
+                marked[mine] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[good], pa.int64()) for x in (left, right)], names=["a", "b"])
+
+    met = rows.repartition("task").sortWithinPartitions("task")
+    return stored(met.mapInArrow(check, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, bound: int = REGION) -> DataFrame:
@@ -216,13 +329,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, dep
             F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
             F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     units = units.drop("signature")
-    regions = _regions(classes, trees, depth, bound)
-    near = stored(_neighbours(regions.where("tree < 4"), 1).unionByName(_part_leaders(regions)).distinct())
+    regions = _regions(classes, trees, depth)
+    near = stored(_neighbours(regions.where("tree < 4")))
     wanted = regions.select("node").distinct().join(classes.select("node", "digest", "lowest"), "node")
     sets = _full_sets(docs, stored(wanted), words)
     links = _confirm(near, sets)
     known = stored(components(links))
-    wide = stored(_neighbours(regions, NEIGHBOURS, known).join(near, ["a", "b"], "left_anti"))
+    wide = stored(_all_pairs(regions, known, classes.select("node", "signature"), trees, depth, bound).join(near, ["a", "b"], "left_anti"))
     of = components(links.unionByName(_confirm(wide, sets)))
     joined = stored(classes.drop("signature").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")))
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))

@@ -76,3 +76,29 @@ def test_keep_one(spark):
 def test_empty(spark):
     assert minhash_dedup.near_duplicates(cases.empty(spark)).count() == 0
     assert minhash_dedup.keep_one(cases.empty(spark)).count() == 0
+
+
+def template_rows():
+    """Texts of one template; those of a family are near 0.76 alike, others near 0.68."""
+    draw = random.Random(4)
+    template, rows = [f"t{k}" for k in range(300)], []
+    for f in range(150):
+        own = list(template)
+        for p in draw.sample(range(0, 300, 5), 2):
+            own[p] = f"f{f}p{p}"
+        for v in range(2):
+            text = list(own)
+            for p in draw.sample(range(2, 300, 5), 4):
+                text[p] = f"f{f}v{v}p{p}"
+            rows.append((2 * f + v, " ".join(text), "a"))
+    return rows
+
+
+def test_template_group(spark):
+    rows = template_rows()
+    assert ours(minhash_dedup.near_duplicates(cases.frame(spark, rows), bound=40)) == expected(rows)
+
+
+def test_least_matches_depends_on_the_number_of_values():
+    assert minhash_dedup.least_matches(3) == 0
+    assert 30 < minhash_dedup.least_matches(80) < 45
