@@ -18,8 +18,9 @@ earlier: in a smaller doc_id, or earlier in the same document.
    Suffixes that match in ``span`` bytes or more are equal strings, of which all
    but the first go.
 
-An anchor with too many different stretches is split by the strings themselves,
-so no task holds an unbounded group.
+The stretches of an anchor with too many different ones are split into single
+strings. These enter no index: the first place of each is an aggregate over
+their hashes, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -361,20 +362,32 @@ def _index_groups(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
 
 
 def _split_large(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Every string of a stretch as a stretch of its own, keyed by its hash."""
+    """The hash of every string of a stretch, with its place."""
     for batch in batches:
-        key, doc, tie, start, content = [], [], [], [], []
-        for d, t, s, c in zip(*(col.to_pylist() for col in batch.columns)):
-            for k in range(len(c) - span + 1):
-                own = c[k:k + span]
-                key.append(xxhash.xxh3_64_intdigest(own) - (1 << 63))
-                doc.append(d)
-                tie.append(t)
-                start.append(s + k)
-                content.append(own)
+        anchor, key, doc, tie, start = [], [], [], [], []
+        for name, d, t, s, c in zip(*(col.to_pylist() for col in batch.columns)):
+            many = len(c) - span + 1
+            key += [xxhash.xxh3_64_intdigest(c[k:k + span]) - (1 << 63) for k in range(many)]
+            anchor += [name] * many
+            doc += [d] * many
+            tie += [t] * many
+            start += range(s, s + many)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.int64()) for x in (key, doc, tie, start)), pa.array([0] * len(key), pa.int32()), pa.array(content, pa.binary())],
-            names=["key", "doc", "tie", "start", "place", "content"])
+            [pa.array(x, pa.int64()) for x in (anchor, key, doc, tie, start)], names=["anchor", "key", "doc", "tie", "start"])
+
+
+def _later_strings(large: DataFrame, span: int) -> DataFrame:
+    """(doc, tie, a, b) of every string but the first of its kind, from (anchor, doc, tie, start, content) of stretches.
+
+    Strings with one anchor and one hash are equal. The first place is a partial
+    minimum in every task, and hot strings stay where they are.
+    """
+    strings = stored_table(large.mapInArrow(
+        lambda batches: _split_large(batches, span), "anchor long, key long, doc long, tie long, start long"))
+    same, place = ["anchor", "key"], F.struct("doc", "tie", "start")
+    firsts = stored(strings.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
+    return attach_groups(strings, firsts, same, "many", strings.count()).where(place != F.col("first")).select(
+        "doc", "tie", F.col("start").alias("a"), (F.col("start") + span).alias("b"))
 
 
 def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -399,13 +412,12 @@ def removals(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = G
     wide = mark_members(stretches, firsts, F.xxhash64(*same, "doc", "tie", "start"), "possible").where("possible").join(
         firsts, [*same, "doc", "tie", "start"])
     columns = [F.col("anchor").alias("key"), "doc", "tie", "start", "place", "content"]
-    small = wide.where(F.col("classes") <= group).select(*columns)
-    schema = "key long, doc long, tie long, start long, place int, content binary"
-    large = wide.where(F.col("classes") > group).select("doc", "tie", "start", "content").mapInArrow(
-        lambda batches: _split_large(batches, span), schema)
-    met = small.unionByName(large).repartition("key").sortWithinPartitions("key")
-    indexed = met.mapInArrow(lambda batches: _index_groups(batches, span, gram), "doc long, tie long, a long, b long")
-    return whole.unionByName(indexed)
+    met = wide.where(F.col("classes") <= group).select(*columns).repartition("key").sortWithinPartitions("key")
+    removed = whole.unionByName(met.mapInArrow(lambda batches: _index_groups(batches, span, gram), "doc long, tie long, a long, b long"))
+    if groups.where(F.col("classes") > group).isEmpty():
+        return removed
+    large = wide.where(F.col("classes") > group).select("anchor", "doc", "tie", "start", "content")
+    return removed.unionByName(_later_strings(large, span))
 
 
 def deduplicate(docs: DataFrame, span: int = SPAN, with_text: bool = False) -> DataFrame:

@@ -74,3 +74,19 @@ def test_index_finds_all_matching_lengths():
                 n += 1
             assert lengths[here] == n
         assert len(index.run_starts) == len(index.run_ends) <= len(text)
+
+
+def test_hot_string_is_aggregated_and_enters_no_index(spark, monkeypatch):
+    passage = cases.words(0, 40, 9000)
+    rows = [(i, cases.words(i + 1, 4, 9000) + " " + passage + " " + cases.words(i + 900, 4, 9000), "a") for i in range(400)]
+    split = []
+
+    def seen(large, span, f=suffix_dedup._later_strings):
+        split.append(f(large, span))
+        return split[-1]
+
+    monkeypatch.setattr(suffix_dedup, "_later_strings", seen)
+    monkeypatch.setattr(suffix_dedup, "removals", lambda d, s, f=suffix_dedup.removals: f(d, s, group=3))
+    got = Counter(tuple(r) for r in suffix_dedup.deduplicate(cases.frame(spark, rows)).collect())
+    assert got == expected(rows)
+    assert split and "MapInArrow" not in split[0]._jdf.queryExecution().toString()
