@@ -351,7 +351,8 @@ def _index_groups(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> It
     held: list[tuple] = []
     size = 0
     for _, group in groupby(every, key=lambda row: row[0]):
-        rows = _with_partner(list(group), span, gram)
+        # Repeated rows are one document, so each of its stretches counts once.
+        rows = _with_partner(list({row[1:4]: row for row in group}.values()), span, gram)
         held += rows
         size += sum(len(r[-1]) for r in rows)
         if size >= INDEX_BYTES:

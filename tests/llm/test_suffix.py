@@ -90,3 +90,12 @@ def test_hot_string_is_aggregated_and_enters_no_index(spark, monkeypatch):
     got = Counter(tuple(r) for r in suffix_dedup.deduplicate(cases.frame(spark, rows)).collect())
     assert got == expected(rows)
     assert split and "MapInArrow" not in split[0]._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("group", [5000, 1])
+def test_repeated_rows_beside_a_shared_passage(spark, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "removals", lambda d, s, f=suffix_dedup.removals: f(d, s, group=group))
+    passage = cases.words(0, 40, 9000)
+    rows = [(i, cases.words(i + 1, 30, 9000) + " " + passage + " " + cases.words(i + 50, 30, 9000), "a") for i in (1, 2, 2, 2, 3)]
+    got = Counter(tuple(r) for r in suffix_dedup.deduplicate(cases.frame(spark, rows)).collect())
+    assert got == expected(rows)
