@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cumulo.llm import (
-    divergence, embedding_dedup, exact_dedup, language_model, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity, whitening,
+    divergence, embedding_dedup, exact_dedup, language_model, minhash_dedup, mixing, packing, personal_data, quality, suffix_dedup, token_counts, toxicity, whitening,
 )
 from cumulo.llm.common import read
 
@@ -57,6 +57,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicate(read(spark, folder, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.report(read(spark, folder, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(read(spark, folder, "documents"))
 
@@ -66,5 +70,5 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_exact_dedup, op4_lm_score, op5_minhash_dedup, op6_token_counts, op7_embedding_dedup, op8_toxicity, op9_best_fit_packing, op10_suffix_dedup,
-                                  op12_source_divergence, op13_whitening)}
+                                  op11_personal_data, op12_source_divergence, op13_whitening)}
 SQL = {"op2_mix_sources": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op12_source_divergence": divergence.SQL}
