@@ -322,7 +322,7 @@ def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id", confide
     Starts and ends count code points, ends are exclusive. Null texts are empty,
     empty texts have no spans. Repeated rows get the same spans, a null id is an id
     like others, and an empty table gives no rows. A kind of which the table holds
-    too few base spans gets no others. A column of the input named ``spans`` gives way.
+    too few base spans gets no others, and no span is added that meets a base span. A column of the input named ``spans`` gives way.
     """
     proposed = stored(propose(docs, text))
     trees, least = fit(proposed, id_column, confident)
@@ -331,6 +331,9 @@ def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id", confide
         trees.column(lambda name: s[name]).alias("score")))
     df = _with(proposed, spans=scored)
     df = _with(df, spans=F.filter(OWN + "spans", lambda s: s["base"] | (s["score"] >= _least(s["kind"], least))))
+    df = _with(df, base=F.filter(OWN + "spans", lambda s: s["base"]))
+    df = _with(df, spans=F.filter(OWN + "spans", lambda s: s["base"] | ~F.exists(
+        OWN + "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).drop(OWN + "base")
     named = F.transform(F.array_sort(OWN + "spans"), lambda s: F.struct(
         F.element_at(F.lit(KINDS), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         s["base"].alias("base"), s["score"].alias("score")))
