@@ -1,16 +1,21 @@
 """Near-duplicate texts by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
-Every distinct shingle set gets one signature per tree. Signatures that agree
-in a tree's first two values are a region. All pairs of a region are compared,
-by parts that meet each other where it is large; those whose signatures do not
-rule it out are confirmed by the exact Jaccard similarity of both full sets.
-Components of confirmed links are the classes.
-
-Equal sets are one row throughout, so copies are never paired. Two rounds keep
-the work small: the first links the nearest neighbours of four trees, in the
-order of whole signatures; the second compares all pairs of the regions of all
-trees, but only those of different components, as others change nothing.
-Full sets are computed again for candidates only; whole texts are not shuffled.
+Every distinct shingle set gets one signature per tree, and each tree is the order
+of its signatures. Signatures with a common prefix are a region; its depth adapts:
+a region starts at ``SHALLOW`` common values, and where it holds more than ``bound``
+signatures it falls into the regions of the next value, down to the full depth.
+
+Two rounds keep the work small. The first confirms the neighbours by longest common
+prefix in the orders of four trees. The second compares the signatures of every
+region, but only between different components, as other links change nothing. A
+comparison that leaves few pairs for each member sends them on to be confirmed
+on the full sets; one that leaves more gets the full sets instead, counts all
+intersections by matrix products, and sends on a spanning forest of the links. So
+rows grow with the members of a region, not with its pairs. Regions that are large
+at full depth meet by parts, and no pair of them is left out.
+
+Equal sets are one row throughout, so copies are never paired. Full sets are
+computed again for candidates only; whole texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -29,12 +34,18 @@ from cumulo.llm.common import OWN, attach_groups, mark_members, stored
 from cumulo.llm.graph import components
 
 WORDS = 5
-TREES = 16
-DEPTH = 5
-#: Signatures start a region when they agree in so many values.
+TREES = 24
+DEPTH = 4
+#: Values in which the signatures of the widest regions agree.
 SHALLOW = 2
-#: A region with more signatures is cut into parts, all of which meet.
+#: A region with more signatures is deepened; at full depth it is cut into parts, all of which meet.
 REGION = 2000
+#: Shingles of one part, about.
+PART_SHINGLES = 1 << 21
+#: Pairs that a meeting sends on for each member, at most; beyond that it gets the full sets.
+FEW = 4
+#: Shingles that one matrix product takes.
+COLUMNS = 2048
 #: Chance that a pair of similarity 0.75 shares fewer values than the second round asks for.
 MISSED = 1e-9
 #: Bytes of full sets in one block, about, and pairs that two blocks confirm in one task, about.
@@ -109,25 +120,56 @@ def describe(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int
     return rows.mapInArrow(convert, "doc_id long, tie long, n_shingles long, digest binary, signature binary")
 
 
-def _regions(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(tree, region, node, n, key): signatures that agree in a tree's first SHALLOW values, however many."""
+def _regions(classes: DataFrame, trees: int, depth: int, bound: int) -> DataFrame:
+    """(tree, region, depth, size, weight, node, n, key): signatures with a common prefix, as deep as the region's size asks for.
+
+    Two signatures that agree in all values of a tree are in one of its regions.
+    """
     width = 4 * depth
-    cut = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
-        "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key")).withColumn(
-        "region", F.substring("key", 1, 4 * min(SHALLOW, depth)))
-    sizes = stored(cut.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    placed = attach_groups(cut, sizes, ["tree", "region"], "size", classes.count() * trees)
-    return stored(placed.where("size IS NOT NULL").drop("size"))
+    rows = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key"))
+    total, done = classes.count() * trees, []
+    for level in range(min(SHALLOW, depth), depth + 1):
+        named = rows.withColumn("region", F.substring("key", 1, 4 * level))
+        sizes = stored(named.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"))
+        placed = stored(attach_groups(named, sizes, ["tree", "region"], "size", total).where("size IS NOT NULL").withColumn(
+            "depth", F.lit(level)))
+        if level == depth or sizes.where(F.col("size") > bound).isEmpty():
+            return _union([*done, placed])
+        done.append(placed.where(F.col("size") <= bound))
+        rows = placed.where(F.col("size") > bound).select("node", "n", "tree", "key")
+    raise AssertionError("the last level returns")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
 
+def _parts(bound: int) -> Column:
+    return F.ceil(F.greatest(F.col("size") / bound, F.col("weight") / PART_SHINGLES)).cast("int")
 
-def _neighbours(regions: DataFrame) -> DataFrame:
+
+def _neighbours(regions: DataFrame, bound: int) -> DataFrame:
     """Pairs that stand next to each other in a region's signature order, if their sizes allow a link."""
-    order = Window.partitionBy("tree", "region").orderBy("key", "node")
+    part = F.pmod(F.xxhash64("node", "tree"), _parts(bound))
+    order = Window.partitionBy("tree", "region", part).orderBy("key", "node")
     pairs = regions.select("node", "n", F.lead(F.struct("node", "n")).over(order).alias("next")).where(
         100 * F.least(F.col("n"), F.col("next.n")) >= 75 * F.greatest(F.col("n"), F.col("next.n")))
     return pairs.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct()
 
 
+def _with_depths(regions: DataFrame, classes: DataFrame, trees: int) -> DataFrame:
+    """(node, signature, depths): in one byte per tree, how deep the node's region is; 255 where it has none."""
+    level = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(
+        F.element_at("depth_of", t), F.lit(255)))
+    found = regions.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "depth"))).alias("depth_of"))
+    hexes = F.array_join(F.transform(level, lambda d: F.lpad(F.hex(d), 2, "0")), "")
+    return found.select("node", F.unhex(hexes).alias("depths")).join(classes.select("node", "signature"), "node")
+
+
 def least_matches(values: int) -> int:
     """Values that two signatures share at least, but for one pair in MISSED, where the sets' similarity is 0.75 or more."""
     below, matches = 0.0, 0
@@ -138,8 +180,8 @@ def least_matches(values: int) -> int:
         matches += 1
 
 
-def _meetings(regions: DataFrame, known: DataFrame, signed: DataFrame, bound: int) -> DataFrame:
-    """(meet, side, tree, node, n, of, signature): what meets in one task, for regions with several components.
+def _meetings(regions: DataFrame, known: DataFrame, bound: int) -> DataFrame:
+    """(meet, side, tree, node, n, of): what meets in one task, for regions with several components.
 
     A region of more than about ``bound`` signatures is cut into parts by hash,
     and every part meets every other one, on two sides, and itself, on side 0.
@@ -147,24 +189,23 @@ def _meetings(regions: DataFrame, known: DataFrame, signed: DataFrame, bound: in
     rows = stored(regions.select("tree", "region", "node", "n").join(known, "node", "left").withColumn(
         "of", F.coalesce("component", "node")).drop("component"))
     several = stored(rows.groupBy("tree", "region").agg(
-        F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").drop("low", "high"))
-    parts = F.ceil(F.col("size") / bound).cast("int")
-    placed = attach_groups(rows, several, ["tree", "region"], "size", rows.count()).where("size IS NOT NULL").withColumns(
-        {"part": F.pmod(F.xxhash64("node", "tree"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
-    return placed.select(
+        F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where(
+        "low <> high").drop("low", "high"))
+    placed = attach_groups(rows, several, ["tree", "region"], "size", rows.count()).where("size IS NOT NULL")
+    placed = placed.withColumn("parts", _parts(bound)).withColumns(
+        {"part": F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    return stored(placed.select(
         F.xxhash64("tree", "region", F.least("part", "other"), F.greatest("part", "other")).alias("meet"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "tree", "node", "n", "of").join(
-        signed, "node").select("meet", "side", "tree", "node", "n", "of", "signature")
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "tree", "node", "n", "of"))
 
 
-def _alike(columns: list[np.ndarray], signed: np.ndarray, trees: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _alike(columns: list[np.ndarray], depths: np.ndarray, signed: np.ndarray, trees: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b) of one meeting that may link: of different components, with enough equal values, in the first tree where they meet."""
     side, tree, node, n, of = columns
     order = np.lexsort((of, side))
-    side, node, n, of, signed = side[order], node[order], n[order], of[order], signed[order]
-    own, shallow = tree[0], min(SHALLOW, signed.shape[1] // trees)
+    side, node, n, of, depths, signed = side[order], node[order], n[order], of[order], depths[order], signed[order]
+    own = tree[0]
     turned = np.ascontiguousarray(signed.T)
-    heads = signed.reshape(len(node), trees, -1)[:, :, :shallow]
     split = int(np.searchsorted(side, 1))
     base = split if split < len(node) else 0
     other = np.arange(base, len(node))
@@ -189,27 +230,93 @@ def _alike(columns: list[np.ndarray], signed: np.ndarray, trees: int, least: int
                 shared += values[rows, None] == values[None, other]
             good = shared[x, y] >= least
         x, y = rows[x[good]], other[y[good]]
-        for k in range(0, len(x), 1 << 16):
-            i, j = x[k:k + (1 << 16)], y[k:k + (1 << 16)]
-            first = (heads[i] == heads[j]).all(axis=2).argmax(axis=1) == own
+        for k in range(0, len(x), 1 << 14):
+            i, j = x[k:k + (1 << 14)], y[k:k + (1 << 14)]
+            common = np.cumprod((signed[i] == signed[j]).reshape(len(i), trees, -1), axis=2).sum(axis=2)
+            first = (common >= depths[i]).argmax(axis=1) == own
             i, j = node[i[first]], node[j[first]]
             if len(i):
                 yield np.minimum(i, j), np.maximum(i, j)
 
 
-def _all_pairs(regions: DataFrame, known: DataFrame, signed: DataFrame, trees: int, depth: int, bound: int) -> DataFrame:
-    """All pairs (a, b) of a region, of different ``known`` components, whose signatures do not rule out a link."""
+def _candidates(met: DataFrame, signed: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(meet, a, b) of pairs of different components that the signatures do not rule out; (meet, null, null) where there are too many."""
     least, values = least_matches(trees * depth), trees * depth
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 0):
             columns = [c.to_numpy() for c in group.columns[1:6]]
-            rows = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint32).reshape(-1, values)
-            for pair in _alike(columns, rows, trees, least):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["a", "b"])
+            depths = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(-1, trees)
+            rows = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint32).reshape(-1, values)
+            found, many = [], 0
+            for pair in _alike(columns, depths, rows, trees, least):
+                found.append(pair)
+                many += len(pair[0])
+                if many > FEW * len(rows):
+                    break
+            meet = group.column(0)[0].as_py()
+            if many > FEW * len(rows):
+                one = [pa.array([meet], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64())]
+            else:
+                one = [pa.array([meet] * many, pa.int64()), *(
+                    pa.array(np.concatenate([pair[k] for pair in found]) if found else [], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(one, names=["meet", "a", "b"])
+
+    rows = met.join(signed, "node").select("meet", "side", "tree", "node", "n", "of", "depths", "signature")
+    return rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(compare, "meet long, a long, b long")
+
+
+def _spanning(good: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix; every row is looked at once."""
+    waiting = np.ones(len(good), bool)
+    for start in range(len(good)):
+        if not waiting[start]:
+            continue
+        waiting[start], front = False, [start]
+        while front:
+            here = front.pop()
+            new = np.flatnonzero(good[here] & waiting)
+            waiting[new] = False
+            for there in new.tolist():
+                yield here, there
+            front += new.tolist()
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the shingles that several sets hold."""
+    length = np.array([len(x) for x in sets])
+    _, codes, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    line = np.repeat(np.arange(len(sets)), length)
+    several = many[codes] > 1
+    line, codes = line[several], (np.cumsum(many > 1) - 1)[codes[several]]
+    order = np.argsort(codes, kind="stable")
+    line, codes = line[order], codes[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers, exact below 2^24
+    for low in range(0, int((many > 1).sum()), COLUMNS):
+        begin, end = np.searchsorted(codes, [low, low + COLUMNS])
+        piece = np.zeros((len(sets), COLUMNS), np.float32)
+        piece[line[begin:end], codes[begin:end] - low] = 1
+        total += piece @ piece.T
+    return total
+
+
+def _dense_links(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links between different components, for every meeting, from full sets."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 0):
+            side, node, n, of = (c.to_numpy() for c in group.columns[1:5])
+            own = [np.frombuffer(x, np.uint64) for x in group.column(5).to_pylist()]
+            shared = _shared(own)
+            good = 100 * shared >= 75 * (n[:, None] + n[None, :] - shared)
+            good &= of[:, None] != of[None, :]
+            if side.any():
+                good &= side[:, None] != side[None, :]
+            edges = np.array(list(_spanning(good)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    met = _meetings(regions, known, signed, bound).repartition("meet").sortWithinPartitions("meet")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    rows = met.join(sets, "node").select("meet", "side", "node", "n", "of", "shingles")
+    return stored(rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(link, "a long, b long"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
@@ -329,14 +436,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, dep
             F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
             F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     units = units.drop("signature")
-    regions = _regions(classes, trees, depth)
-    near = stored(_neighbours(regions.where("tree < 4")))
+    regions = stored(_regions(classes, trees, depth, bound))
+    near = stored(_neighbours(regions.where("tree < 4"), bound))
     wanted = regions.select("node").distinct().join(classes.select("node", "digest", "lowest"), "node")
     sets = _full_sets(docs, stored(wanted), words)
     links = _confirm(near, sets)
     known = stored(components(links))
-    wide = stored(_all_pairs(regions, known, classes.select("node", "signature"), trees, depth, bound).join(near, ["a", "b"], "left_anti"))
-    of = components(links.unionByName(_confirm(wide, sets)))
+    met = _meetings(regions, known, bound)
+    wide = stored(_candidates(met, _with_depths(regions, classes, trees), trees, depth))
+    many = met.join(wide.where("a IS NULL").select("meet"), "meet", "left_semi")
+    pairs = stored(wide.where("a IS NOT NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
+    of = components(_union([links, _confirm(pairs, sets), _dense_links(many, sets)]))
     joined = stored(classes.drop("signature").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")))
     lowest = joined.groupBy("component").agg(F.min("lowest").alias("component_id"))
     table = stored(joined.join(lowest, "component").select("digest", "copies", F.col("component").alias("class"), "component_id"))

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from cumulo.llm import minhash_dedup
 from tests.llm import cases
 
@@ -60,7 +62,7 @@ def test_near_copies(spark):
     docs = cases.frame(spark, near_rows())
     wanted = expected(near_rows())
     assert ours(minhash_dedup.near_duplicates(docs)) == wanted
-    # Regions so small that they are split by every value and then by hash.
+    # Regions so small that they are deepened to the full depth and then cut into parts.
     assert ours(minhash_dedup.near_duplicates(docs, bound=4)) == wanted
 
 
@@ -99,6 +101,31 @@ def test_template_group(spark):
     assert ours(minhash_dedup.near_duplicates(cases.frame(spark, rows), bound=40)) == expected(rows)
 
 
+def test_meetings_with_many_pairs(spark, monkeypatch):
+    """With no pair allowed per member all of the second round goes by full sets, without rows per pair."""
+    monkeypatch.setattr(minhash_dedup, "FEW", 0)
+    rows = template_rows() + [(i + 5000, t, s) for i, t, s in near_rows()]
+    assert ours(minhash_dedup.near_duplicates(cases.frame(spark, rows))) == expected(rows)
+
+
+def test_shared_counts_and_forest():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 3000, draw.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
+    wanted = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = minhash_dedup._shared(sets)
+    assert all(got[i, j] == wanted[i][j] for i in range(40) for j in range(40) if i != j)
+    good = draw.random((60, 60)) < 0.02
+    good |= good.T
+    edges = list(minhash_dedup._spanning(good))
+    assert all(good[a, b] for a, b in edges)
+    parent = list(range(60))
+    for a, b in edges:
+        old, new = parent[a], parent[b]
+        assert old != new
+        parent = [new if x == old else x for x in parent]
+    assert all(parent[a] == parent[b] for a, b in zip(*np.nonzero(good)))
+
+
 def test_least_matches_depends_on_the_number_of_values():
     assert minhash_dedup.least_matches(3) == 0
     assert 30 < minhash_dedup.least_matches(80) < 45
