@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulo.catalog.sqltext import d, hash_int, hash_text, out
+from cumulo.catalog.sqltext import d, draws, hash_text, out, slice_draws
 from cumulo.catalog.views import (
-    FACTORIAL_CTES, PART_CTES, RATE_CTES, RESULT_CTES, STABILITY_CTES, factorial_rows, part_manifest, rate_rows, result_rows, stability_rows,
+    FACTORIAL_CTES, PART_CTES, RATE_CTES, RESULT_CTES, STABILITY_CTES, STABILITY_FRESH_CTES, factorial_rows, part_manifest, rate_rows, result_rows, stability_rows,
 )
 from cumulo.functions import formulas as fm
 from cumulo.functions import lattice as lt
@@ -354,7 +354,7 @@ def run_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- statistics ------------------------------------------------------------
 
-B = 100
+B = 10_000
 
 
 def _long_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -363,17 +363,23 @@ def _long_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("split", "method", "model_seed", "family", "model_id", metrics)
 
 
-_KEY = ("'boot'", "split", "method", "metric", "CAST(r AS VARCHAR)")
-BOOT = f"""WITH {RESULT_CTES}, {PAIRS}, lp AS MATERIALIZED (SELECT split, method, 'chamfer_mse' AS metric, model_seed, family, model_id, b, c FROM pairs UNION ALL SELECT split, method, 'fresh_chamfer_mse', model_seed, family, model_id, fb, fc FROM pairs),
- ix AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY split, method, metric ORDER BY model_seed) - 1 AS s, dense_rank() OVER (PARTITION BY split, method, metric ORDER BY family, model_id) - 1 AS ci FROM lp),
- n AS (SELECT split, method, metric, max(s) + 1 AS ns, max(ci) + 1 AS nc FROM ix GROUP BY ALL),
+def _boot(name: str, keys: str, pairs: str) -> str:
+    """Bootstrap of every cell named by ``keys``; ``pairs`` selects the keys, model_seed, family, model_id, b, c."""
+    stream = [f"'{name}'", *(k.strip() for k in keys.split(","))]
+    return f"""WITH {RESULT_CTES}, {PAIRS}, lp AS MATERIALIZED ({pairs}),
+ ix AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY model_seed) - 1 AS s, dense_rank() OVER (PARTITION BY {keys} ORDER BY family, model_id) - 1 AS member FROM lp),
+ n AS (SELECT {keys}, max(s) + 1 AS ns, max(member) + 1 AS nc FROM ix GROUP BY ALL),
  reps AS (SELECT n.*, r FROM n, range({B}) t(r)),
- sd AS (SELECT split, method, metric, r, s, count(*) AS m FROM (SELECT split, method, metric, r, {hash_int(*_KEY, "'seed'", "CAST(i AS VARCHAR)")} % ns AS s FROM (SELECT *, unnest(range(ns)) AS i FROM reps)) GROUP BY ALL),
- cd AS (SELECT split, method, metric, r, ci, count(*) AS m FROM (SELECT split, method, metric, r, {hash_int(*_KEY, "'cloud'", "CAST(i AS VARCHAR)")} % nc AS ci FROM (SELECT *, unnest(range(nc)) AS i FROM reps)) GROUP BY ALL),
- dr AS (SELECT split, method, metric, r, sum(sd.m * cd.m * b) AS tb, sum(sd.m * cd.m * c) AS tc FROM sd JOIN cd USING (split, method, metric, r) JOIN ix USING (split, method, metric, s, ci) GROUP BY ALL),
- gn AS (SELECT split, method, metric, {IMPROVE.format(b='sqrt(tb / (ns * nc))', c='sqrt(tc / (ns * nc))')} AS g FROM dr JOIN n USING (split, method, metric)),
- q AS (SELECT split, method, metric, quantile_cont(g, {d(0.025)}) AS lo, quantile_cont(g, {d(0.975)}) AS hi FROM gn GROUP BY ALL), pt AS (SELECT split, method, metric, sqrt(avg(b)) AS br, sqrt(avg(c)) AS cr FROM lp GROUP BY ALL)
-SELECT split, method, metric, {out('br')} AS base_rmse, {out('cr')} AS rmse, {out(IMPROVE.format(b='br', c='cr'))} AS improvement_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper, ns AS seeds, nc AS clouds FROM pt JOIN q USING (split, method, metric) JOIN n USING (split, method, metric)"""
+ sd AS (SELECT {keys}, r, u AS s, count(*) AS k FROM ({draws('reps', f'{keys}, r', 'ns', 'ns', *stream, "'seed'", 'CAST(r AS VARCHAR)')}) GROUP BY ALL),
+ cd AS ({slice_draws('reps', keys, 'nc', 'nc', '0', *stream)}),
+ part AS (SELECT {keys}, r, s, sum(m * b) AS tb, sum(m * c) AS tc FROM cd JOIN ix USING ({keys}, member) GROUP BY ALL),
+ dr AS (SELECT {keys}, r, sum(k * tb) AS tb, sum(k * tc) AS tc FROM sd JOIN part USING ({keys}, r, s) GROUP BY ALL),
+ gn AS (SELECT {keys}, {IMPROVE.format(b='sqrt(tb / (ns * nc))', c='sqrt(tc / (ns * nc))')} AS g FROM dr JOIN n USING ({keys})),
+ q AS (SELECT {keys}, quantile_cont(g, {d(0.025)}) AS lo, quantile_cont(g, {d(0.975)}) AS hi FROM gn GROUP BY ALL), pt AS (SELECT {keys}, sqrt(avg(b)) AS br, sqrt(avg(c)) AS cr FROM lp GROUP BY ALL)
+SELECT {keys}, {out('br')} AS base_rmse, {out('cr')} AS rmse, {out(IMPROVE.format(b='br', c='cr'))} AS improvement_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper, ns AS seeds, nc AS clouds FROM pt JOIN q USING ({keys}) JOIN n USING ({keys})"""
+
+
+BOOT = _boot("boot", "split, method, metric", "SELECT split, method, 'chamfer_mse' AS metric, model_seed, family, model_id, b, c FROM pairs UNION ALL SELECT split, method, 'fresh_chamfer_mse', model_seed, family, model_id, fb, fc FROM pairs")
 
 
 @query(BOOT)
@@ -392,10 +398,13 @@ def _components(source: str, keys: str, row: str, column: str, name: str) -> str
  {name} AS MATERIALIZED (SELECT *, greatest((mr - mi) / nc, 0) AS vr, greatest((mc - mi) / nr, 0) AS vc FROM {name}_m)"""
 
 
-_VK = ("'var'", "arm", "split", "CAST(r AS VARCHAR)")
+_VK = ("'var'", "arm", "split")
 VARIANCE = f"""WITH {STABILITY_CTES}, {CELLS}, {_components('ce', 'arm, split', 'decoder_seed', 'refiner_seed', 'pt')},
  ix AS (SELECT arm, split, dense_rank() OVER (PARTITION BY arm, split ORDER BY decoder_seed) - 1 AS di, dense_rank() OVER (PARTITION BY arm, split ORDER BY refiner_seed) - 1 AS ri, v FROM ce),
- lv AS (SELECT arm, split, r, a, b, {hash_int(*_VK, "'row'", "CAST(a AS VARCHAR)")} % nr AS di, {hash_int(*_VK, "'column'", "CAST(b AS VARCHAR)")} % nc AS ri FROM (SELECT *, unnest(range(nc)) AS b FROM (SELECT *, unnest(range(nr)) AS a FROM (SELECT arm, split, nr, nc, r FROM pt, range({B}) t(r))))),
+ rp AS (SELECT arm, split, nr, nc, r FROM pt, range({B}) t(r)),
+ lr AS (SELECT arm, split, r, a, u AS di FROM ({draws('rp', 'arm, split, r, 4 * blk + quarter AS a', 'nr', 'nr', *_VK, "'row'", 'CAST(r AS VARCHAR)')})),
+ lc AS (SELECT arm, split, r, b, u AS ri FROM ({draws('rp', 'arm, split, r, 4 * blk + quarter AS b', 'nc', 'nc', *_VK, "'column'", 'CAST(r AS VARCHAR)')})),
+ lv AS (SELECT * FROM lr JOIN lc USING (arm, split, r)),
  dw AS (SELECT arm, split, r, a, b, v FROM lv JOIN ix USING (arm, split, di, ri)), {_components('dw', 'arm, split, r', 'a', 'b', 'bt')},
  q AS (SELECT arm, split, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.025)}) AS lo, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.975)}) AS hi FROM bt GROUP BY ALL)
 SELECT arm, split, {out('vr', 12)} AS var_row, {out('vc', 12)} AS var_column, {out('mi', 12)} AS var_interaction, {out('vr / (vr + vc + mi)')} AS fraction_row, {out(f'vr / greatest(vc + mi, {d(1e-18)})')} AS ratio, {out('lo', 5)} AS ci_lower, {out(f'log10(greatest(hi, {d(1e-18)}))', 5)} AS log10_ci_upper,
@@ -427,7 +436,7 @@ _MARG = """cm AS (SELECT arm, split, method, decoder_seed, refiner_seed, avg(cha
  mg AS MATERIALIZED (SELECT split, decoder_seed, sqrt(avg(m) FILTER (arm = 'baseline' AND method = 'refiner')) AS b, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'refiner')) AS s, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'fps')) AS f FROM cm GROUP BY ALL)"""
 _Q = "quantile_cont({c}, CAST({p} AS DOUBLE))"
 TAIL = f"""WITH {STABILITY_CTES}, {_MARG}, ix AS (SELECT *, dense_rank() OVER (PARTITION BY split ORDER BY decoder_seed) - 1 AS i, count(*) OVER (PARTITION BY split) AS n FROM mg),
- dr AS (SELECT split, r, {hash_int("'tail'", 'split', 'CAST(r AS VARCHAR)', 'CAST(i AS VARCHAR)')} % n AS i FROM ix, range({B}) t(r)), qd AS (SELECT split, r, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs FROM dr JOIN ix USING (split, i) GROUP BY ALL),
+ dr AS (SELECT split, r, u AS i FROM ({draws(f'(SELECT DISTINCT split, n, r FROM ix, range({B}) t(r))', 'split, r', 'n', 'n', "'tail'", 'split', "'unit'", 'CAST(r AS VARCHAR)')})), qd AS (SELECT split, r, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs FROM dr JOIN ix USING (split, i) GROUP BY ALL),
  ci AS (SELECT split, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.025)} AS lo, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.975)} AS hi FROM qd GROUP BY split),
  pt AS (SELECT split, count(*) AS units, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs, {_Q.format(c='b', p=0.5)} AS mb, {_Q.format(c='s', p=0.5)} AS ms, {_Q.format(c=IMPROVE.format(b='f', c='s'), p=0.5)} AS gf, count(*) FILTER (s < b) AS wb, count(*) FILTER (s < f) AS wf FROM mg GROUP BY split)
 SELECT split, units, {out('qb')} AS baseline_q90, {out('qs')} AS stabilized_q90, {out(IMPROVE.format(b='qb', c='qs'))} AS q90_reduction_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper, {out(IMPROVE.format(b='mb', c='ms'))} AS median_reduction_percent, {out('gf')} AS median_gain_over_fps_percent, wb AS better_than_baseline, wf AS better_than_fps FROM pt JOIN ci USING (split)"""
@@ -458,28 +467,39 @@ def spearman(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sx.association(units, ["split"], "x", "y"))
 
 
-_H = lambda *p: hash_int("'factor'", "CAST(r AS VARCHAR)", *p)
-FACTOR = f"""WITH {FACTORIAL_CTES}, co AS (SELECT * FROM fac WHERE arm = 'stabilized'), fe AS (SELECT decoder_seed AS feature_seed, family, model_id, avg(fresh_chamfer_mse) AS m FROM fac WHERE arm = 'baseline' GROUP BY ALL),
- ca AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY decoder_seed) - 1 AS di, dense_rank() OVER (ORDER BY refiner_seed) - 1 AS ri, family, model_id, chamfer_mse AS m FROM co), fa AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY feature_seed) - 1 AS si, family, model_id, m FROM fe),
- mem AS MATERIALIZED (SELECT family, model_id, row_number() OVER (PARTITION BY family ORDER BY model_id) - 1 AS mi, count(*) OVER (PARTITION BY family) AS sz FROM (SELECT DISTINCT family, model_id FROM co)), fm AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS gi, count(*) OVER () AS ng FROM (SELECT DISTINCT family FROM co)),
- sl AS (SELECT r, o, {_H("'family'", "CAST(o AS VARCHAR)")} % ng AS gi FROM (SELECT gi AS o, ng, r FROM fm, range({B}) t(r))),
- cl AS (SELECT r, d.family, m2.model_id, count(*) AS k FROM (SELECT r, family, {_H("'cloud'", "CAST(o AS VARCHAR)", "CAST(mi AS VARCHAR)")} % sz AS mi FROM sl JOIN fm USING (gi) JOIN mem USING (family)) d JOIN mem m2 ON m2.family = d.family AND m2.mi = d.mi GROUP BY ALL),
- nn AS (SELECT (SELECT max(di) + 1 FROM ca) AS nd, (SELECT max(ri) + 1 FROM ca) AS nr, (SELECT max(si) + 1 FROM fa) AS ns),
- wd AS (SELECT r, {_H("'decoder'", "CAST(i AS VARCHAR)")} % nd AS di, count(*) AS k FROM (SELECT r, nd, unnest(range(nd)) AS i FROM nn, range({B}) t(r)) GROUP BY ALL), wr AS (SELECT r, {_H("'refiner'", "CAST(i AS VARCHAR)")} % nr AS ri, count(*) AS k FROM (SELECT r, nr, unnest(range(nr)) AS i FROM nn, range({B}) t(r)) GROUP BY ALL),
- wf AS (SELECT r, {_H("'feature'", "CAST(i AS VARCHAR)")} % ns AS si, count(*) AS k FROM (SELECT r, ns, unnest(range(ns)) AS i FROM nn, range({B}) t(r)) GROUP BY ALL),
- tot AS (SELECT r, sum(k) AS k FROM cl GROUP BY r),
- sa AS (SELECT cl.r, sum(cl.k * wd.k * wr.k * ca.m) AS t FROM cl JOIN ca USING (family, model_id) JOIN wd ON wd.r = cl.r AND wd.di = ca.di JOIN wr ON wr.r = cl.r AND wr.ri = ca.ri GROUP BY cl.r), sb AS (SELECT cl.r, sum(cl.k * wf.k * fa.m) AS t FROM cl JOIN fa USING (family, model_id) JOIN wf ON wf.r = cl.r AND wf.si = fa.si GROUP BY cl.r),
- g AS (SELECT {IMPROVE.format(b='sqrt(sb.t / (tot.k * ns))', c='sqrt(sa.t / (tot.k * nd * nr))')} AS g FROM sa JOIN sb USING (r) JOIN tot USING (r), nn), p AS (SELECT (SELECT sqrt(avg(m)) FROM ca) AS c, (SELECT sqrt(avg(m)) FROM fa) AS f)
-SELECT {out('any_value(c)')} AS coordinate_rmse, {out('any_value(f)')} AS feature_rmse, {out(IMPROVE.format(b='any_value(f)', c='any_value(c)'))} AS improvement_percent, {out(f"quantile_cont(g, {d(0.025)})")} AS ci_lower, {out(f"quantile_cont(g, {d(0.975)})")} AS ci_upper FROM g, p"""
+_FK = ["'factor'", "split", "metric"]
+FACTOR = f"""WITH {STABILITY_FRESH_CTES}, lg AS MATERIALIZED (SELECT arm, split, decoder_seed, refiner_seed, family, model_id, 'chamfer_mse' AS metric, chamfer_mse AS m FROM sf UNION ALL SELECT arm, split, decoder_seed, refiner_seed, family, model_id, 'fresh_chamfer_mse', fresh_chamfer_mse FROM sf),
+ co AS (SELECT * FROM lg WHERE arm = 'stabilized'), fe AS (SELECT split, metric, decoder_seed AS feature_seed, family, model_id, avg(m) AS m FROM lg WHERE arm = 'baseline' GROUP BY ALL),
+ ca AS MATERIALIZED (SELECT split, metric, dense_rank() OVER (PARTITION BY split, metric ORDER BY decoder_seed) - 1 AS di, dense_rank() OVER (PARTITION BY split, metric ORDER BY refiner_seed) - 1 AS ri, family, model_id, m FROM co),
+ fa AS MATERIALIZED (SELECT split, metric, dense_rank() OVER (PARTITION BY split, metric ORDER BY feature_seed) - 1 AS si, family, model_id, m FROM fe),
+ mem AS MATERIALIZED (SELECT split, metric, family, model_id, row_number() OVER (PARTITION BY split, metric, family ORDER BY model_id) - 1 AS member, count(*) OVER (PARTITION BY split, metric, family) AS size FROM (SELECT DISTINCT split, metric, family, model_id FROM co)),
+ fm AS MATERIALIZED (SELECT split, metric, family, size, row_number() OVER (PARTITION BY split, metric ORDER BY family) - 1 AS grp, count(*) OVER (PARTITION BY split, metric) AS ng FROM (SELECT DISTINCT split, metric, family, size FROM mem)),
+ nn AS (SELECT split, metric, max(di) + 1 AS nd, max(ri) + 1 AS nr, (SELECT max(si) + 1 FROM fa WHERE fa.split = ca.split AND fa.metric = ca.metric) AS ns FROM ca GROUP BY split, metric),
+ rp AS (SELECT split, metric, ng, nd, nr, ns, r FROM (SELECT DISTINCT split, metric, ng FROM fm) JOIN nn USING (split, metric), range({B}) t(r)),
+ oc AS (SELECT split, metric, r, u AS grp, count(*) AS k FROM ({draws('rp', 'split, metric, r', 'ng', 'ng', *_FK, "'family'", 'CAST(r AS VARCHAR)')}) GROUP BY ALL),
+ gr AS (SELECT split, metric, r, grp AS g, size, k * size AS wanted FROM oc JOIN fm USING (split, metric, grp)),
+ cl AS ({slice_draws('gr', 'split, metric', 'wanted', 'size', 'g', *_FK)}),
+ ck AS MATERIALIZED (SELECT split, metric, r, family, model_id, m AS k FROM cl JOIN fm USING (split, metric, grp) JOIN mem USING (split, metric, family, member)),
+ wd AS (SELECT split, metric, r, u AS di, count(*) AS k FROM ({draws('rp', 'split, metric, r', 'nd', 'nd', *_FK, "'decoder'", 'CAST(r AS VARCHAR)')}) GROUP BY ALL),
+ wr AS (SELECT split, metric, r, u AS ri, count(*) AS k FROM ({draws('rp', 'split, metric, r', 'nr', 'nr', *_FK, "'refiner'", 'CAST(r AS VARCHAR)')}) GROUP BY ALL),
+ wf AS (SELECT split, metric, r, u AS si, count(*) AS k FROM ({draws('rp', 'split, metric, r', 'ns', 'ns', *_FK, "'feature'", 'CAST(r AS VARCHAR)')}) GROUP BY ALL),
+ tot AS (SELECT split, metric, r, sum(k) AS k FROM ck GROUP BY ALL),
+ pa AS (SELECT split, metric, r, di, ri, sum(k * m) AS t FROM ck JOIN ca USING (split, metric, family, model_id) GROUP BY ALL), pb AS (SELECT split, metric, r, si, sum(k * m) AS t FROM ck JOIN fa USING (split, metric, family, model_id) GROUP BY ALL),
+ sa AS (SELECT split, metric, r, sum(wd.k * wr.k * t) AS t FROM pa JOIN wd USING (split, metric, r, di) JOIN wr USING (split, metric, r, ri) GROUP BY ALL), sb AS (SELECT split, metric, r, sum(wf.k * t) AS t FROM pb JOIN wf USING (split, metric, r, si) GROUP BY ALL),
+ g AS (SELECT split, metric, {IMPROVE.format(b='sqrt(sb.t / (tot.k * ns))', c='sqrt(sa.t / (tot.k * nd * nr))')} AS g FROM sa JOIN sb USING (split, metric, r) JOIN tot USING (split, metric, r) JOIN nn USING (split, metric)),
+ q AS (SELECT split, metric, quantile_cont(g, {d(0.025)}) AS lo, quantile_cont(g, {d(0.975)}) AS hi FROM g GROUP BY ALL),
+ p AS (SELECT split, metric, (SELECT sqrt(avg(m)) FROM ca WHERE ca.split = nn.split AND ca.metric = nn.metric) AS c, (SELECT sqrt(avg(m)) FROM fa WHERE fa.split = nn.split AND fa.metric = nn.metric) AS f FROM nn)
+SELECT split, metric, {out('c')} AS coordinate_rmse, {out('f')} AS feature_rmse, {out(IMPROVE.format(b='f', c='c'))} AS improvement_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper FROM p JOIN q USING (split, metric)"""
 
 
 @query(FACTOR)
 def factor_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """Independent factors with hierarchical family and cloud draws."""
-    rows = factorial_rows(spark, folder)
-    feature = rows.filter("arm = 'baseline'").groupBy(F.col("decoder_seed").alias("feature_seed"), "family", "model_id").agg(F.avg("fresh_chamfer_mse").alias("chamfer_mse"))
-    found = sx.factor_bootstrap(rows.filter("arm = 'stabilized'"), feature, replicates=B, seed="factor")
-    return rounded(found, "coordinate_rmse", "feature_rmse", "improvement_percent", "ci_lower", "ci_upper")
+    """Independent factors with hierarchical family and cloud draws, for every split and metric."""
+    metrics = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("mse")) for m in ("chamfer_mse", "fresh_chamfer_mse")]))
+    rows = stability_rows(spark, folder, by_method=False).select("arm", "split", "decoder_seed", "refiner_seed", "family", "model_id", metrics)
+    feature = rows.filter("arm = 'baseline'").groupBy("split", "metric", F.col("decoder_seed").alias("feature_seed"), "family", "model_id").agg(F.avg("mse").alias("mse"))
+    found = sx.factor_bootstrap(rows.filter("arm = 'stabilized'"), feature, cell=["split", "metric"], metric="mse", replicates=B, seed="factor")
+    return rounded(found, "split", "metric", "coordinate_rmse", "feature_rmse", "improvement_percent", "ci_lower", "ci_upper")
 
 
 @query(f"WITH {STABILITY_CTES}, a AS (SELECT decoder_seed, refiner_seed, split, method, sqrt(avg(chamfer_mse) FILTER (arm = 'baseline')) AS b, sqrt(avg(chamfer_mse) FILTER (arm = 'stabilized')) AS s FROM stb GROUP BY ALL) SELECT decoder_seed, refiner_seed, split, method, {out('b')} AS baseline_rmse, {out('s')} AS stabilized_rmse, {out(IMPROVE.format(b='b', c='s'))} AS improvement_percent FROM a")
@@ -488,16 +508,11 @@ def arm_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rs.arm_comparison(stability_rows(spark, folder), ["decoder_seed", "refiner_seed", "split", "method"]))
 
 
-def _gate_boot() -> str:
-    """The bootstrap text with one cell per split and the free method only."""
-    head, rest = BOOT.split("lp AS MATERIALIZED (")
-    rest = "SELECT split, model_seed, family, model_id, b, c FROM pairs WHERE method = 'free')," + rest.split("FROM pairs),", 1)[1]
-    text = head + "lp AS MATERIALIZED (" + rest
-    return text.replace("split || ':' || method || ':' || metric", "split").replace("split, method, metric", "split").replace("'boot'", "'gate'")
+_GATE_BOOT = _boot("gate", "split", "SELECT split, model_seed, family, model_id, b, c FROM pairs WHERE method = 'free'")
 
 
 @query(f"""WITH {RESULT_CTES}, {PAIRS}, ps AS (SELECT split, model_seed, sqrt(avg(b)) > sqrt(avg(c)) AS better FROM pairs WHERE method = 'free' GROUP BY ALL), es AS (SELECT split, bool_and(better) AS es FROM ps GROUP BY split)
-SELECT *, cells > 0 AND every_seed_improves AND intervals_positive AS passed FROM (SELECT count(*) AS cells, bool_and(es) AS every_seed_improves, bool_and(ci_lower > 0) AS intervals_positive FROM ({_gate_boot()}) g JOIN es USING (split))""")
+SELECT *, cells > 0 AND every_seed_improves AND intervals_positive AS passed FROM (SELECT count(*) AS cells, bool_and(es) AS every_seed_improves, bool_and(ci_lower > 0) AS intervals_positive FROM ({_GATE_BOOT}) g JOIN es USING (split))""")
 def benefit_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Every seed improves and every interval excludes zero."""
     long = _long_pairs(spark, folder).filter("method = 'free' AND metric = 'chamfer_mse'")

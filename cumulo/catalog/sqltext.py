@@ -93,3 +93,22 @@ def set_chamfer(points: str, anchors: str, keys: str = "cloud_id") -> str:
     return f"""SELECT {keys}, surface, coverage, greatest(far_a, far_p) AS far, {d(0.5)} * (surface + coverage) AS mse FROM
       (SELECT {keys}, avg(m) AS surface, max(m) AS far_a FROM (SELECT {keys}, slot, min(dd) AS m FROM ({pair}) GROUP BY {keys}, slot) GROUP BY {keys})
       JOIN (SELECT {keys}, avg(m) AS coverage, max(m) AS far_p FROM (SELECT {keys}, point_id, min(dd) AS m FROM ({pair}) GROUP BY {keys}, point_id) GROUP BY {keys}) USING ({keys})"""
+
+
+def draws(source: str, keep: str, count: str, bound: str, *stream: str) -> str:
+    """Rows ``keep, u``: ``count`` draws from 0 .. bound - 1 for each row, four from a digest of the stream's name and block."""
+    return (
+        f"SELECT {keep}, ('0x' || substr(digest, 16 * quarter + 1, 15))::BIGINT % bound AS u FROM (SELECT *, unnest(range(least(4, many - 4 * blk))) AS quarter FROM "
+        f"(SELECT *, {hash_text(*stream, s('blk'))} AS digest FROM (SELECT *, {count} AS many, {bound} AS bound, unnest(range(({count} + 3) // 4)) AS blk FROM {source})))"
+    )
+
+
+def slice_draws(source: str, keys: str, count: str, size: str, group: str, *stream: str, width: int = 1024) -> str:
+    """Chained draws of members by slices and inside them: rows ``keys, r, member, m``."""
+    r = s("r")
+    small = f"SELECT {keys}, r, {group} AS grp, 0 AS part, {count} AS k, {size} AS size FROM {source} WHERE {size} <= {width}"
+    large = (f"SELECT {keys}, r, grp, u // {width} AS part, count(*) AS k, size FROM "
+             f"({draws(f'(SELECT {keys}, r, {group} AS grp, {count} AS k, {size} AS size FROM {source} WHERE {size} > {width})', f'{keys}, r, grp, size', 'k', 'size', *stream, chr(39) + 'slice' + chr(39), s('grp'), r)}) "
+             f"GROUP BY {keys}, r, grp, u // {width}, size")
+    inner = draws(f"({small} UNION ALL {large})", f"{keys}, r, grp, part", "k", f"least({width}, size - {width} * part)", *stream, "'inside'", s("grp"), s("part"), r)
+    return f"SELECT {keys}, r, grp, part * {width} + u AS member, count(*) AS m FROM ({inner}) GROUP BY {keys}, r, grp, part, u"

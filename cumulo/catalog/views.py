@@ -175,15 +175,16 @@ rate AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'validation' ELSE
   FROM lineitem GROUP BY ALL)"""
 
 
-def stability_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Factorial rows with a split (cloud parity) and a method (return flag)."""
+def stability_rows(spark: SparkSession, folder: str, by_method: bool = True) -> DataFrame:
+    """Factorial rows with a split (cloud parity), a family and, if asked for, a method (return flag)."""
+    method = [F.when(F.col("l_returnflag") == "A", "fps").otherwise("refiner").alias("method")] if by_method else []
     return table(spark, folder, "lineitem").groupBy(
         F.when(F.col("l_linestatus") == "F", "baseline").otherwise("stabilized").alias("arm"),
         F.col("l_linenumber").cast("int").alias("decoder_seed"), (F.year("l_shipdate") % 3).cast("int").alias("refiner_seed"),
-        F.when(F.col("l_suppkey") % 2 == 0, "validation").otherwise("ood").alias("split"),
-        F.when(F.col("l_returnflag") == "A", "fps").otherwise("refiner").alias("method"),
+        F.when(F.col("l_suppkey") % 2 == 0, "validation").otherwise("ood").alias("split"), *method,
+        F.concat(F.lit("family_"), (F.col("l_suppkey") % 7).cast("string")).alias("family"),
         F.col("l_suppkey").cast("string").alias("model_id"),
-    ).agg((F.round(F.avg(F.col("l_tax") + F.lit(0.0)), 9) + F.lit(0.001)).alias("chamfer_mse"))
+    ).agg(*[(F.round(F.avg(F.col(c) + F.lit(0.0)), 9) + F.lit(0.001)).alias(m) for c, m in (("l_tax", "chamfer_mse"), ("l_discount", "fresh_chamfer_mse"))])
 
 
 STABILITY_CTES = """
@@ -191,3 +192,10 @@ stb AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 's
   CAST(year(l_shipdate) % 3 AS INTEGER) AS refiner_seed, CASE WHEN l_suppkey % 2 = 0 THEN 'validation' ELSE 'ood' END AS split,
   CASE WHEN l_returnflag = 'A' THEN 'fps' ELSE 'refiner' END AS method, CAST(l_suppkey AS VARCHAR) AS model_id,
   round(avg(l_tax), 9) + CAST(0.001 AS DOUBLE) AS chamfer_mse FROM lineitem GROUP BY ALL)"""
+
+STABILITY_FRESH_CTES = """
+sf AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'stabilized' END AS arm, l_linenumber AS decoder_seed,
+  CAST(year(l_shipdate) % 3 AS INTEGER) AS refiner_seed, CASE WHEN l_suppkey % 2 = 0 THEN 'validation' ELSE 'ood' END AS split,
+  'family_' || CAST(l_suppkey % 7 AS VARCHAR) AS family, CAST(l_suppkey AS VARCHAR) AS model_id,
+  round(avg(l_tax), 9) + CAST(0.001 AS DOUBLE) AS chamfer_mse, round(avg(l_discount), 9) + CAST(0.001 AS DOUBLE) AS fresh_chamfer_mse
+  FROM lineitem GROUP BY ALL)"""

@@ -1,19 +1,23 @@
 """Resampling statistics over seeds and clouds.
 
 Draws come from seeded hashes, so both sides of a comparison and every retry see
-the same resample. A replicate is only ever a set of weights and sums.
+the same resample. A replicate is only ever a set of weights and sums: clouds are
+resampled as trees of counts (``operators.resampling``), design-sized tables of
+seeds travel whole to blocks of replicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulo.functions.draws import level_draws, level_weights
 from cumulo.functions.formulas import FLOOR, improvement_percent, square
-from cumulo.functions.hashing import hash_index
 from cumulo.operators.ranking import rank_in_group
+from cumulo.operators.resampling import cell_name, design_statistic, drawn_sums, group_counts, replicate_blocks, slice_counts
 
 
 def _interval(draws: DataFrame, keys: Sequence[str], value: str, confidence: float) -> DataFrame:
@@ -25,60 +29,52 @@ def _interval(draws: DataFrame, keys: Sequence[str], value: str, confidence: flo
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def _multiplicity(count: Column, *key: object) -> Column:
-    """How often each of ``count`` items is drawn in ``count`` draws (array of double)."""
-    draws = F.transform(F.sequence(F.lit(0), count - 1), lambda i: hash_index(count, *key, i))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda item: F.size(F.filter(draws, lambda v: v == item)).cast("double"),
-    )
-
-
 def _unit_index(rows: DataFrame, keys: Sequence[str], unit: Sequence[str], name: str) -> DataFrame:
     """Dense 0-based position of each distinct unit within its keys."""
     distinct = rows.select(*keys, *unit).distinct()
     return rank_in_group(distinct, keys, unit, rank=name)
 
 
+def _by_position(of: str, count: Column, width: int) -> Column:
+    """Values of 0 .. count - 1 in the map ``of``, one after the other; missing ones are zeros."""
+    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda k: F.coalesce(
+        F.element_at(of, k), F.array(*[F.lit(0.0)] * width))))
+
+
 def paired_bootstrap(pairs: DataFrame, *, cell: Sequence[str], cloud: Sequence[str], seed_column: str = "model_seed",
                      base: str = "base", candidate: str = "candidate", replicates: int = 10_000,
                      confidence: float = 0.95, seed: object = 0) -> DataFrame:
     """Relative RMSE improvement with a seed-and-cloud bootstrap interval per cell.
 
     Seeds and clouds are drawn independently with replacement, the same for both
-    sides. Each cloud row of a cell serves one draw per replicate, so the work is
-    spread over the clouds; a replicate folds to two sums.
+    sides. The clouds' draws are a tree of counts over slices of clouds; a replicate
+    folds to two sums.
     """
     cell, cloud = list(cell), list(cloud)
     seeds = _unit_index(pairs, cell, [seed_column], "_s")
     clouds = _unit_index(pairs, cell, cloud, "_c")
     sizes = seeds.groupBy(*cell).agg(F.count(F.lit(1)).alias("seeds")).join(
         clouds.groupBy(*cell).agg(F.count(F.lit(1)).alias("clouds")), cell
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_s", base, candidate)))
-    values = pairs.join(seeds, [*cell, seed_column]).join(clouds, [*cell, *cloud]).groupBy(*cell, "_c").agg(ordered.alias("_v")).select(
-        *cell, "_c", F.transform("_v", lambda v: v[base]).alias("_b"), F.transform("_v", lambda v: v[candidate]).alias("_m")
-    )
-    key = [seed, *[F.col(c) for c in cell], F.col("_r")]
-    drawn = clouds.join(sizes, cell).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        *cell, "_r", hash_index(F.col("clouds"), *key, "cloud", F.col("_c")).alias("_c")
-    )
-    weights = sizes.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        *cell, "_r", "seeds", "clouds", _multiplicity(F.col("seeds"), *key, "seed").alias("_w")
-    )
-    sums = drawn.join(values, [*cell, "_c"]).join(weights, [*cell, "_r"]).groupBy(*cell, "_r").agg(
-        F.sum(_dot(F.col("_w"), F.col("_b"))).alias("_b"), F.sum(_dot(F.col("_w"), F.col("_m"))).alias("_m"),
-        F.any_value(F.col("seeds") * F.col("clouds")).alias("_n"),
-    )
-    draws = sums.withColumn("_gain", improvement_percent(F.sqrt(F.col("_b") / F.col("_n")), F.sqrt(F.col("_m") / F.col("_n"))))
+    ).withColumn("_cell", cell_name(seed, cell))
+    summed = pairs.join(seeds, [*cell, seed_column]).join(clouds, [*cell, *cloud]).groupBy(*cell, "_c", "_s").agg(
+        F.array(F.sum(base), F.sum(candidate)).alias("_v"))
+    values = summed.groupBy(*cell, "_c").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_of")).join(sizes, cell).select(
+        "_cell", F.lit(0).cast("long").alias("_group"), F.col("clouds").alias("_size"), F.array("seeds").alias("_levels"), F.col("_c").alias("_member"),
+        _by_position("_of", F.col("seeds"), 2).alias("_values"))
+    groups = replicate_blocks(sizes, replicates).select(
+        "_cell", F.lit(0).cast("long").alias("_group"), F.col("clouds").alias("_size"), "_first", F.array_repeat("clouds", F.col("_many")).alias("_n"))
+
+    def fold(name: str, first: int, sums: np.ndarray, levels: list[int]) -> np.ndarray:
+        weights = level_weights(name, "seed", first, len(sums), levels[0])
+        return np.einsum("rs,rsk->rk", weights, sums.reshape(len(sums), levels[0], 2))
+
+    sums = drawn_sums(values, slice_counts(groups), fold, 2).join(sizes, "_cell")
+    total = F.col("_n") * F.col("seeds")
+    draws = sums.withColumn("_gain", improvement_percent(F.sqrt(F.col("_sum_0") / total), F.sqrt(F.col("_sum_1") / total)))
     point = pairs.groupBy(*cell).agg(F.sqrt(F.avg(base)).alias("base_rmse"), F.sqrt(F.avg(candidate)).alias("rmse")).withColumn(
         "improvement_percent", improvement_percent(F.col("base_rmse"), F.col("rmse"))
     )
-    return point.join(sizes, cell).join(_interval(draws, cell, "_gain", confidence), cell)
+    return point.join(sizes.drop("_cell"), cell).join(_interval(draws, cell, "_gain", confidence), cell)
 
 
 def two_way_components(cells: DataFrame, keys: Sequence[str], row: str, column: str, value: str) -> DataFrame:
@@ -118,7 +114,7 @@ def _ratio(floor: float = 1e-18) -> Column:
 
 
 def variance_ratio(cells: DataFrame, keys: Sequence[str], *, row: str = "decoder_seed", column: str = "refiner_seed", rmse: str = "chamfer_rmse",
-                   replicates: int = 1_000, confidence: float = 0.95, seed: object = 0) -> DataFrame:
+                   replicates: int = 10_000, confidence: float = 0.95, seed: object = 0) -> DataFrame:
     """Row against column-plus-interaction variance of log RMSE, with interval and verdict.
 
     Replicates redraw row and column labels; a label drawn twice is two levels.
@@ -128,22 +124,29 @@ def variance_ratio(cells: DataFrame, keys: Sequence[str], *, row: str = "decoder
     point = two_way_components(logged, keys, row, column, "_v").withColumn("ratio", _ratio())
     ri = _unit_index(logged, keys, [row], "_ri")
     ci = _unit_index(logged, keys, [column], "_ci")
-    indexed = logged.join(ri, [*keys, row]).join(ci, [*keys, column]).select(*keys, "_ri", "_ci", "_v")
-    counts = indexed.groupBy(*keys).agg((F.max("_ri") + 1).alias("_nr"), (F.max("_ci") + 1).alias("_nc"))
-    key = [seed, *[F.col(c) for c in keys], F.col("_b")]
-    levels = counts.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
-        "_row", F.explode(F.sequence(F.lit(0), (F.col("_nr") - 1).cast("int")))
-    ).withColumn("_col", F.explode(F.sequence(F.lit(0), (F.col("_nc") - 1).cast("int")))).select(
-        *keys, "_b", "_row", "_col",
-        hash_index(F.col("_nr"), *key, "row", F.col("_row")).alias("_ri"), hash_index(F.col("_nc"), *key, "column", F.col("_col")).alias("_ci"),
-    )
-    drawn = two_way_components(levels.join(indexed, [*keys, "_ri", "_ci"]), [*keys, "_b"], "_row", "_col", "_v").withColumn("_ratio", _ratio())
+    tables = logged.join(ri, [*keys, row]).join(ci, [*keys, column]).groupBy(*keys).agg(
+        (F.max("_ri") + 1).alias("_nr"), (F.max("_ci") + 1).alias("_nc"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_ri", "_ci", "_v"))), lambda v: v["_v"]).alias("_table")).withColumn(
+        "_cell", cell_name(seed, keys))
+
+    def ratios(name: str, first: int, many: int, given: dict) -> np.ndarray:
+        r, c = given["_nr"], given["_nc"]
+        table = np.array(given["_table"]).reshape(r, c)
+        rows, columns = (level_draws(name, role, first, many, size) for role, size in (("row", r), ("column", c)))
+        drawn = table[rows[:, :, None], columns[:, None, :]]
+        rm, cm, g = drawn.mean(2, keepdims=True), drawn.mean(1, keepdims=True), drawn.mean((1, 2), keepdims=True)
+        mr, mc = c * ((rm - g) ** 2).sum((1, 2)) / (r - 1), r * ((cm - g) ** 2).sum((1, 2)) / (c - 1)
+        mi = ((drawn - rm - cm + g) ** 2).sum((1, 2)) / ((r - 1) * (c - 1))
+        return np.maximum((mr - mi) / c, 0) / np.maximum(np.maximum((mc - mi) / r, 0) + mi, 1e-18)
+
+    drawn = design_statistic(tables.select("_cell", "_nr", "_nc", "_table"), replicates, ratios).join(
+        tables.select(*keys, "_cell"), "_cell").withColumnRenamed("_value", "_ratio")
     bounds = _interval(drawn, keys, "_ratio", confidence)
     verdict = F.when(F.col("ci_lower") > 1, "decoder_dominant").when(F.col("ci_upper") < 1, "refiner_or_interaction_dominant").otherwise("inconclusive")
     return point.join(bounds, keys).withColumn("diagnosis", verdict)
 
 
-def tail_reduction(marginals: DataFrame, keys: Sequence[str], *, unit: str = "decoder_seed", replicates: int = 1_000,
+def tail_reduction(marginals: DataFrame, keys: Sequence[str], *, unit: str = "decoder_seed", replicates: int = 10_000,
                    confidence: float = 0.95, seed: object = 0) -> DataFrame:
     """Q90 reduction of the stabilized arm with shared bootstrap draws.
 
@@ -163,12 +166,16 @@ def tail_reduction(marginals: DataFrame, keys: Sequence[str], *, unit: str = "de
         F.count_if(F.col("stabilized") < F.col("baseline")).alias("better_than_baseline"),
         F.count_if(F.col("stabilized") < F.col("stabilized_fps")).alias("better_than_fps"),
     ).withColumn("q90_reduction_percent", improvement_percent(F.col("baseline_q90"), F.col("stabilized_q90")))
-    indexed = marginals.join(_unit_index(marginals, keys, [unit], "_i"), [*keys, unit])
-    key = [seed, *[F.col(c) for c in keys], F.col("_r")]
-    drawn = indexed.join(point.select(*keys, "units"), keys).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        *keys, "_r", hash_index(F.col("units"), *key, F.col("_i")).alias("_i")
-    ).join(indexed.select(*keys, "_i", "baseline", "stabilized"), [*keys, "_i"])
-    draws = drawn.groupBy(*keys, "_r").agg(improvement_percent(q("baseline", 0.9), q("stabilized", 0.9)).alias("_gain"))
+    ordered = F.array_sort(F.collect_list(F.struct(unit, "baseline", "stabilized")))
+    tables = marginals.groupBy(*keys).agg(ordered.alias("_v")).select(
+        *keys, cell_name(seed, keys).alias("_cell"), F.col("_v.baseline").alias("_b"), F.col("_v.stabilized").alias("_s"))
+
+    def gains(name: str, first: int, many: int, given: dict) -> np.ndarray:
+        index = level_draws(name, "unit", first, many, len(given["_b"]))
+        before, after = (np.quantile(np.array(given[k])[index], 0.9, axis=1) for k in ("_b", "_s"))
+        return 100.0 * (before - after) / np.maximum(before, FLOOR)
+
+    draws = design_statistic(tables.select("_cell", "_b", "_s"), replicates, gains).join(tables.select(*keys, "_cell"), "_cell").withColumnRenamed("_value", "_gain")
     return point.join(_interval(draws, keys, "_gain", confidence), keys)
 
 
@@ -192,52 +199,52 @@ def association(units: DataFrame, keys: Sequence[str], first: str, second: str)
     )
 
 
-def factor_bootstrap(coordinate: DataFrame, feature: DataFrame, *, metric: str = "chamfer_mse", replicates: int = 1_000,
-                     confidence: float = 0.95, seed: object = 0) -> DataFrame:
-    """Coordinate against feature RMSE with independent factors and hierarchical clouds.
+def factor_bootstrap(coordinate: DataFrame, feature: DataFrame, *, cell: Sequence[str] = (), metric: str = "chamfer_mse",
+                     replicates: int = 10_000, confidence: float = 0.95, seed: object = 0) -> DataFrame:
+    """Coordinate against feature RMSE per cell, with independent factors and hierarchical clouds.
 
-    ``coordinate``: decoder_seed, refiner_seed, family, model_id, metric. ``feature``:
-    feature_seed, family, model_id, metric. Families are drawn, then clouds inside
+    ``coordinate``: cell, decoder_seed, refiner_seed, family, model_id, metric. ``feature``:
+    cell, feature_seed, family, model_id, metric. Families are drawn, then clouds inside
     each drawn family (again for each occurrence); both sides share the cloud draw.
+    Draws are a tree of counts: families, slices of a family, clouds of a slice.
     """
-    # One constant key lets the single comparison reuse the keyed helpers.
+    # A constant column stands for the one cell of a comparison without keys.
+    cell = [*cell, "_all"]
     coordinate, feature = [d.withColumn("_all", F.lit(0)) for d in (coordinate, feature)]
-    factor = {
-        "decoder": _unit_index(coordinate, ["_all"], ["decoder_seed"], "_d"), "refiner": _unit_index(coordinate, ["_all"], ["refiner_seed"], "_f"),
-        "feature": _unit_index(feature, ["_all"], ["feature_seed"], "_s"),
-    }
-    families = _unit_index(coordinate, ["_all"], ["family"], "_g")
-    members = _unit_index(coordinate, ["family"], ["model_id"], "_m")
-    left = coordinate.join(factor["decoder"], ["_all", "decoder_seed"]).join(factor["refiner"], ["_all", "refiner_seed"]).groupBy("family", "model_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_d", "_f", metric))), lambda v: v[metric]).alias("_a")
-    )
-    right = feature.join(factor["feature"], ["_all", "feature_seed"]).groupBy("family", "model_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_s", metric))), lambda v: v[metric]).alias("_b")
-    )
-    values = left.join(right, ["family", "model_id"]).join(members, ["family", "model_id"]).select("family", "_m", "_a", "_b")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("_size"))
-    count = {n: f.agg(F.count(F.lit(1))).first()[0] for n, f in factor.items()}
-    groups = families.agg(F.count(F.lit(1))).first()[0]
-    slots = families.select(F.col("_g").alias("_o")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        "_r", "_o", hash_index(groups, seed, F.col("_r"), "family", F.col("_o")).alias("_g")
-    )
-    drawn = slots.join(families.select("_g", "family"), "_g").join(sizes, "family").join(members.select("family", F.col("_m").alias("_j")), "family").select(
-        "_r", "family", hash_index(F.col("_size"), seed, F.col("_r"), "cloud", F.col("_o"), F.col("_j")).alias("_m")
-    )
-    session = coordinate.sparkSession
-    def times(name: str) -> Column:
-        return _multiplicity(F.lit(count[name]), seed, F.col("_r"), name)
-    grid = F.flatten(F.transform(times("decoder"), lambda a: F.transform(F.col("_wf"), lambda b: a * b)))
-    weights = session.range(replicates).select(F.col("id").cast("int").alias("_r")).withColumn("_wf", times("refiner")).select(
-        "_r", grid.alias("_wa"), times("feature").alias("_wb")
-    )
-    sums = drawn.join(values, ["family", "_m"]).join(weights, "_r").groupBy("_r").agg(
-        (F.sum(_dot(F.col("_wa"), F.col("_a"))) / (F.count(F.lit(1)) * count["decoder"] * count["refiner"])).alias("_c"),
-        (F.sum(_dot(F.col("_wb"), F.col("_b"))) / (F.count(F.lit(1)) * count["feature"])).alias("_f"),
-    )
-    draws = sums.select(F.lit(0).alias("_all"), improvement_percent(F.sqrt("_f"), F.sqrt("_c")).alias("_gain"))
-    a = coordinate.groupBy("_all").agg(F.sqrt(F.avg(metric)).alias("coordinate_rmse"), F.count_distinct("family").alias("families"), F.count_distinct("family", "model_id").alias("clouds"))
-    b = feature.groupBy("_all").agg(F.sqrt(F.avg(metric)).alias("feature_rmse"))
-    return a.join(b, "_all").withColumn(
+    factors = {"decoder": (coordinate, "decoder_seed"), "refiner": (coordinate, "refiner_seed"), "feature": (feature, "feature_seed")}
+    index = {name: _unit_index(side, cell, [column], "_" + name) for name, (side, column) in factors.items()}
+    families = _unit_index(coordinate, cell, ["family"], "_group")
+    members = _unit_index(coordinate, [*cell, "family"], ["model_id"], "_member")
+    sizes = members.groupBy(*cell, "family").agg(F.count(F.lit(1)).alias("_size")).join(families, [*cell, "family"])
+    cells = families.groupBy(*cell).agg(F.count(F.lit(1)).alias("_groups"))
+    for name in factors:
+        cells = cells.join(index[name].groupBy(*cell).agg(F.count(F.lit(1)).alias("_n_" + name)), cell)
+    cells = cells.withColumn("_cell", cell_name(seed, cell[:-1]))
+    place = F.col("_decoder") * F.col("_n_refiner") + F.col("_refiner")
+    known = coordinate.join(index["decoder"], [*cell, "decoder_seed"]).join(index["refiner"], [*cell, "refiner_seed"]).join(cells, cell).select(
+        *cell, "family", "model_id", place.alias("_at"), F.col(metric).alias("_v"))
+    known = known.unionByName(feature.join(index["feature"], [*cell, "feature_seed"]).join(cells, cell).select(
+        *cell, "family", "model_id", (F.col("_n_decoder") * F.col("_n_refiner") + F.col("_feature")).alias("_at"), F.col(metric).alias("_v")))
+    of = known.groupBy(*cell, "family", "model_id", "_at").agg(F.array(F.sum("_v")).alias("_v")).groupBy(*cell, "family", "model_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_of"))
+    width = F.col("_n_decoder") * F.col("_n_refiner") + F.col("_n_feature")
+    values = of.join(members, [*cell, "family", "model_id"]).join(sizes, [*cell, "family"]).join(cells, cell).select(
+        "_cell", "_group", "_size", F.array("_n_decoder", "_n_refiner", "_n_feature").alias("_levels"), "_member",
+        _by_position("_of", width, 1).alias("_values"))
+    drawn = group_counts(cells, replicates, "family").join(
+        sizes.join(cells.select(*cell, "_cell"), cell).select("_cell", "_group", "_size"), ["_cell", "_group"]).withColumn(
+        "_n", F.transform("_n", lambda k: k * F.col("_size")))
+
+    def fold(name: str, first: int, sums: np.ndarray, levels: list[int]) -> np.ndarray:
+        d, r, f = (level_weights(name, role, first, len(sums), size) for role, size in zip(("decoder", "refiner", "feature"), levels))
+        grid = sums[:, :levels[0] * levels[1]].reshape(len(sums), levels[0], levels[1])
+        return np.stack([np.einsum("bd,br,bdr->b", d, r, grid), (f * sums[:, levels[0] * levels[1]:]).sum(axis=1)], axis=1)
+
+    sums = drawn_sums(values, slice_counts(drawn), fold, 2).join(cells, "_cell")
+    draws = sums.withColumn("_gain", improvement_percent(
+        F.sqrt(F.col("_sum_1") / (F.col("_n") * F.col("_n_feature"))), F.sqrt(F.col("_sum_0") / (F.col("_n") * F.col("_n_decoder") * F.col("_n_refiner")))))
+    a = coordinate.groupBy(*cell).agg(F.sqrt(F.avg(metric)).alias("coordinate_rmse"), F.count_distinct("family").alias("families"), F.count_distinct("family", "model_id").alias("clouds"))
+    b = feature.groupBy(*cell).agg(F.sqrt(F.avg(metric)).alias("feature_rmse"))
+    return a.join(b, cell).withColumn(
         "improvement_percent", improvement_percent(F.col("feature_rmse"), F.col("coordinate_rmse"))
-    ).join(_interval(draws, ["_all"], "_gain", confidence), "_all").drop("_all")
+    ).join(_interval(draws, cell, "_gain", confidence), cell).drop("_all")

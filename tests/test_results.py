@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cumulo.functions import draws
+from cumulo.operators import resampling as rp
 from cumulo.operators import sampling as sm
 from cumulo.plans import gates as gt
 from cumulo.plans import results as rs
@@ -95,6 +97,63 @@ def test_factor_bootstrap(spark):
     assert row.improvement_percent == pytest.approx(50) and row.ci_lower == pytest.approx(50) and row.families == 2 and row.clouds == 8
 
 
+def test_resamples_by_slices(spark):
+    """Trees of several slices against plain sums over the same draws; counts, sizes and spread are those of a multinomial."""
+    size, replicates, width = 23, 700, 4
+    values = np.random.default_rng(3).normal(size=(size, 2))
+    rows = [("cell", 5, size, [1], m, [float(v) for v in values[m]]) for m in range(size)]
+    frame = spark.createDataFrame(rows, "_cell string, _group long, _size long, _levels array<int>, _member long, _values array<double>")
+    cells = spark.createDataFrame([("cell", 5, size)], "_cell string, _group long, _size long")
+    groups = rp.replicate_blocks(cells, replicates, 300).withColumn("_n", F.array_repeat(F.col("_size"), F.col("_many")))
+    counts = rp.slice_counts(groups, width)
+    got = rp.drawn_sums(frame, counts, lambda cell, first, sums, levels: sums * 2, 2, width).orderBy("_r").toPandas()
+    assert got["_r"].tolist() == list(range(replicates)) and (got["_n"] == size).all()
+    drawn = np.zeros((replicates, size), int)
+    by_slice = draws.tally(draws.replicate_names("cell", "slice:5", 0, replicates), np.full(replicates, size), size, width)
+    for part in range(6):
+        here = min(width, size - part * width)
+        drawn[:, part * width:part * width + here] = draws.tally(
+            draws.replicate_names("cell", f"inside:5:{part}", 0, replicates), by_slice[:, part], here)
+    assert (drawn.sum(axis=1) == size).all()
+    assert np.abs(got[["_sum_0", "_sum_1"]].to_numpy() - 2 * drawn @ values).max() < 1e-9
+    assert np.abs(drawn.mean(axis=0) - 1).max() < 0.2 and np.abs(drawn.var(axis=0) - (1 - 1 / size)).max() < 0.35
+
+
+def test_bootstrap_intervals_against_plain_resampling(spark):
+    draw = np.random.default_rng(8)
+    table = draw.uniform(0.01, 0.09, size=(2, 4, 30))
+    rows = [(s, f"f{c % 3}", f"m{c}", float(table[0, s, c]), float(table[1, s, c]), "v") for s in range(4) for c in range(30)]
+    pairs = spark.createDataFrame(rows, "model_seed int, family string, model_id string, base double, candidate double, split string")
+    got = sx.paired_bootstrap(pairs, cell=["split"], cloud=["family", "model_id"], replicates=4000, seed="x").first()
+    gains = []
+    for _ in range(4000):
+        i, j = draw.integers(0, 4, 4), draw.integers(0, 30, 30)
+        a, b = (np.sqrt(side[i][:, j].mean()) for side in table)
+        gains.append(100 * (a - b) / a)
+    low, high = np.quantile(gains, [0.025, 0.975])
+    assert abs(got.ci_lower - low) < 0.06 * (high - low) and abs(got.ci_upper - high) < 0.06 * (high - low)
+
+
+def test_factor_intervals_against_plain_resampling(spark):
+    draw = np.random.default_rng(2)
+    families = np.array(["a"] * 3 + ["b"] * 9 + ["c"] * 5)
+    left, right = draw.uniform(0.01, 0.05, size=(2, 3, 17)), draw.uniform(0.02, 0.06, size=(4, 17))
+    a = [("v", d, r, families[c], f"m{c}", float(left[d, r, c])) for d in range(2) for r in range(3) for c in range(17)]
+    b = [("v", f, families[c], f"m{c}", float(right[f, c])) for f in range(4) for c in range(17)]
+    got = sx.factor_bootstrap(
+        spark.createDataFrame(a, "split string, decoder_seed int, refiner_seed int, family string, model_id string, chamfer_mse double"),
+        spark.createDataFrame(b, "split string, feature_seed int, family string, model_id string, chamfer_mse double"),
+        cell=["split"], replicates=4000).first()
+    gains = []
+    for _ in range(4000):
+        clouds = np.concatenate([draw.choice(np.flatnonzero(families == f), (families == f).sum()) for f in draw.choice(list("abc"), 3)])
+        d, r, f = draw.integers(0, 2, 2), draw.integers(0, 3, 3), draw.integers(0, 4, 4)
+        x, y = np.sqrt(left[d][:, r][:, :, clouds].mean()), np.sqrt(right[f][:, clouds].mean())
+        gains.append(100 * (y - x) / y)
+    low, high = np.quantile(gains, [0.025, 0.975])
+    assert got.split == "v" and abs(got.ci_lower - low) < 0.07 * (high - low) and abs(got.ci_upper - high) < 0.07 * (high - low)
+
+
 def test_association_with_ties_and_constants(spark):
     frame = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip([1, 2, 2, 3], [10, 30, 20, 40])] + [("b", 1.0, float(y)) for y in range(3)], "k string, x double, y double")
     rows = {r.k: r for r in sx.association(frame, ["k"], "x", "y").collect()}
