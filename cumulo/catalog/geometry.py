@@ -343,6 +343,24 @@ def snap_to_input(spark: SparkSession, folder: str) -> DataFrame:
     return snap_to_cloud(moved, points).select("cloud_id", "slot", "point_id", fm.out(F.col("d2")).alias("d2"))
 
 
+_LINE = """SELECT 'all' AS cloud_id, l_orderkey * 8 + l_linenumber AS point_id, l_returnflag = 'R' AS src, l_quantity / CAST(50 AS DOUBLE) AS x,
+ l_extendedprice / CAST(105000 AS DOUBLE) AS y, l_discount * CAST(10 AS DOUBLE) AS z FROM lineitem"""
+RETURNED = f"""WITH li AS MATERIALIZED ({_LINE}), tg AS (SELECT * FROM li WHERE NOT src UNION ALL SELECT 'all', -1, false, {d(1e6)}, {d(1e6)}, {d(1e6)})
+SELECT point_id, best.tid AS target_id, {out('best.dd', 9)} AS d2 FROM (SELECT a.point_id, min({{'dd': {d2('a', 'p')}, 'tid': p.point_id}}) AS best FROM li a JOIN tg p USING (cloud_id) WHERE a.src GROUP BY a.point_id)"""
+
+
+@query(RETURNED)
+def returned_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest kept order line of every returned one, in one cloud of all lines with a far outlier."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.lit("all").alias("cloud_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("point_id"), "l_returnflag",
+        (F.col("l_quantity") / F.lit(50.0)).alias("x"), (F.col("l_extendedprice") / F.lit(105000.0)).alias("y"), (F.col("l_discount") * F.lit(10.0)).alias("z"))
+    columns = ["cloud_id", "point_id", *AXES]
+    outlier = spark.range(1).select(F.lit("all").alias("cloud_id"), F.lit(-1).cast("long").alias("point_id"), *[F.lit(1e6).alias(a) for a in AXES])
+    found = nearest(lines.filter("l_returnflag = 'R'").select(*columns), lines.filter("l_returnflag <> 'R'").select(*columns).unionByName(outlier))
+    return found.select("point_id", "target_id", fm.out(F.col("d2"), 9).alias("d2"))
+
+
 VECTORS = f"""WITH v AS (SELECT CAST(label AS VARCHAR) AS cloud_id, vec_id, embedding, vec_id % 4 = 0 AS src FROM embeddings),
  u AS (SELECT cloud_id, vec_id, src, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM v),
  dd AS (SELECT s.cloud_id, s.vec_id, t.vec_id AS tid, sum((s.e - t.e) * (s.e - t.e)) AS d2 FROM u s JOIN u t ON s.cloud_id = t.cloud_id AND s.i = t.i AND s.src AND NOT t.src GROUP BY ALL)

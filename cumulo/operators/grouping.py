@@ -7,7 +7,7 @@ replaces many. Every larger cloud takes a path that never gathers it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +49,24 @@ def attach(points: DataFrame, per_key: DataFrame, key: str = "cloud_id", *, size
     return salted.join(copies, [key, "_slice"]).drop("_slice")
 
 
+#: A group with more than 1/HOT_SHARE of the rows is hot, so there are fewer than HOT_SHARE of them.
+HOT_SHARE = 256
+
+
+def attach_counted(rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """Left join with one stored row per group, whose column ``n`` counts its rows and is not kept.
+
+    The hot groups, fewer than HOT_SHARE, are broadcast, so their rows stay where
+    they are; the rows of all others join by shuffle, none of them skewed.
+    """
+    keys = list(keys)
+    extra = [c for c in groups.columns if c not in (*keys, "n")]
+    hot = groups.filter(F.col("n") * HOT_SHARE > total).drop("n").withColumn("_hot", F.lit(True))
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    rest = tried.filter("_hot IS NULL").drop("_hot", *extra).join(groups.filter(F.col("n") * HOT_SHARE <= total).drop("n"), keys, "left")
+    return tried.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def per_cloud(rows: DataFrame, task: Callable[[pa.Table], pa.Table], schema: T.StructType, key: str = "cloud_id") -> DataFrame:
     """Run ``task`` on each (small) group as an Arrow table.
 

@@ -39,7 +39,6 @@ def test_nearest_large_path_equals_in_task_path(spark, options):
 
 def test_nearest_matches_brute_force_with_deep_tree(spark, monkeypatch):
     import cumulo.operators.neighbors as module
-    monkeypatch.setattr(module, "LEAF_GOAL", 2)
     monkeypatch.setattr(module, "LEAF_LIMIT", 4)
     a, b = RNG.normal(size=(60, 3)), np.concatenate([RNG.normal(size=(80, 3)), 1e-4 * RNG.normal(size=(40, 3))])
     got = table(nearest(clouds(spark, {"c": a}), clouds(spark, {"c": b}), bound=1), "point_id")
@@ -48,6 +47,29 @@ def test_nearest_matches_brute_force_with_deep_tree(spark, monkeypatch):
     np.testing.assert_allclose(got["d2"], d.min(axis=1), rtol=0, atol=1e-12)
 
 
+def test_cells_of_uneven_clouds_are_bounded(spark, monkeypatch):
+    import cumulo.operators.neighbors as module
+    draw = np.random.default_rng(7)
+    even = draw.normal(size=(3000, 3))
+    far = np.concatenate([1e-6 * draw.normal(size=(2500, 3)), [[1e6, 1e6, 1e6]]])  # one far outlier
+    tied = np.concatenate([np.stack([np.ones(2000), np.ones(2000), draw.random(2000)], axis=1), draw.random((300, 3))])
+    top = np.concatenate([np.stack([np.ones(2000), draw.random(2000), np.zeros(2000)], axis=1), -draw.random((50, 3))])
+    same = np.zeros((700, 3))
+    points = clouds(spark, {"even": even, "far": far, "tied": tied, "top": top, "same": same, "one": same[:1]})
+    placed = module.kd_cells(points, 100).toPandas()
+    assert len(placed) == 3000 + 2501 + 2300 + 2050 + 701
+    leaves = placed.groupby(["cloud_id", "_leaf"]).agg(n=("x", "size"), copies=("x", "nunique"), y=("y", "nunique"), z=("z", "nunique"))
+    assert ((leaves["n"] <= 100) | ((leaves["copies"] == 1) & (leaves["y"] == 1) & (leaves["z"] == 1))).all()
+    assert leaves.groupby("cloud_id").size().max() <= 400
+    # Sources in slices, and all of a leaf's neighbours.
+    monkeypatch.setattr(module, "MEETING", 64)
+    source = np.concatenate([1e-6 * draw.normal(size=(300, 3)), draw.normal(size=(20, 3)) * 1e6])
+    got = table(nearest(clouds(spark, {"far": source}), points.filter("cloud_id = 'far'"), k=2, bound=1), "point_id", "rank")
+    d = pairwise(source, far)
+    assert got[got["rank"] == 1]["target_id"].tolist() == d.argmin(axis=1).tolist()
+    assert got[got["rank"] == 2]["target_id"].tolist() == np.argsort(d, axis=1, kind="stable")[:, 1].tolist()
+
+
 def test_nearest_vectors_any_dimension(spark):
     a, b = RNG.normal(size=(30, 7)), RNG.normal(size=(50, 7))
     def frame(v):
