@@ -13,6 +13,7 @@ from cumulo.catalog.views import (
 from cumulo.functions import formulas as fm
 from cumulo.functions import lattice as lt
 from cumulo.operators import anchors as an
+from cumulo.operators import folds as fo
 from cumulo.operators import sampling as sm
 from cumulo.operators.farthest import farthest_points, merge_path, normal_aware_points, seeded_merge
 from cumulo.operators.neighbors import nearest, nearest_vectors, normal_variation, snap_to_cloud
@@ -287,7 +288,7 @@ def mass_imbalance(spark: SparkSession, folder: str) -> DataFrame:
     """Relative deviation of soft anchor mass from equal shares."""
     points = embedding_clouds(spark, folder)
     chosen = sm.quantize_anchors(sm.random_subset(points, K, "subset"), BITS)
-    return an.mass_imbalance(points, chosen, TAU, K).select("cloud_id", fm.out(F.col("mass_imbalance")).alias("mass_imbalance"))
+    return fo.mass_imbalance(points, chosen, TAU).select("cloud_id", fm.out(F.col("mass_imbalance")).alias("mass_imbalance"))
 
 
 DENSITY = f"""WITH {EMBED_CTES}, {SUBSET_EM}, {PAIRS_EM},
@@ -302,7 +303,7 @@ def density_aware_chamfer(spark: SparkSession, folder: str) -> DataFrame:
     """Density-aware Chamfer between an anchor set and its cloud."""
     points = embedding_clouds(spark, folder)
     chosen = sm.quantize_anchors(sm.random_subset(points, K, "subset"), BITS)
-    return an.density_aware_chamfer(points, chosen, TAU, K).select(
+    return fo.density_aware_chamfer(points, chosen, TAU).select(
         "cloud_id", fm.out(F.col("density_aware_chamfer")).alias("density_aware_chamfer")
     )
 
@@ -312,7 +313,7 @@ def soft_means(spark: SparkSession, folder: str) -> DataFrame:
     """One soft clustering step per anchor."""
     points = embedding_clouds(spark, folder)
     chosen = sm.quantize_anchors(sm.random_subset(points, K, "subset"), BITS)
-    return an.soft_means(points, chosen, TAU, K).select("cloud_id", "slot", *[fm.out(F.col(c)).alias(c) for c in (*AXES, "mass")])
+    return fo.soft_means(points, chosen, TAU).select("cloud_id", "slot", *[fm.out(F.col(c)).alias(c) for c in (*AXES, "mass")])
 
 
 SET_LOSS = f"""WITH {EVENT_CTES}, {SUBSET}, q AS ({set_chamfer('ev', 'sub')}),

@@ -14,6 +14,7 @@ from cumulo.functions.lattice import jittered_snap, lattice_step
 from cumulo.operators import anchors as an
 from cumulo.operators import assignment as asg
 from cumulo.operators import behaviour as bh
+from cumulo.operators import folds as fo
 from cumulo.operators import sampling as sm
 from cumulo.operators import search as se
 from cumulo.operators import streams as st
@@ -59,7 +60,7 @@ def unique_projection(spark: SparkSession, folder: str) -> DataFrame:
     return served.select("cloud_id", "slot", "point_id", fm.out(F.col("d2")).alias("d2"))
 
 
-EPS, SWEEPS = 0.02, 3
+EPS, SWEEPS, MANY = 0.02, 40, 128
 
 
 def _sinkhorn(sweeps: int) -> str:
@@ -81,7 +82,7 @@ PLAN = f"pl AS (SELECT k.cloud_id, k.slot, k.point_id, k.c, exp(k.g + u.val + v.
 def sinkhorn_cost(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced entropic transport cost between a subset and its cloud."""
     points = embedding_clouds(spark, folder)
-    cost = tr.transport_cost(points, subset(points), epsilon=EPS, iterations=SWEEPS, size=K)
+    cost = tr.transport_cost(points, subset(points), epsilon=EPS, iterations=SWEEPS)
     return cost.select("cloud_id", fm.out(F.col("transport_cost"), 9).alias("transport_cost"))
 
 
@@ -89,8 +90,18 @@ def sinkhorn_cost(spark: SparkSession, folder: str) -> DataFrame:
 def balanced_mass(spark: SparkSession, folder: str) -> DataFrame:
     """Mass that the balanced plan gives each anchor."""
     points = embedding_clouds(spark, folder)
-    plan = tr.transport_plan(points, subset(points), epsilon=EPS, iterations=SWEEPS, size=K)
-    return plan.groupBy("cloud_id", "slot").agg(fm.out(F.sum("mass")).alias("anchor_mass"))
+    mass = tr.anchor_mass(points, subset(points), epsilon=EPS, iterations=SWEEPS)
+    return mass.select("cloud_id", "slot", fm.out(F.col("mass")).alias("anchor_mass"))
+
+
+@query(f"WITH {EMBED_CTES}, sub AS MATERIALIZED ({snapped('(' + random_subset('em', MANY, 'many') + ')', BITS)}), {_sinkhorn(SWEEPS)}, {PLAN} SELECT cloud_id, count(DISTINCT slot) AS anchors, {out('sum(mass * c)', 9)} AS transport_cost FROM pl GROUP BY cloud_id")
+def sinkhorn_cost_k128(spark: SparkSession, folder: str) -> DataFrame:
+    """Balanced entropic transport cost of 128 anchors, as folds over blocks of every cloud."""
+    points = embedding_clouds(spark, folder)
+    chosen = subset(points, MANY, "many")
+    cost = tr.transport_cost(points, chosen, epsilon=EPS, iterations=SWEEPS, bound=0)
+    counts = chosen.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("anchors"))
+    return cost.join(counts, "cloud_id").select("cloud_id", "anchors", fm.out(F.col("transport_cost"), 9).alias("transport_cost"))
 
 
 PERMUTATIONS = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
@@ -415,7 +426,7 @@ def step_curves(spark: SparkSession, folder: str) -> DataFrame:
     frames = []
     for step in range(3):
         if step:
-            moved = an.soft_means(points, current, 0.01, K)
+            moved = fo.soft_means(points, current, 0.01)
             current = se.cut_lineage(moved.select("cloud_id", "slot", *[sm.snap(F.col(a), BITS).alias(a) for a in AXES]))
         strict = asg.unique_projection(current, points, K, BITS).select("cloud_id", "slot", *AXES)
         frames += [current.withColumns({"step": F.lit(step), "mode": F.lit("free")}), strict.withColumns({"step": F.lit(step), "mode": F.lit("strict_subset")})]

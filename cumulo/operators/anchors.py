@@ -172,78 +172,3 @@ def softmax(scores: Column) -> Column:
         return let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
 
     return let(scores, lambda values: let(raised(values), lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))))
-
-
-def responsibilities(points: DataFrame, anchors: DataFrame, temperature: float, size: int | None = None) -> DataFrame:
-    """Points with the array ``share`` of soft assignments (sums to one)."""
-    met = with_distances(points, anchors, size)
-    return met.withColumn("share", softmax(F.transform("d2s", lambda d: -d / F.lit(temperature))))
-
-
-def mass_imbalance(points: DataFrame, anchors: DataFrame, temperature: float = 0.05, size: int | None = None) -> DataFrame:
-    """Relative RMS deviation of each anchor's soft mass from an equal share."""
-    soft = responsibilities(points, anchors, temperature, size)
-    mass = soft.select("cloud_id", "k", F.posexplode("share").alias("slot", "share")).groupBy("cloud_id", "k", "slot").agg(
-        F.avg("share").alias("mass")
-    )
-    expected = F.lit(1.0) / F.col("k")
-    return mass.groupBy("cloud_id").agg(
-        F.sqrt(F.avg(square((F.col("mass") - expected) / expected))).alias("mass_imbalance")
-    )
-
-
-def soft_means(points: DataFrame, anchors: DataFrame, temperature: float, size: int | None = None) -> DataFrame:
-    """One soft k-means step: responsibility-weighted mean of the points per anchor."""
-    soft = responsibilities(points, anchors, temperature, size)
-    spread = soft.select("cloud_id", "x", "y", "z", F.posexplode("share").alias("slot", "w"))
-    whole = F.greatest(F.sum("w"), F.lit(1e-8))
-    return spread.groupBy("cloud_id", "slot").agg(
-        *[(F.sum(F.col("w") * F.col(a)) / whole).alias(a) for a in ("x", "y", "z")], F.sum("w").alias("mass")
-    )
-
-
-def density_aware_chamfer(points: DataFrame, anchors: DataFrame, temperature: float = 0.05, size: int | None = None) -> DataFrame:
-    """Density-aware discrepancy between an anchor set (first) and its cloud (second).
-
-    Soft matches are discounted by how crowded their target is, in both
-    directions. Three folds over the points: the anchor-side normalizer, the
-    occupancies, and the matches; each keeps K numbers per cloud.
-    """
-    tau = F.lit(temperature)
-    met = with_distances(points, anchors, size)
-    # Anchor -> point softmax: exact shift by each anchor's smallest distance.
-    low = met.select("cloud_id", F.posexplode("d2s").alias("slot", "d")).groupBy("cloud_id", "slot").agg(F.min("d").alias("low"))
-    low = low.groupBy("cloud_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "low"))), lambda s: s["low"]).alias("low"))
-    norm = (
-        attach(met, low, sized=points)
-        .select("cloud_id", F.posexplode(F.zip_with("d2s", "low", lambda d, l: F.exp((l - d) / tau))).alias("slot", "e"))
-        .groupBy("cloud_id", "slot").agg(F.sum("e").alias("e"))
-        .groupBy("cloud_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "e"))), lambda s: s["e"]).alias("norm"))
-    )
-    size_of = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
-    constants = low.join(norm, "cloud_id").join(size_of, "cloud_id")
-    full = attach(responsibilities(points, anchors, temperature, size), constants, sized=points)
-    # share: point -> anchor softmax; back: anchor -> point softmax of this point.
-    full = full.withColumn(
-        "back", F.transform("d2s", lambda d, i: F.exp((F.get("low", i) - d) / tau) / F.get("norm", i))
-    ).withColumn("affinity", F.transform("d2s", lambda d: F.exp(-d / tau)))
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    occupancy = total(F.col("back"))
-    full = full.withColumn("_point_discount", F.lit(1.0) / (F.lit(1.0) + square(occupancy / (k / n) - F.lit(1.0))))
-    spread = full.select(
-        "cloud_id", "n", "k", F.posexplode(F.arrays_zip("share", "back", "affinity")).alias("slot", "m"), "_point_discount"
-    )
-    per_anchor = spread.groupBy("cloud_id", "n", "k", "slot").agg(
-        F.sum(F.col("m.back") * F.col("m.affinity") * F.col("_point_discount")).alias("first_match"),
-        F.sum("m.share").alias("crowd"),
-        F.sum(F.col("m.share") * F.col("m.affinity")).alias("pull"),
-    )
-    discount = F.lit(1.0) / (F.lit(1.0) + square(F.col("crowd") / (n / k) - F.lit(1.0)))
-    return per_anchor.groupBy("cloud_id").agg(
-        (
-            F.lit(0.5) * (
-                F.avg(F.lit(1.0) - F.col("first_match"))
-                + (F.lit(1.0) - F.sum(F.col("pull") * discount) / F.max(n))
-            )
-        ).alias("density_aware_chamfer")
-    )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.operators import anchors as an
+from cumulo.operators import folds as fo
 from cumulo.operators.farthest import farthest_points, normal_aware_points
 from cumulo.operators.neighbors import normal_variation
 from cumulo.operators.sampling import random_subset
@@ -27,7 +28,7 @@ SAMPLERS: dict[str, Callable[[DataFrame, int, object], DataFrame]] = {
 
 OBJECTIVES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "chamfer": lambda points, anchors: an.chamfer(points, anchors).withColumnRenamed("chamfer_mse", "loss"),
-    "density_aware": lambda points, anchors: an.density_aware_chamfer(points, anchors).withColumnRenamed("density_aware_chamfer", "loss"),
+    "density_aware": lambda points, anchors: fo.density_aware_chamfer(points, anchors).withColumnRenamed("density_aware_chamfer", "loss"),
     "balanced_transport": lambda points, anchors: transport_cost(points, anchors).withColumnRenamed("transport_cost", "loss"),
 }
 

@@ -1,24 +1,24 @@
 """Balanced entropic transport between an anchor set and its cloud.
 
 The state of the scaling iteration is one potential per anchor. Given it, each
-point's share follows from that point alone, so an iteration is one fold over
-the points and the plan itself is never stored.
+point's share follows from that point alone, so a sweep is one fold over blocks
+of points that keeps K numbers a cloud, and the plan itself is never stored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cumulo.operators.anchors import softmax, total, with_distances
+from cumulo.operators.anchors import softmax, with_distances
+from cumulo.operators.folds import anchor_state, fold, log_sum_parts, log_sums, point_blocks, shares, state_entries
 from cumulo.operators.grouping import attach, by_size, per_cloud
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
-CUT_EVERY = 8
 
 
 def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int) -> DataFrame:
@@ -56,78 +56,77 @@ def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations:
     return per_cloud(both, solve, schema)
 
 
-def _with_share(met: DataFrame, epsilon: float) -> DataFrame:
-    """Adds ``share``: softmax over anchors of potential - d2 / epsilon."""
-    return met.withColumn("share", softmax(F.zip_with("potential", "d2s", lambda u, d: u - d / F.lit(epsilon))))
-
-
-def _per_slot(df: DataFrame, values: Column, fold, *keep: str) -> DataFrame:
-    """Fold an array column per position: one array row per cloud."""
-    spread = df.select("cloud_id", *keep, F.posexplode(values).alias("slot", "_v"))
-    folded = spread.groupBy("cloud_id", "slot").agg(fold("_v").alias("_v"), *[F.any_value(c).alias(c) for c in keep])
-    return folded.groupBy("cloud_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "_v"))), lambda s: s["_v"]).alias("folded"),
-        *[F.any_value(c).alias(c) for c in keep],
-    )
-
-
-def _spread(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int, size: int | None) -> DataFrame:
-    eps = F.lit(epsilon)
-    met = with_distances(points.select("cloud_id", *AXES), anchors, size).select("cloud_id", "d2s", F.col("k"))
-    low = _per_slot(met, F.col("d2s"), F.min).withColumnRenamed("folded", "low")
-    shifted = attach(met, low, sized=points).select(
-        "cloud_id", "low", "k", F.zip_with("d2s", "low", lambda d, l: F.exp((l - d) / eps)).alias("e")
-    )
-    state = _per_slot(shifted, F.col("e"), F.sum, "low", "k").select(
-        "cloud_id", F.zip_with("folded", "low", lambda e, l: l / eps - F.log(e) - F.log(F.col("k").cast("double"))).alias("potential")
-    )
-    counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
-    met = attach(met, counts, sized=points)
-    for i in range(1, iterations):
-        # Column-normalized shares stay below 1/n, so their row sums cannot overflow.
-        shares = _with_share(attach(met, state, sized=points), epsilon)
-        state = _per_slot(shares, F.col("share"), F.sum, "potential", "n", "k").select(
-            "cloud_id",
-            F.zip_with("potential", "folded", lambda u, m: u - F.log(m * F.col("k") / F.col("n"))).alias("potential"),
-        )
-        if i % CUT_EVERY == 0:
-            state = cut_lineage(state)
-    return state
+def _spread(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int, tolerance: float) -> DataFrame:
+    """Sweeps as folds over stored blocks of points: each keeps one potential per anchor."""
+    blocks, fixed = point_blocks(points), anchor_state(anchors)
+    entries, state = state_entries(fixed), fixed
+    for sweep in range(iterations):
+
+        def task(_: np.ndarray, d2: np.ndarray, row: dict) -> list[np.ndarray]:
+            scores = -d2 / epsilon
+            if "potential" in row:  # the column scaling that the last potentials ask for
+                pulled = scores + row["potential"]
+                top = pulled.max(axis=1, keepdims=True)
+                scores = scores - np.log(row["n"]) - top - np.log(np.exp(pulled - top).sum(axis=1, keepdims=True))
+            return log_sum_parts(scores)
+
+        swept = log_sums(fold(blocks, state, ["top", "rest"], task, entries), "_sum")
+        new = cut_lineage(fixed.join(swept, "cloud_id").withColumn(
+            "potential", F.transform("_sum", lambda v: -F.log(F.col("k").cast("double")) - v)).drop("_sum"))
+        moved = None
+        if tolerance and sweep:
+            # A change of the log scaling is the relative error of the anchors' masses.
+            change = F.array_max(F.zip_with("potential", "_last", lambda a, b: F.abs(a - b)))
+            moved = new.join(state.select("cloud_id", F.col("potential").alias("_last")), "cloud_id").agg(F.max(change)).first()[0]
+        state = new
+        if moved is not None and moved <= tolerance:
+            break
+    return state.select("cloud_id", "potential")
 
 
 def anchor_potentials(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, iterations: int = 40,
-                      size: int | None = None, bound: int | None = None) -> DataFrame:
-    """Log scaling per anchor after the given number of sweeps: (cloud_id, potential)."""
+                      tolerance: float = 0.0, bound: int | None = None) -> DataFrame:
+    """Log scaling per anchor after the given number of sweeps: (cloud_id, potential).
+
+    With a ``tolerance`` large clouds stop as soon as no anchor's mass is further
+    from its due, as a share of it. A cloud of at most ``bound`` points per anchor
+    matrix is solved inside one task.
+    """
     if epsilon <= 0 or iterations < 1:
         raise ValueError("epsilon must be positive and iterations at least 1")
     options = {} if bound is None else {"bound": bound}
     return by_size(
         points,
         lambda d: _in_task(d, anchors, epsilon, iterations),
-        lambda d: _spread(d, anchors, epsilon, iterations, size),
+        lambda d: _spread(d, anchors, epsilon, iterations, tolerance),
         **options,
     )
 
 
-def balanced_shares(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, iterations: int = 40,
-                    size: int | None = None, bound: int | None = None) -> DataFrame:
-    """Points with ``share``: one unit split over anchors, near-equal mass per anchor."""
-    state = anchor_potentials(points, anchors, epsilon=epsilon, iterations=iterations, size=size, bound=bound)
-    return _with_share(attach(with_distances(points, anchors, size), state, sized=points), epsilon)
+def _balanced(points: DataFrame, anchors: DataFrame, epsilon: float, options: dict) -> tuple[DataFrame, DataFrame]:
+    state = anchor_state(anchors).join(anchor_potentials(points, anchors, epsilon=epsilon, **options), "cloud_id")
+    return point_blocks(points), cut_lineage(state)
+
+
+def anchor_mass(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, **options) -> DataFrame:
+    """(cloud_id, slot, mass): what the balanced plan gives each anchor, near 1/K."""
+    blocks, state = _balanced(points, anchors, epsilon, options)
+    parts = fold(blocks, state, ["mass"], lambda _, d2, row: [shares(d2, epsilon, row["potential"]).sum(axis=0) / row["n"]])
+    return parts.groupBy("cloud_id", F.col("_slot").alias("slot")).agg(F.sum("mass").alias("mass"))
 
 
-def transport_cost(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, iterations: int = 40,
-                   size: int | None = None, bound: int | None = None) -> DataFrame:
+def transport_cost(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, **options) -> DataFrame:
     """Mean squared cost of the balanced plan per cloud."""
-    shares = balanced_shares(points, anchors, epsilon=epsilon, iterations=iterations, size=size, bound=bound)
-    cost = total(F.zip_with("share", "d2s", lambda s, d: s * d))
-    return shares.groupBy("cloud_id").agg(F.avg(cost).alias("transport_cost"))
+    blocks, state = _balanced(points, anchors, epsilon, options)
+    parts = fold(blocks, state, ["cost"], lambda _, d2, row: [(shares(d2, epsilon, row["potential"]) * d2).sum(axis=0) / row["n"]])
+    return parts.groupBy("cloud_id").agg(F.sum("cost").alias("transport_cost"))
 
 
-def transport_plan(points: DataFrame, anchors: DataFrame, **options) -> DataFrame:
-    """Plan entries (cloud_id, slot, point_id, mass); rows sum to 1/K, columns to 1/N."""
-    shares = balanced_shares(points, anchors, **options)
+def transport_plan(points: DataFrame, anchors: DataFrame, *, epsilon: float = 0.05, **options) -> DataFrame:
+    """Plan entries (cloud_id, slot, point_id, mass), one per point and anchor; rows sum to 1/K, columns to 1/N."""
+    potential = anchor_potentials(points, anchors, epsilon=epsilon, **options)
     counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
-    return attach(shares, counts, sized=points).select(
-        "cloud_id", "point_id", "_n", F.posexplode("share").alias("slot", "share")
-    ).select("cloud_id", "slot", "point_id", (F.col("share") / F.col("_n")).alias("mass"))
+    scaled = attach(with_distances(points, anchors, None), potential.join(counts, "cloud_id"), sized=points)
+    share = softmax(F.zip_with("potential", "d2s", lambda u, d: u - d / F.lit(epsilon)))
+    return scaled.select("cloud_id", "point_id", "_n", F.posexplode(share).alias("slot", "share")).select(
+        "cloud_id", "slot", "point_id", (F.col("share") / F.col("_n")).alias("mass"))

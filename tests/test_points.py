@@ -9,6 +9,7 @@ from cumulo.functions import lattice as lt
 from cumulo.functions.formulas import radical_inverse, square_grid
 from cumulo.functions.hashing import hash_rank, role_seed
 from cumulo.operators import anchors as an
+from cumulo.operators import folds as fo
 from cumulo.operators.distortion import geometry_metrics, sliced_wasserstein
 from cumulo.operators.farthest import farthest_points, merge_path, normal_aware_points
 from cumulo.operators.neighbors import nearest, nearest_vectors
@@ -148,7 +149,7 @@ def test_density_aware_punishes_duplicates(spark):
     packed = line.copy()
     packed[1:] = line[0]
     frame = clouds(spark, {"a": line, "b": line})
-    rows = {r.cloud_id: r.density_aware_chamfer for r in an.density_aware_chamfer(frame, anchors(spark, {"a": line, "b": packed})).collect()}
+    rows = {r.cloud_id: r.density_aware_chamfer for r in fo.density_aware_chamfer(frame, anchors(spark, {"a": line, "b": packed})).collect()}
     assert rows["b"] > rows["a"] + 0.05
     tau, d = 0.05, pairwise(packed, line)
     aff, first = np.exp(-d / tau), np.exp(-d / tau) / np.exp(-d / tau).sum(axis=1, keepdims=True)

@@ -9,6 +9,7 @@ from cumulo.operators import behaviour as bh
 from cumulo.operators import sampling as sm
 from cumulo.operators import search as se
 from cumulo.operators import streams as st
+from cumulo.operators import folds as fo
 from cumulo.operators import transport as tr
 from cumulo.operators.plane import decode_corners, fit_planes, plane_corners
 from cumulo.operators.registry import OBJECTIVES, SAMPLERS, objective, sample
@@ -29,6 +30,43 @@ def test_sinkhorn_marginals_and_both_paths(spark):
     assert small == pytest.approx(large, rel=1e-9)
 
 
+@pytest.mark.parametrize("size", [40])
+def test_folds_over_blocks_against_matrices(spark, monkeypatch, size):
+    monkeypatch.setattr(fo, "BLOCK", 16)
+    monkeypatch.setattr(fo, "MATRIX", 5 * size)
+    draw = np.random.default_rng(size)
+    data = {"a": draw.normal(size=(90, 3)), "b": draw.normal(size=(50, 3))}
+    chosen = {name: points[:size] + 0.01 for name, points in data.items()}
+    points, sets, t = clouds(spark, data), anchors(spark, chosen), 0.3
+    mass = {r.cloud_id: r.mass_imbalance for r in fo.mass_imbalance(points, sets, t).collect()}
+    means, dense = table(fo.soft_means(points, sets, t), "cloud_id", "slot"), {r.cloud_id: r.density_aware_chamfer for r in fo.density_aware_chamfer(points, sets, t).collect()}
+    cost = {r.cloud_id: r.transport_cost for r in tr.transport_cost(points, sets, epsilon=t, iterations=6, bound=0).collect()}
+    early = {r.cloud_id: r.transport_cost for r in tr.transport_cost(points, sets, epsilon=t, iterations=40, tolerance=0.02, bound=0).collect()}
+    for name in data:
+        p, a = data[name], chosen[name]
+        d2, n, k = pairwise(p, a), len(p), len(a)
+        share, back = np.exp(-d2 / t), np.exp(-d2 / t)
+        share, back = share / share.sum(axis=1, keepdims=True), back / back.sum(axis=0)
+        assert mass[name] == pytest.approx(np.sqrt(((share.mean(axis=0) * k - 1) ** 2).mean()))
+        own = means[means["cloud_id"] == name]
+        np.testing.assert_allclose(own[AXES].to_numpy(), (share.T @ p) / share.sum(axis=0)[:, None], atol=1e-9)
+        np.testing.assert_allclose(own["mass"].to_numpy(), share.sum(axis=0), atol=1e-9)
+        point = 1 / (1 + (back.sum(axis=1) / (k / n) - 1) ** 2)
+        anchor = 1 / (1 + (share.sum(axis=0) / (n / k) - 1) ** 2)
+        near = np.exp(-d2 / t)
+        wanted = 0.5 * ((1 - (back * near * point[:, None]).sum(axis=0)).mean() + 1 - (share * near * anchor).sum() / n)
+        assert dense[name] == pytest.approx(wanted)
+        u, v = np.zeros(k), np.zeros(n)
+        for _ in range(6):
+            u = -np.log(k) - np.log(np.exp(-d2 / t + v[:, None]).sum(axis=0))
+            v = -np.log(n) - np.log(np.exp(-d2 / t + u).sum(axis=1))
+        assert cost[name] == pytest.approx((np.exp(-d2 / t + u + v[:, None]) * d2).sum())
+        for _ in range(2000):
+            u = -np.log(k) - np.log(np.exp(-d2 / t + v[:, None]).sum(axis=0))
+            v = -np.log(n) - np.log(np.exp(-d2 / t + u).sum(axis=1))
+        assert early[name] == pytest.approx((np.exp(-d2 / t + u + v[:, None]) * d2).sum(), rel=0.05)
+
+
 def test_cheapest_matching_equals_permutations(spark):
     for size in (1, 2, 5, 6):
         a, b = RNG.normal(size=(size, 3)), RNG.normal(size=(size, 3))
