@@ -130,10 +130,12 @@ def _regions(classes: DataFrame, trees: int, depth: int, bound: int) -> DataFram
         "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key"))
     total, done = classes.count() * trees, []
     for level in range(min(SHALLOW, depth), depth + 1):
-        named = rows.withColumn("region", F.substring("key", 1, 4 * level))
-        sizes = stored(named.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"))
-        placed = stored(attach_groups(named, sizes, ["tree", "region"], "size", total).where("size IS NOT NULL").withColumn(
-            "depth", F.lit(level)))
+        # A region goes by its hash; two that share one would only be compared in vain.
+        named = rows.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * level)))
+        sizes = stored(named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"))
+        # Most signatures are alone; a filter keeps them from moving.
+        likely = mark_members(named, sizes, F.xxhash64("region"), "likely").where("likely").drop("likely")
+        placed = stored(attach_groups(likely, sizes, ["region"], "size", total).where("size IS NOT NULL").withColumn("depth", F.lit(level)))
         if level == depth or sizes.where(F.col("size") > bound).isEmpty():
             return _union([*done, placed])
         done.append(placed.where(F.col("size") <= bound))
@@ -436,7 +438,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, trees: int = TREES, dep
             F.min("doc_id").alias("lowest"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
             F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     units = units.drop("signature")
-    regions = stored(_regions(classes, trees, depth, bound))
+    regions = _regions(classes, trees, depth, bound)
     near = stored(_neighbours(regions.where("tree < 4"), bound))
     wanted = regions.select("node").distinct().join(classes.select("node", "digest", "lowest"), "node")
     sets = _full_sets(docs, stored(wanted), words)
