@@ -324,7 +324,11 @@ def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id", confide
     like others, and an empty table gives no rows. A kind of which the table holds
     too few base spans gets no others, and no span is added that meets a base span. A column of the input named ``spans`` gives way.
     """
-    proposed = stored(propose(docs, text))
+    return _select(stored(propose(docs, text)), id_column, confident)
+
+
+def _select(proposed: DataFrame, id_column: str, confident: float) -> DataFrame:
+    """``find`` from the stored rows of ``propose``."""
     trees, least = fit(proposed, id_column, confident)
     scored = F.transform(OWN + "spans", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"),
@@ -371,7 +375,7 @@ def _joined(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
-    found = find(docs.select("doc_id", "text"))
+    found = _select(stored(propose(docs.select("doc_id", "text")).drop("text")), "doc_id", CONFIDENT)  # no text is stored
     base = F.filter("spans", lambda s: s["base"])
 
     def count(kind: str) -> Column:
