@@ -1,15 +1,19 @@
 """Fixed-width byte streams for tables of anchor sets and feature vectors.
 
-Packing is text arithmetic on one row per set: indices become bit strings, bit
-strings become bytes. Rows that break a rule go to a second frame with a reason.
+Headers and rules are column expressions on one row per set; the payload is packed
+and unpacked over Arrow batches in time linear in its bits. Rows that break a rule go to a
+second frame with a reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cumulo.functions.formulas import let
 from cumulo.functions.lattice import (
@@ -33,26 +37,30 @@ def _number(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("bigint")
 
 
-def _bit_text(values: Column, bits: int) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.bin(v.cast("bigint")), bits, "0")), "")
+def pack_numbers(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers of ``width`` bits, highest bit first, zero bits up to whole bytes."""
+    places = np.arange(width - 1, -1, -1, dtype=np.uint64)
+    bits = (np.asarray(values, np.uint64)[:, None] >> places) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8).ravel()).tobytes()
 
 
-def _bits_to_hex(text: Column) -> Column:
-    """Pad with zero bits to whole bytes and render as hex."""
-    def render(bits: Column) -> Column:
-        return F.array_join(F.transform(
-            F.sequence(F.lit(0), F.floor((F.length(bits) - 1) / 8).cast("int")),
-            lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0"),
-        ), "")
+def unpack_numbers(body: bytes, width: int, count: int) -> tuple[np.ndarray, bool]:
+    """``count`` numbers of ``width`` bits, and whether only zero bits follow."""
+    bits = np.unpackbits(np.frombuffer(body, np.uint8))
+    used = count * width
+    places = np.uint64(1) << np.arange(width - 1, -1, -1, dtype=np.uint64)
+    return bits[:used].reshape(count, width).astype(np.uint64) @ places, not bits[used:].any()
 
-    return let(text, render)
 
+@F.pandas_udf(T.BinaryType())
+def _packed(values: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([pack_numbers(v, w) for v, w in zip(values, width)], dtype=object)
 
-def _hex_to_bits(text: Column) -> Column:
-    return let(text, lambda body: F.array_join(F.transform(
-        F.sequence(F.lit(1), F.length(body), F.lit(2)),
-        lambda i: F.lpad(F.conv(F.substring(body, i, F.lit(2)), 16, 2), 8, "0"),
-    ), ""))
+
+@F.pandas_udf(T.StructType([T.StructField("values", T.ArrayType(T.LongType())), T.StructField("clean", T.BooleanType())]))
+def _unpacked(body: pd.Series, width: pd.Series, count: pd.Series) -> pd.DataFrame:
+    found = [unpack_numbers(b, w, n) for b, w, n in zip(body, width, count)]
+    return pd.DataFrame({"values": [v.astype(np.int64) for v, _ in found], "clean": [c for _, c in found]}, columns=["values", "clean"])
 
 
 def _lattice(value: Column, bits: int) -> Column:
@@ -109,30 +117,21 @@ def encode_sets(sets: DataFrame, *, bits: int, mode: Column, output_points: Colu
         _hex(F.col("k"), 4), _hex(F.col("output_points"), 8),
     )
     flat = F.flatten(F.transform("_t", lambda t: F.array(t["ix"], t["iy"], t["iz"])))
-    good = judged.filter("reason IS NULL").withColumn("_bits", _bit_text(flat, bits))
-    streams = good.select(*keys, F.unhex(F.concat(header, _bits_to_hex(F.col("_bits")))).alias("stream"))
+    good = judged.filter("reason IS NULL").withColumn("_body", _packed(flat, F.lit(bits)))
+    streams = good.select(*keys, F.concat(F.unhex(header), F.col("_body")).alias("stream"))
     return streams, judged.filter("reason IS NOT NULL").select(*keys, "k", "reason")
 
 
 def _payload(df: DataFrame, header_bytes: int, count: Column) -> DataFrame:
-    """Adds ``_values`` (unsigned integers) and ``_pad`` (bits after the last one)."""
-    body = F.substring(F.col("_hex"), F.lit(header_bytes * 2 + 1), F.length("_hex"))
-    parts = F.struct(_hex_to_bits(body).alias("bits"), F.col("bits").alias("width"), count.cast("int").alias("size"))
-
-    def split(part: Column) -> Column:
-        bits, width, size = part["bits"], part["width"], part["size"]
-        values = F.transform(
-            F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.substring(bits, i * width + 1, width), 2, 10).cast("bigint")
-        )
-        return F.struct(values.alias("values"), F.substring(bits, size * width + 1, F.length(bits)).alias("pad"))
-
-    read = df.withColumn("_read", let(parts, split))
-    return read.withColumn("_values", F.col("_read.values")).withColumn("_pad", F.col("_read.pad"))
+    """Adds ``_values`` (unsigned integers) and ``_clean`` (no bit is set after the last one)."""
+    body = F.substring(F.col("stream"), F.lit(header_bytes + 1), F.length("stream"))
+    read = df.withColumn("_read", _unpacked(body, F.col("bits"), count.cast("int")))
+    return read.withColumn("_values", F.col("_read.values")).withColumn("_clean", F.col("_read.clean"))
 
 
 def decode_sets(streams: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> tuple[DataFrame, DataFrame]:
     """Unpack set streams; returns (one row per anchor, rejected with ``reason``)."""
-    text = streams.select(*keys, F.hex("stream").alias("_hex"), F.length("stream").alias("stream_bytes"))
+    text = streams.select(*keys, "stream", F.hex(F.substring("stream", 1, CONSTELLATION_HEADER_BYTES)).alias("_hex"), F.length("stream").alias("stream_bytes"))
 
     def field(start: int, digits: int) -> Column:
         return _number(F.substring("_hex", start, digits))
@@ -153,7 +152,7 @@ def decode_sets(streams: DataFrame, keys: Sequence[str] = ("cloud_id",)) -> tupl
         .when(F.col("stream_bytes") != expected, "stream length differs from header")
         .when(F.col("output_points") < F.col("k"), "output point count below set size"))
     ready = _payload(judged.filter("reason IS NULL"), CONSTELLATION_HEADER_BYTES, F.col("k") * 3)
-    padded = F.instr(F.col("_pad"), "1") > 0
+    padded = ~F.col("_clean")
     bad = judged.filter("reason IS NOT NULL").select(*keys, "reason").unionByName(
         ready.filter(padded).select(*keys, F.lit("non-zero padding bits").alias("reason"))
     )
@@ -184,9 +183,9 @@ def encode_features(vectors: DataFrame, *, bits: int, output_points: Column) ->
     header = F.concat(
         F.lit(FEATURE_MAGIC), _hex(F.lit(VERSION), 2), _hex(F.lit(bits), 2), _hex(size, 4), _hex(F.col("output_points"), 8)
     )
-    good = judged.filter("reason IS NULL").withColumn("_bits", _bit_text(F.transform("features", lambda v: _lattice(v, bits)), bits))
+    good = judged.filter("reason IS NULL").withColumn("_body", _packed(F.transform("features", lambda v: _lattice(v, bits)), F.lit(bits)))
     return (
-        good.select(*keys, F.unhex(F.concat(header, _bits_to_hex(F.col("_bits")))).alias("stream")),
+        good.select(*keys, F.concat(F.unhex(header), F.col("_body")).alias("stream")),
         judged.filter("reason IS NOT NULL").select(*keys, "reason"),
     )
 
@@ -194,7 +193,7 @@ def encode_features(vectors: DataFrame, *, bits: int, output_points: Column) ->
 def decode_features(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unpack feature streams; returns (vectors, rejected with ``reason``)."""
     keys = [c for c in streams.columns if c != "stream"]
-    text = streams.select(*keys, F.hex("stream").alias("_hex"), F.length("stream").alias("stream_bytes"))
+    text = streams.select(*keys, "stream", F.hex(F.substring("stream", 1, FEATURE_HEADER_BYTES)).alias("_hex"), F.length("stream").alias("stream_bytes"))
 
     def field(start: int, digits: int) -> Column:
         return _number(F.substring("_hex", start, digits))
@@ -211,7 +210,7 @@ def decode_features(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("stream_bytes") != expected, "stream length differs from header")
         .when(F.col("output_points") < 1, "output point count must be positive"))
     ready = _payload(judged.filter("reason IS NULL"), FEATURE_HEADER_BYTES, F.col("length"))
-    padded = F.instr(F.col("_pad"), "1") > 0
+    padded = ~F.col("_clean")
     bad = judged.filter("reason IS NOT NULL").select(*keys, "reason").unionByName(
         ready.filter(padded).select(*keys, F.lit("non-zero padding bits").alias("reason"))
     )

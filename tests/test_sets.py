@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -6,10 +7,10 @@ from pyspark.sql import functions as F
 
 from cumulo.operators import assignment as asg
 from cumulo.operators import behaviour as bh
+from cumulo.operators import folds as fo
 from cumulo.operators import sampling as sm
 from cumulo.operators import search as se
 from cumulo.operators import streams as st
-from cumulo.operators import folds as fo
 from cumulo.operators import transport as tr
 from cumulo.operators.plane import decode_corners, fit_planes, plane_corners
 from cumulo.operators.registry import OBJECTIVES, SAMPLERS, objective, sample
@@ -128,6 +129,29 @@ def test_stream_is_order_free_and_malformed_rows_are_named(spark):
     assert {r.cloud_id: r.reason for r in rejected.collect()} == {"far": "coordinates outside the domain", "nan": "coordinates are not finite"}
 
 
+def test_numbers_in_bits():
+    draw = np.random.default_rng(4)
+    for width in (1, 3, 8, 13, 24):
+        values = draw.integers(0, 1 << width, 50)
+        body = st.pack_numbers(values, width)
+        text = "".join(f"{v:0{width}b}" for v in values)
+        assert body == int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8))
+        back, clean = st.unpack_numbers(body, width, 50)
+        assert back.tolist() == values.tolist() and clean
+
+
+def test_the_largest_set_round_trips(spark):
+    """65,535 anchors at 24 bits, in seconds."""
+    points = np.random.default_rng(6).uniform(-1, 1, size=(65_535, 3))
+    sets = anchors(spark, {"c": points})
+    streams, bad = st.encode_sets(sets, bits=24, mode=F.lit("free"), output_points=F.lit(65_535))
+    begun = time.monotonic()
+    decoded, rejected = st.decode_sets(se.cut_lineage(streams))
+    got = np.sort(decoded.select("ix", "iy", "iz").toPandas().to_numpy(), axis=0)
+    assert time.monotonic() - begun < 60 and bad.count() == rejected.count() == 0
+    assert (got == np.sort(np.rint((points + 1) * 0.5 * (2 ** 24 - 1)).astype(int), axis=0)).all()
+
+
 def test_feature_streams(spark):
     frame = spark.createDataFrame([("a", [0.5, -1.0, 1.0]), ("b", [2.0]), ("c", [])], "k string, features array<double>")
     streams, bad = st.encode_features(frame, bits=9, output_points=F.lit(16))
