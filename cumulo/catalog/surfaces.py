@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulo.catalog.geometry import BITS
 from cumulo.catalog.sqltext import d, hash_uniform, out, s
-from cumulo.catalog.views import AXES, EMBED_CTES, EVENT_CTES, LINE_CTES, embedding_clouds, event_clouds, lineitem_points
+from cumulo.catalog.views import AXES, EMBED_CTES, EVENT_CTES, LINE_CTES, embedding_clouds, event_clouds, lineitem_points, raw_event_clouds
 from cumulo.functions import formulas as fm
 from cumulo.operators import plane as pl
 from cumulo.operators import surface as sf
 from cumulo.operators.neighbors import nearest
 from cumulo.operators.ranking import rank_in_group
-from cumulo.session import cut_lineage
+from cumulo.session import cut_lineage, ensure_checkpoint_dir
+from cumulo.sources.meshes import read_obj, read_off
+from cumulo.sources.points import read_ply
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +136,70 @@ def metric_logs(spark: SparkSession, folder: str) -> DataFrame:
     ]
     read, _ = metrics_from_text(rows.select(F.col("c_custkey").cast("bigint").alias("log"), F.concat(*lines).alias("value")))
     return read.select("log", *METRIC_NAMES)
+
+
+def _event_lines(spark: SparkSession, folder: str, heads: list[str], vertex: str, face: str | None) -> str:
+    """Writes one text file per event cloud, ``heads`` first, and returns the folder beside the checkpoints.
+
+    Vertices are the events by id in whole numbers, faces the strip of every three in a row.
+    """
+    raw = raw_event_clouds(spark, folder)
+    ranked = rank_in_group(raw, ["cloud_id"], ["point_id"], rank="i").select(
+        "cloud_id", "i", F.floor(F.col("x") * 100).alias("x"), F.col("y").cast("bigint").alias("y"), F.coalesce(F.col("z").cast("bigint"), F.lit(0)).alias("z"))
+    sizes = ranked.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = ranked.join(sizes.filter("n >= 3"), "cloud_id")
+    parts = [F.struct(F.lit(1).alias("part"), F.col("i").cast("bigint").alias("at"), F.concat_ws(" ", F.lit(vertex), "x", "y", "z").alias("value"))]
+    if face is not None:
+        offset = 1 if face == "f" else 0
+        text = F.concat_ws(" ", F.lit(face), *[(F.col("i") + k + offset).cast("string") for k in range(3)])
+        parts.append(F.when(F.col("i") < F.col("n") - 2, F.struct(F.lit(2).alias("part"), F.col("i").cast("bigint").alias("at"), text.alias("value"))))
+    lines = kept.select("cloud_id", F.explode(F.array_compact(F.array(*parts))).alias("l")).select("cloud_id", "l.*")
+    for at, head in enumerate(heads):
+        filled = F.regexp_replace(F.regexp_replace(F.lit(head), "N", F.col("n").cast("string")), "M", (F.col("n") - 2).cast("string"))
+        lines = lines.unionByName(sizes.filter("n >= 3").select("cloud_id", F.lit(0).alias("part"), F.lit(at).cast("bigint").alias("at"), filled.alias("value")))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    order = ["cloud_id", "part", "at"]
+    lines.withColumn("value", F.trim("value")).repartition("cloud_id").sortWithinPartitions(*order).select("cloud_id", "value").write.partitionBy("cloud_id").text(path)
+    return path
+
+
+_EVENT_VERTICES = f"""WITH {EVENT_CTES}, v AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY cloud_id) AS n,
+ CAST(floor(x * 100) AS BIGINT) AS vx, CAST(y AS BIGINT) AS vy, CAST(coalesce(z, 0) AS BIGINT) AS vz FROM raw)
+SELECT cloud_id, count(*) AS vertices, CAST(sum((i + 1) * (vx + 2 * vy + 3 * vz)) AS BIGINT) AS weighted"""
+_EVENT_MESHES = _EVENT_VERTICES + ", max(n) - 2 AS faces, CAST(sum(CASE WHEN i < n - 2 THEN 7 * i + 8 END) AS BIGINT) AS corners FROM v WHERE n >= 3 GROUP BY cloud_id"
+
+
+def _cloud_of(name: str) -> Column:
+    return F.regexp_extract(name, "cloud_id=([^/]+)/", 1).alias("cloud_id")
+
+
+def _mesh_digest(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    weighted = F.sum((F.col("vertex_ix") + 1) * (F.col("x") + 2 * F.col("y") + 3 * F.col("z"))).cast("bigint").alias("weighted")
+    left = vertices.groupBy(_cloud_of("mesh_id")).agg(F.count(F.lit(1)).alias("vertices"), weighted)
+    right = faces.groupBy(_cloud_of("mesh_id")).agg(
+        F.count(F.lit(1)).alias("faces"), F.sum(F.col("a") + 2 * F.col("b") + 3 * F.col("c") + F.col("face_ix")).cast("bigint").alias("corners"))
+    return left.join(right, "cloud_id")
+
+
+@query(_EVENT_MESHES)
+def obj_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Event clouds written as OBJ files and read back by splits."""
+    vertices, faces, _ = read_obj(spark, _event_lines(spark, folder, [], "v", "f"), "part-*")
+    return _mesh_digest(vertices, faces)
+
+
+@query(_EVENT_MESHES)
+def off_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Event clouds written as OFF files and read back by splits."""
+    vertices, faces, _ = read_off(spark, _event_lines(spark, folder, ["OFF", "N M 0"], "", "3"), "part-*")
+    return _mesh_digest(vertices, faces)
+
+
+@query(_EVENT_VERTICES + " FROM v WHERE n >= 3 GROUP BY cloud_id")
+def ply_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Event clouds written as PLY files and read back by splits."""
+    heads = ["ply", "format ascii 1.0", "element vertex N", *(f"property float {a}" for a in AXES), "end_header"]
+    points, _ = read_ply(spark, _event_lines(spark, folder, heads, "", None), "part-*")
+    weighted = F.sum((F.col("point_id") + 1) * (F.col("x") + 2 * F.col("y") + 3 * F.col("z"))).cast("bigint").alias("weighted")
+    return points.groupBy(_cloud_of("cloud_id")).agg(F.count(F.lit(1)).alias("vertices"), weighted)

@@ -1,7 +1,9 @@
 """OBJ and OFF mesh files as vertex and face tables.
 
-Each file is read whole; lines keep their number, so a broken file is reported
-with path, line and reason, and none of its rows are kept.
+Files are read by splits, so one large file is the work of many tasks. Line numbers,
+vertex counts and face numbers are prefix folds: a running count inside a split plus
+what the splits before it hold. A broken file is reported with path, line and reason,
+and none of its rows are kept.
 """
 
 from __future__ import annotations
@@ -9,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cumulo.session import cut_lineage
+
 AXES = ("x", "y", "z")
-LINE_BREAK = "\\r\\n|\\n|\\r"
 
 
 def _relative(root: str) -> Column:
@@ -56,15 +59,46 @@ def uneven_categories(catalog: DataFrame) -> DataFrame:
 
 
 def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Whole small files, one row each."""
     read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return read.select(F.col("_metadata.file_path").alias("path"), "value").select(
         F.regexp_replace(_relative(root), "^file:", "").alias("mesh_id"), "value"
     )
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    numbered = texts.select("mesh_id", F.posexplode(F.split("value", LINE_BREAK)).alias("_i", "raw"))
-    return numbered.select("mesh_id", (F.col("_i") + 1).alias("line"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text"))
+def file_names(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``mesh_id`` of every file, empty ones too; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select("path").select(F.regexp_replace(_relative(root), "^file:", "").alias("mesh_id"))
+
+
+def file_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(mesh_id, block, line, text): the lines of all files with single blanks, numbered from 1; stored.
+
+    ``block`` is the offset of the split that a line was read in. Inside a split
+    rows are numbered as they come; what the splits before hold is added.
+    """
+    raw = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_id"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
+    rows = cut_lineage(raw.select(F.regexp_replace(_relative(root), "^file:", "").alias("mesh_id"), "block", "_id", "text"))
+    blocks = rows.groupBy("mesh_id", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    start = F.coalesce(F.sum("_n").over(_before_block()), F.lit(0)) - F.col("_first") + 1
+    return rows.join(blocks.select("mesh_id", "block", start.alias("_start")), ["mesh_id", "block"]).select(
+        "mesh_id", "block", (F.col("_start") + F.col("_id")).alias("line"), "text")
+
+
+def _before_block() -> Window:
+    return Window.partitionBy("mesh_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_total(rows: DataFrame, amount: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` (not negative) over a file's rows up to and with this one."""
+    inside = Window.partitionBy("mesh_id", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_in", F.sum(amount.cast("bigint")).over(inside))
+    blocks = counted.groupBy("mesh_id", "block").agg(F.max("_in").alias("_n"))
+    before = blocks.select("mesh_id", "block", F.coalesce(F.sum("_n").over(_before_block()), F.lit(0)).alias("_before"))
+    return counted.join(before, ["mesh_id", "block"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
 def _number(text: Column) -> Column:
@@ -87,30 +121,29 @@ def _fan(ring: str = "ring") -> Column:
 
 def _finish(vertices: DataFrame, polygons: DataFrame, errors: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop files with errors, triangulate polygons and number the faces."""
-    triangles = polygons.select("mesh_id", "line", _fan()).select("mesh_id", "line", "_fan", "t.*")
+    corners = F.size("ring") - 2
     counts = files.select("mesh_id").join(vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_v")), "mesh_id", "left").join(
-        triangles.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_f")), "mesh_id", "left"
+        polygons.groupBy("mesh_id").agg(F.sum(corners).alias("_f")), "mesh_id", "left"
     )
     empty = counts.filter((F.coalesce("_v", F.lit(0)) < 3) | (F.coalesce("_f", F.lit(0)) < 1)).join(
         errors.select("mesh_id").distinct(), "mesh_id", "left_anti"
-    ).select("mesh_id", F.lit(None).cast("int").alias("line"), F.lit("file holds no vertices or faces").alias("reason"))
+    ).select("mesh_id", F.lit(None).cast("bigint").alias("line"), F.lit("too few vertices or faces").alias("reason"))
     rejected = errors.unionByName(empty)
     bad = rejected.select("mesh_id").distinct()
-    order = Window.partitionBy("mesh_id").orderBy("line", "_fan")
-    faces = triangles.join(bad, "mesh_id", "left_anti").withColumn("face_ix", F.row_number().over(order) - 1)
+    numbered = running_total(polygons.join(bad, "mesh_id", "left_anti"), corners, "_upto")
+    first = (F.col("_upto") - corners).alias("_start")
+    faces = numbered.select("mesh_id", first, _fan()).select("mesh_id", (F.col("_start") + F.col("_fan")).cast("int").alias("face_ix"), "t.*")
     return (
         vertices.join(bad, "mesh_id", "left_anti").select("mesh_id", "vertex_ix", *AXES),
         faces.select("mesh_id", "face_ix", "a", "b", "c"), rejected,
     )
 
 
-def _obj(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parts = _lines(texts).withColumn("f", F.split("text", " ")).filter(F.col("text") != "")
+def _obj(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts = lines.withColumn("f", F.split("text", " ")).filter(F.col("text") != "")
     kind, width = F.get("f", F.lit(0)), F.size("f")
     used = parts.filter(kind.isin("v", "f") & (width >= 4)).withColumn("is_vertex", kind == "v")
-    # A file was one row of text, so its lines fit one window.
-    seen = F.count_if("is_vertex").over(Window.partitionBy("mesh_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    used = used.withColumn("_seen", seen.cast("int"))
+    used = running_total(used, F.col("is_vertex").cast("int"), "_seen").withColumn("_seen", F.col("_seen").cast("int"))
     vertices = used.filter("is_vertex").select(
         "mesh_id", "line", (F.col("_seen") - 1).alias("vertex_ix"), *[_number(F.get("f", F.lit(i + 1))).alias(a) for i, a in enumerate(AXES)]
     )
@@ -120,33 +153,31 @@ def _obj(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return F.when(number > 0, number - 1).otherwise(F.col("_seen") + number)
 
     rings = used.filter("NOT is_vertex").withColumn("ring", F.transform(F.slice("f", 2, F.size("f")), index))
-    problem = F.when(F.col("_seen") == 0, "face precedes vertices").when(
-        F.exists("ring", lambda i: i.isNull()), "missing or malformed face index"
-    ).when(F.exists("ring", lambda i: (i < 0) | (i >= F.col("_seen"))), "face index out of range")
+    problem = F.when(F.col("_seen") == 0, "a face comes before any vertex").when(
+        F.exists("ring", lambda i: i.isNull()), "a corner has no usable index"
+    ).when(F.exists("ring", lambda i: (i < 0) | (i >= F.col("_seen"))), "a corner points past the vertices so far")
     judged = rings.withColumn("reason", problem)
     errors = judged.filter("reason IS NOT NULL").select("mesh_id", "line", "reason").unionByName(
         vertices.filter(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z")))).select(
-            "mesh_id", "line", F.lit("vertex is malformed or not finite").alias("reason")
+            "mesh_id", "line", F.lit("a coordinate is not a finite number").alias("reason")
         )
     )
-    return vertices, judged.filter("reason IS NULL").select("mesh_id", "line", "ring"), errors
+    return vertices, judged.filter("reason IS NULL").select("mesh_id", "block", "line", "ring"), errors
 
 
 def read_obj(spark: SparkSession, root: str, glob: str = "*.obj") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, rejected) of all OBJ files below ``root``; ``mesh_id`` is the relative path."""
-    texts = _texts(spark, root, glob)
-    return _finish(*_obj(texts), texts)
+    return _finish(*_obj(file_lines(spark, root, glob)), file_names(spark, root, glob))
 
 
-def _off(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    content = _lines(texts).withColumn("text", F.trim(F.regexp_replace("text", "#.*$", ""))).filter(F.col("text") != "")
-    order = Window.partitionBy("mesh_id").orderBy("line")
-    content = content.withColumn("_at", F.row_number().over(order) - 1).withColumn("f", F.split("text", " "))
+def _off(lines: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    content = lines.withColumn("text", F.trim(F.regexp_replace("text", "#.*$", ""))).filter(F.col("text") != "")
+    content = running_total(content, F.lit(1), "_at").withColumn("_at", F.col("_at") - 1).withColumn("f", F.split("text", " "))
     heads = content.groupBy("mesh_id").agg(
         F.max(F.when(F.col("_at") == 0, F.col("f"))).alias("_head"), F.max(F.when(F.col("_at") == 1, F.col("f"))).alias("_next"),
         F.count(F.lit(1)).alias("_lines"),
     )
-    heads = texts.select("mesh_id").join(heads, "mesh_id", "left")
+    heads = files.select("mesh_id").join(heads, "mesh_id", "left")
     magic, rest = F.get("_head", F.lit(0)), F.slice("_head", 2, F.greatest(F.size("_head"), F.lit(1)))
     fused = magic.rlike(r"^OFF\d+$")
     inline = F.when(magic == "OFF", rest).when(fused, F.concat(F.array(F.substring(magic, 4, 20)), rest))
@@ -155,47 +186,44 @@ def _off(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ).withColumn("_first", F.when(F.size("_inline") > 0, 1).otherwise(2))
     heads = heads.withColumns({"_v": F.get("_counts", F.lit(0)).try_cast("int"), "_f": F.get("_counts", F.lit(1)).try_cast("int")})
     problem = (
-        F.when(F.col("_head").isNull(), "file is empty").when(F.col("_inline").isNull(), "header is missing")
-        .when(F.col("_counts").isNull(), "counts are missing").when(F.col("_v").isNull() | F.col("_f").isNull(), "counts are malformed")
-        .when((F.col("_v") < 3) | (F.col("_f") < 1), "file holds no vertices or faces")
-        .when(F.col("_lines") - F.col("_first") < F.col("_v") + F.col("_f"), "geometry is truncated")
+        F.when(F.col("_head").isNull(), "nothing in the file").when(F.col("_inline").isNull(), "no OFF header")
+        .when(F.col("_counts").isNull(), "no line of counts").when(F.col("_v").isNull() | F.col("_f").isNull(), "counts are not whole numbers")
+        .when((F.col("_v") < 3) | (F.col("_f") < 1), "too few vertices or faces")
+        .when(F.col("_lines") - F.col("_first") < F.col("_v") + F.col("_f"), "fewer rows than the counts say")
     )
     heads = heads.withColumn("reason", problem)
-    file_errors = heads.filter("reason IS NOT NULL").select("mesh_id", F.lit(1).alias("line"), "reason")
+    file_errors = heads.filter("reason IS NOT NULL").select("mesh_id", F.lit(1).cast("bigint").alias("line"), "reason")
     body = content.join(heads.filter("reason IS NULL").select("mesh_id", "_v", "_f", "_first"), "mesh_id").withColumn("_row", F.col("_at") - F.col("_first")).filter("_row >= 0")
     vertices = body.filter("_row < _v").select(
-        "mesh_id", "line", F.col("_row").alias("vertex_ix"), *[_number(F.get("f", F.lit(i))).alias(a) for i, a in enumerate(AXES)]
+        "mesh_id", "line", F.col("_row").cast("int").alias("vertex_ix"), *[_number(F.get("f", F.lit(i))).alias(a) for i, a in enumerate(AXES)]
     )
     size = F.get("f", F.lit(0)).try_cast("int")
     rings = body.filter((F.col("_row") >= F.col("_v")) & (F.col("_row") < F.col("_v") + F.col("_f"))).withColumn("_size", size).withColumn(
         "ring", F.when(F.col("_size") >= 3, F.transform(F.slice("f", 2, F.col("_size")), lambda t: t.try_cast("int")))
     )
     broken = F.when(
-        F.col("_size").isNull() | (F.col("_size") < 3) | (F.size("ring") < F.col("_size")) | F.exists("ring", lambda i: i.isNull()), "face is malformed"
-    ).when(F.exists("ring", lambda i: (i < 0) | (i >= F.col("_v"))), "face index out of range")
+        F.col("_size").isNull() | (F.col("_size") < 3) | (F.size("ring") < F.col("_size")) | F.exists("ring", lambda i: i.isNull()), "a face lacks corners"
+    ).when(F.exists("ring", lambda i: (i < 0) | (i >= F.col("_v"))), "a corner points past the vertices")
     judged = rings.withColumn("reason", broken)
     errors = file_errors.unionByName(judged.filter("reason IS NOT NULL").select("mesh_id", "line", "reason")).unionByName(
         vertices.filter(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z")))).select(
-            "mesh_id", "line", F.lit("vertex is malformed or not finite").alias("reason")
+            "mesh_id", "line", F.lit("a coordinate is not a finite number").alias("reason")
         )
     )
-    return vertices, judged.filter("reason IS NULL").select("mesh_id", "line", "ring"), errors
+    return vertices, judged.filter("reason IS NULL").select("mesh_id", "block", "line", "ring"), errors
 
 
 def read_off(spark: SparkSession, root: str, glob: str = "*.off") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, rejected) of all OFF files below ``root``."""
-    texts = _texts(spark, root, glob)
-    return _finish(*_off(texts), texts)
+    files = file_names(spark, root, glob)
+    return _finish(*_off(file_lines(spark, root, glob), files), files)
 
 
 def read_meshes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both formats by lower-cased suffix; other files are rejected by name."""
-    texts = _texts(spark, root, "*")
+    """Both formats by lower-cased suffix; other files are rejected by name and not read."""
+    first, second = read_obj(spark, root, "*.[oO][bB][jJ]"), read_off(spark, root, "*.[oO][fF][fF]")
     suffix = F.lower(F.regexp_extract("mesh_id", r"\.([^./]+)$", 1))
-    marked = texts.withColumn("_s", suffix)
-    first = _finish(*_obj(marked.filter("_s = 'obj'")), marked.filter("_s = 'obj'"))
-    second = _finish(*_off(marked.filter("_s = 'off'")), marked.filter("_s = 'off'"))
-    other = marked.filter("_s NOT IN ('obj', 'off')").select(
-        "mesh_id", F.lit(None).cast("int").alias("line"), F.lit("unsupported mesh format").alias("reason")
+    other = file_names(spark, root, "*").filter(~suffix.isin("obj", "off")).select(
+        "mesh_id", F.lit(None).cast("bigint").alias("line"), F.lit("neither OBJ nor OFF").alias("reason")
     )
     return first[0].unionByName(second[0]), first[1].unionByName(second[1]), first[2].unionByName(second[2]).unionByName(other)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulo.functions.lattice import short_decimal
-from cumulo.sources.meshes import LINE_BREAK, _finite, _number, _texts
+from cumulo.sources.meshes import _finite, _number, _texts, file_lines, file_names
 
 AXES = ("x", "y", "z")
 NORMALS = ("nx", "ny", "nz")
@@ -18,10 +18,11 @@ def read_ply(spark: SparkSession, root: str, glob: str = "*.ply") -> tuple[DataF
     Properties are found by name; vertex rows are the first ``element vertex``
     count of lines after the header.
     """
-    texts = _texts(spark, root, glob).withColumnRenamed("mesh_id", "cloud_id")
-    cut = texts.withColumn("_lines", F.transform(F.split("value", LINE_BREAK), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))))
-    cut = cut.withColumn("_end", F.array_position("_lines", "end_header").cast("int")).drop("value")
-    head = F.slice("_lines", 1, F.greatest(F.col("_end"), F.lit(1)))
+    lines = file_lines(spark, root, glob)
+    ends = lines.groupBy("mesh_id").agg(F.min(F.when(F.col("text") == "end_header", F.col("line"))).alias("_end"))
+    found = lines.join(ends, "mesh_id")
+    ordered = F.array_sort(F.collect_list(F.when((F.col("line") <= F.col("_end")) | (F.col("line") <= 2), F.struct("line", "text"))))
+    heads = found.groupBy("mesh_id").agg(F.transform(ordered, lambda r: r["text"]).alias("_head"), F.any_value("_end").alias("_end"))
     # Walk the header once: which element a property belongs to, and the vertex count.
     start = F.struct(F.lit("").alias("element"), F.lit(None).cast("int").alias("n"), F.array().cast("array<string>").alias("names"))
 
@@ -36,24 +37,29 @@ def read_ply(spark: SparkSession, root: str, glob: str = "*.ply") -> tuple[DataF
             F.when(own, F.concat(state["names"], F.array(F.element_at(f, -1)))).otherwise(state["names"]).alias("names"),
         )
 
-    cut = cut.withColumn("_h", F.aggregate(head, start, step))
-    cut = cut.withColumns({f"_p{a}": F.array_position(F.col("_h.names"), a).cast("int") - 1 for a in AXES})
-    present = F.size(F.filter(F.slice("_lines", F.col("_end") + 1, F.col("_h.n")), lambda t: t != ""))
+    heads = heads.withColumn("_h", F.aggregate("_head", start, step))
+    heads = heads.select("mesh_id", "_head", "_end", F.col("_h.n").alias("_n"), *[
+        (F.array_position(F.col("_h.names"), a).cast("int") - 1).alias(f"_p{a}") for a in AXES])
+    body = found.join(heads.select("mesh_id", "_n", *[f"_p{a}" for a in AXES]), "mesh_id").filter(
+        (F.col("line") > F.col("_end")) & (F.col("line") <= F.col("_end") + F.col("_n")))
+    present = body.filter("text <> ''").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_present"))
+    files = file_names(spark, root, glob).join(heads, "mesh_id", "left").join(present, "mesh_id", "left")
     problem = (
-        F.when(F.get("_lines", F.lit(0)) != "ply", "not a PLY file").when(F.get("_lines", F.lit(1)) != "format ascii 1.0", "not ASCII PLY 1.0")
-        .when(F.col("_end") == 0, "header is unterminated").when(F.col("_h.n").isNull() | (F.col("_h.n") < 1), "file holds no vertices")
-        .when((F.col("_px") < 0) | (F.col("_py") < 0) | (F.col("_pz") < 0), "x, y or z property is missing")
-        .when(present < F.col("_h.n"), "vertex data is truncated")
+        F.when(F.coalesce(F.get("_head", F.lit(0)), F.lit("")) != "ply", "not a PLY file")
+        .when(F.coalesce(F.get("_head", F.lit(1)), F.lit("")) != "format ascii 1.0", "not ASCII PLY 1.0")
+        .when(F.col("_end").isNull(), "the header has no end").when(F.col("_n").isNull() | (F.col("_n") < 1), "no vertices are announced")
+        .when((F.col("_px") < 0) | (F.col("_py") < 0) | (F.col("_pz") < 0), "x, y or z is not among the properties")
+        .when(F.coalesce("_present", F.lit(0)) < F.col("_n"), "fewer vertices than announced")
     )
-    cut = cut.withColumn("reason", problem)
-    good = cut.filter("reason IS NULL")
-    rows = good.select(
-        "cloud_id", "_px", "_py", "_pz", F.posexplode(F.slice("_lines", F.col("_end") + 1, F.col("_h.n"))).alias("point_id", "_t")
-    ).withColumn("_t", F.split("_t", " "))
-    points = rows.select("cloud_id", F.col("point_id").cast("bigint").alias("point_id"), *[_number(F.get("_t", F.col(f"_p{a}"))).alias(a) for a in AXES])
+    judged = files.withColumn("reason", problem)
+    fields = F.split("text", " ")
+    points = body.join(judged.filter("reason IS NOT NULL").select("mesh_id"), "mesh_id", "left_anti").select(
+        F.col("mesh_id").alias("cloud_id"), (F.col("line") - F.col("_end") - 1).alias("point_id"),
+        *[_number(F.get(fields, F.col(f"_p{a}"))).alias(a) for a in AXES])
     broken = points.filter(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z"))))
-    bad = broken.groupBy("cloud_id").agg(F.lit("vertex is malformed or not finite").alias("reason"))
-    return points.join(bad, "cloud_id", "left_anti"), cut.filter("reason IS NOT NULL").select("cloud_id", "reason").unionByName(bad)
+    bad = broken.groupBy("cloud_id").agg(F.lit("a coordinate is not a finite number").alias("reason"))
+    rejected = judged.filter("reason IS NOT NULL").select(F.col("mesh_id").alias("cloud_id"), "reason")
+    return points.join(bad, "cloud_id", "left_anti"), rejected.unionByName(bad)
 
 
 def ply_text(points: DataFrame) -> DataFrame:

@@ -41,8 +41,43 @@ def test_obj_variants(spark, tmp_path):
     assert faces_of(faces) == {"quad.obj": [(0, 1, 2), (0, 2, 3)], "negative.obj": [(0, 1, 2)]}
     assert vertices.count() == 8
     reasons = {r.mesh_id: (r.line, r.reason) for r in bad.collect()}
-    assert reasons["early.obj"] == (1, "face precedes vertices") and reasons["range.obj"] == (5, "face index out of range")
-    assert reasons["nan.obj"][0] == 1 and reasons["empty.obj"][1] == "file holds no vertices or faces"
+    assert reasons["early.obj"] == (1, "a face comes before any vertex") and reasons["range.obj"] == (5, "a corner points past the vertices so far")
+    assert reasons["nan.obj"][0] == 1 and reasons["empty.obj"][1] == "too few vertices or faces"
+
+
+def test_files_of_many_splits(spark, tmp_path):
+    """One file of each format, read by several tasks: lines, vertices and faces are numbered through."""
+    draw = np.random.default_rng(5)
+    coords = draw.integers(-50, 50, size=(400, 3))
+    corners = [(k, k + 1, k + 2, k + 3) if k % 3 else (k, k + 1, k + 2) for k in range(300)]
+    rows, seen = [], 0
+    for k, ring in enumerate(corners):  # faces between vertices, relative indices among them
+        while seen <= ring[-1]:
+            rows.append("v %d %d %d" % tuple(coords[seen]))
+            seen += 1
+        rows += ["", "# note"] if k % 7 == 0 else []
+        rows.append("f " + " ".join(str(i - seen) if k % 2 else f"{i + 1}//{i + 1}" for i in ring))
+    write(tmp_path / "long.obj", "\r\n".join(rows) + "\n")
+    off = ["OFF # made", "%d %d 0" % (seen, len(corners)), *("%d %d %d" % tuple(c) for c in coords[:seen]), *(f"{len(r)} " + " ".join(map(str, r)) for r in corners)]
+    write(tmp_path / "long.off", "\n".join(off))
+    ply = ["ply", "format ascii 1.0", f"element vertex {seen}", "property float z", "property float y", "property float x", "end_header", *("%d %d %d" % tuple(c) for c in coords[:seen])]
+    write(tmp_path / "long.ply", "\n".join(ply))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        lines = meshes.file_lines(spark, str(tmp_path), "long.obj")
+        assert lines.select("block").distinct().count() > 3
+        assert [r.text for r in lines.orderBy("line").collect()] == rows and lines.count() == len(rows)
+        wanted = [t for r in corners for t in ([(r[0], r[1], r[2])] + ([(r[0], r[2], r[3])] if len(r) == 4 else []))]
+        for reader, name in ((meshes.read_obj, "long.obj"), (meshes.read_off, "long.off")):
+            vertices, faces, bad = reader(spark, str(tmp_path))
+            assert bad.count() == 0 and faces_of(faces) == {name: wanted}
+            got = vertices.orderBy("vertex_ix").collect()
+            assert [(r.x, r.y, r.z) for r in got] == [tuple(map(float, c)) for c in coords[:seen]]
+        got, bad = points.read_ply(spark, str(tmp_path))
+        assert bad.count() == 0 and [(r.z, r.y, r.x) for r in got.orderBy("point_id").collect()] == [tuple(map(float, c)) for c in coords[:seen]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_off_variants(spark, tmp_path):
@@ -57,7 +92,7 @@ def test_off_variants(spark, tmp_path):
     _, faces, bad = meshes.read_off(spark, str(tmp_path))
     assert faces_of(faces) == {n: [(0, 1, 2), (0, 2, 3)] for n in ("inline.off", "fused.off", "plain.off")}
     assert {r.mesh_id: r.reason for r in bad.collect()} == {
-        "range.off": "face index out of range", "short.off": "geometry is truncated", "head.off": "header is missing", "void.off": "file is empty",
+        "range.off": "a corner points past the vertices", "short.off": "fewer rows than the counts say", "head.off": "no OFF header", "void.off": "nothing in the file",
     }
 
 
@@ -67,7 +102,7 @@ def test_mixed_formats_and_catalogs(spark, tmp_path):
     write(tmp_path / "c.stl", "solid")
     _, faces, bad = meshes.read_meshes(spark, str(tmp_path))
     assert set(faces_of(faces)) == {"a.OBJ", "b.off"}
-    assert [(r.mesh_id, r.reason) for r in bad.collect()] == [("c.stl", "unsupported mesh format")]
+    assert [(r.mesh_id, r.reason) for r in bad.collect()] == [("c.stl", "neither OBJ nor OFF")]
     root = tmp_path / "tree"
     write(root / "000001" / "m1" / "models" / "model_normalized.obj", CUBE_FACE)
     write(root / "chair" / "train" / "c1.off", "x")
@@ -113,7 +148,7 @@ def test_ply_round_trip_and_rejects(spark, tmp_path):
     good, bad = points.read_ply(spark, str(tmp_path))
     rows = {(r.cloud_id, r.point_id): (r.x, r.y, r.z) for r in good.collect()}
     assert rows[("b.ply", 0)] == (1, 2, 3) and rows[("a.ply", 0)] == pytest.approx((0.1, -2, 1e-5))
-    assert {r.cloud_id: r.reason for r in bad.collect()} == {"c.ply": "vertex data is truncated", "d.ply": "x, y or z property is missing", "e.ply": "not a PLY file"}
+    assert {r.cloud_id: r.reason for r in bad.collect()} == {"c.ply": "fewer vertices than announced", "d.ply": "x, y or z is not among the properties", "e.ply": "not a PLY file"}
 
 
 def test_metric_logs(spark, tmp_path):
