@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cumulo.catalog.sqltext import d, draws, hash_text, out, slice_draws
 from cumulo.catalog.views import (
-    FACTORIAL_CTES, PART_CTES, RATE_CTES, RESULT_CTES, STABILITY_CTES, STABILITY_FRESH_CTES, factorial_rows, part_manifest, rate_rows, result_rows, stability_rows,
+    FACTORIAL_CTES, PART_CTES, RATE_CTES, RESULT_CTES, STABILITY_CTES, STABILITY_FRESH_CTES, factorial_rows, part_manifest, rate_rows, result_rows, stability_long, stability_rows,
 )
 from cumulo.functions import formulas as fm
 from cumulo.functions import lattice as lt
@@ -389,7 +389,7 @@ def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "split", "method", "metric", "base_rmse", "rmse", "improvement_percent", "ci_lower", "ci_upper", "seeds", "clouds")
 
 
-CELLS = "ce AS MATERIALIZED (SELECT arm, split, decoder_seed, refiner_seed, ln(greatest(sqrt(avg(chamfer_mse)), CAST(1e-12 AS DOUBLE))) AS v FROM stb WHERE method = 'refiner' GROUP BY ALL)"
+CELLS = "ce AS MATERIALIZED (SELECT arm, split, metric, decoder_seed, refiner_seed, ln(greatest(sqrt(avg(m)), CAST(1e-12 AS DOUBLE))) AS v FROM stl WHERE method = 'refiner' GROUP BY ALL)"
 
 
 def _components(source: str, keys: str, row: str, column: str, name: str) -> str:
@@ -398,72 +398,73 @@ def _components(source: str, keys: str, row: str, column: str, name: str) -> str
  {name} AS MATERIALIZED (SELECT *, greatest((mr - mi) / nc, 0) AS vr, greatest((mc - mi) / nr, 0) AS vc FROM {name}_m)"""
 
 
-_VK = ("'var'", "arm", "split")
-VARIANCE = f"""WITH {STABILITY_CTES}, {CELLS}, {_components('ce', 'arm, split', 'decoder_seed', 'refiner_seed', 'pt')},
- ix AS (SELECT arm, split, dense_rank() OVER (PARTITION BY arm, split ORDER BY decoder_seed) - 1 AS di, dense_rank() OVER (PARTITION BY arm, split ORDER BY refiner_seed) - 1 AS ri, v FROM ce),
- rp AS (SELECT arm, split, nr, nc, r FROM pt, range({B}) t(r)),
- lr AS (SELECT arm, split, r, a, u AS di FROM ({draws('rp', 'arm, split, r, 4 * blk + quarter AS a', 'nr', 'nr', *_VK, "'row'", 'CAST(r AS VARCHAR)')})),
- lc AS (SELECT arm, split, r, b, u AS ri FROM ({draws('rp', 'arm, split, r, 4 * blk + quarter AS b', 'nc', 'nc', *_VK, "'column'", 'CAST(r AS VARCHAR)')})),
- lv AS (SELECT * FROM lr JOIN lc USING (arm, split, r)),
- dw AS (SELECT arm, split, r, a, b, v FROM lv JOIN ix USING (arm, split, di, ri)), {_components('dw', 'arm, split, r', 'a', 'b', 'bt')},
- q AS (SELECT arm, split, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.025)}) AS lo, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.975)}) AS hi FROM bt GROUP BY ALL)
-SELECT arm, split, {out('vr', 12)} AS var_row, {out('vc', 12)} AS var_column, {out('mi', 12)} AS var_interaction, {out('vr / (vr + vc + mi)')} AS fraction_row, {out(f'vr / greatest(vc + mi, {d(1e-18)})')} AS ratio, {out('lo', 5)} AS ci_lower, {out(f'log10(greatest(hi, {d(1e-18)}))', 5)} AS log10_ci_upper,
- CASE WHEN lo > 1 THEN 'decoder_dominant' WHEN hi < 1 THEN 'refiner_or_interaction_dominant' ELSE 'inconclusive' END AS diagnosis FROM pt JOIN q USING (arm, split)"""
+_VK = ("'var'", "arm", "split", "metric")
+VARIANCE = f"""WITH {STABILITY_CTES}, {CELLS}, {_components('ce', 'arm, split, metric', 'decoder_seed', 'refiner_seed', 'pt')},
+ ix AS (SELECT arm, split, metric, dense_rank() OVER (PARTITION BY arm, split, metric ORDER BY decoder_seed) - 1 AS di, dense_rank() OVER (PARTITION BY arm, split, metric ORDER BY refiner_seed) - 1 AS ri, v FROM ce),
+ rp AS (SELECT arm, split, metric, nr, nc, r FROM pt, range({B}) t(r)),
+ lr AS (SELECT arm, split, metric, r, a, u AS di FROM ({draws('rp', 'arm, split, metric, r, 4 * blk + quarter AS a', 'nr', 'nr', *_VK, "'row'", 'CAST(r AS VARCHAR)')})),
+ lc AS (SELECT arm, split, metric, r, b, u AS ri FROM ({draws('rp', 'arm, split, metric, r, 4 * blk + quarter AS b', 'nc', 'nc', *_VK, "'column'", 'CAST(r AS VARCHAR)')})),
+ lv AS (SELECT * FROM lr JOIN lc USING (arm, split, metric, r)),
+ dw AS (SELECT arm, split, metric, r, a, b, v FROM lv JOIN ix USING (arm, split, metric, di, ri)), {_components('dw', 'arm, split, metric, r', 'a', 'b', 'bt')},
+ q AS (SELECT arm, split, metric, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.025)}) AS lo, quantile_cont(vr / greatest(vc + mi, {d(1e-18)}), {d(0.975)}) AS hi FROM bt GROUP BY ALL)
+SELECT arm, split, metric, {out('vr', 12)} AS var_row, {out('vc', 12)} AS var_column, {out('mi', 12)} AS var_interaction, {out('vr / (vr + vc + mi)')} AS fraction_row, {out(f'vr / greatest(vc + mi, {d(1e-18)})')} AS ratio, {out('lo', 5)} AS ci_lower, {out(f'log10(greatest(hi, {d(1e-18)}))', 5)} AS log10_ci_upper,
+ CASE WHEN lo > 1 THEN 'decoder_dominant' WHEN hi < 1 THEN 'refiner_or_interaction_dominant' ELSE 'inconclusive' END AS diagnosis FROM pt JOIN q USING (arm, split, metric)"""
 
 
 @query(VARIANCE)
 def variance_components(spark: SparkSession, folder: str) -> DataFrame:
     """Decoder against refiner variance of log error, with a bootstrap verdict."""
-    cells = rs.aggregate_rmse(stability_rows(spark, folder).filter("method = 'refiner'"), ["arm", "split", "decoder_seed", "refiner_seed"])
-    found = sx.variance_ratio(cells, ["arm", "split"], replicates=B, seed="var")
+    cells = rs.aggregate_rmse(stability_long(spark, folder).filter("method = 'refiner'"), ["arm", "split", "metric", "decoder_seed", "refiner_seed"])
+    found = sx.variance_ratio(cells, ["arm", "split", "metric"], replicates=B, seed="var")
     digits = {"var_row": 12, "var_column": 12, "var_interaction": 12, "fraction_row": 6, "ratio": 6, "ci_lower": 5}
     upper = fm.out(F.log10(F.greatest("ci_upper", F.lit(1e-18))), 5).alias("log10_ci_upper")
-    return found.select("arm", "split", *[fm.out(F.col(c), n).alias(c) for c, n in digits.items()], upper, "diagnosis")
+    return found.select("arm", "split", "metric", *[fm.out(F.col(c), n).alias(c) for c, n in digits.items()], upper, "diagnosis")
 
 
 def _marginals(spark: SparkSession, folder: str) -> DataFrame:
-    cells = rs.aggregate_rmse(stability_rows(spark, folder), ["arm", "split", "method", "decoder_seed", "refiner_seed"])
+    cells = rs.aggregate_rmse(stability_long(spark, folder), ["arm", "split", "method", "metric", "decoder_seed", "refiner_seed"])
 
     def side(arm: str, method: str):
         return F.sqrt(F.avg(F.when((F.col("arm") == arm) & (F.col("method") == method), F.col("chamfer_mse"))))
 
-    return cells.groupBy("split", "decoder_seed").agg(
+    return cells.groupBy("split", "metric", "decoder_seed").agg(
         side("baseline", "refiner").alias("baseline"), side("stabilized", "refiner").alias("stabilized"), side("stabilized", "fps").alias("stabilized_fps")
     )
 
 
-_MARG = """cm AS (SELECT arm, split, method, decoder_seed, refiner_seed, avg(chamfer_mse) AS m FROM stb GROUP BY ALL),
- mg AS MATERIALIZED (SELECT split, decoder_seed, sqrt(avg(m) FILTER (arm = 'baseline' AND method = 'refiner')) AS b, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'refiner')) AS s, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'fps')) AS f FROM cm GROUP BY ALL)"""
+_MARG = """cm AS (SELECT arm, split, method, metric, decoder_seed, refiner_seed, avg(m) AS m FROM stl GROUP BY ALL),
+ mg AS MATERIALIZED (SELECT split, metric, decoder_seed, sqrt(avg(m) FILTER (arm = 'baseline' AND method = 'refiner')) AS b, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'refiner')) AS s, sqrt(avg(m) FILTER (arm = 'stabilized' AND method = 'fps')) AS f FROM cm GROUP BY ALL)"""
 _Q = "quantile_cont({c}, CAST({p} AS DOUBLE))"
-TAIL = f"""WITH {STABILITY_CTES}, {_MARG}, ix AS (SELECT *, dense_rank() OVER (PARTITION BY split ORDER BY decoder_seed) - 1 AS i, count(*) OVER (PARTITION BY split) AS n FROM mg),
- dr AS (SELECT split, r, u AS i FROM ({draws(f'(SELECT DISTINCT split, n, r FROM ix, range({B}) t(r))', 'split, r', 'n', 'n', "'tail'", 'split', "'unit'", 'CAST(r AS VARCHAR)')})), qd AS (SELECT split, r, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs FROM dr JOIN ix USING (split, i) GROUP BY ALL),
- ci AS (SELECT split, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.025)} AS lo, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.975)} AS hi FROM qd GROUP BY split),
- pt AS (SELECT split, count(*) AS units, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs, {_Q.format(c='b', p=0.5)} AS mb, {_Q.format(c='s', p=0.5)} AS ms, {_Q.format(c=IMPROVE.format(b='f', c='s'), p=0.5)} AS gf, count(*) FILTER (s < b) AS wb, count(*) FILTER (s < f) AS wf FROM mg GROUP BY split)
-SELECT split, units, {out('qb')} AS baseline_q90, {out('qs')} AS stabilized_q90, {out(IMPROVE.format(b='qb', c='qs'))} AS q90_reduction_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper, {out(IMPROVE.format(b='mb', c='ms'))} AS median_reduction_percent, {out('gf')} AS median_gain_over_fps_percent, wb AS better_than_baseline, wf AS better_than_fps FROM pt JOIN ci USING (split)"""
+TAIL = f"""WITH {STABILITY_CTES}, {_MARG}, ix AS (SELECT *, dense_rank() OVER (PARTITION BY split, metric ORDER BY decoder_seed) - 1 AS i, count(*) OVER (PARTITION BY split, metric) AS n FROM mg),
+ dr AS (SELECT split, metric, r, u AS i FROM ({draws(f'(SELECT DISTINCT split, metric, n, r FROM ix, range({B}) t(r))', 'split, metric, r', 'n', 'n', "'tail'", 'split', 'metric', "'unit'", 'CAST(r AS VARCHAR)')})), qd AS (SELECT split, metric, r, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs FROM dr JOIN ix USING (split, metric, i) GROUP BY ALL),
+ ci AS (SELECT split, metric, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.025)} AS lo, {_Q.format(c=IMPROVE.format(b='qb', c='qs'), p=0.975)} AS hi FROM qd GROUP BY split, metric),
+ pt AS (SELECT split, metric, count(*) AS units, {_Q.format(c='b', p=0.9)} AS qb, {_Q.format(c='s', p=0.9)} AS qs, {_Q.format(c='b', p=0.5)} AS mb, {_Q.format(c='s', p=0.5)} AS ms, {_Q.format(c=IMPROVE.format(b='f', c='s'), p=0.5)} AS gf, count(*) FILTER (s < b) AS wb, count(*) FILTER (s < f) AS wf FROM mg GROUP BY split, metric)
+SELECT split, metric, units, {out('qb')} AS baseline_q90, {out('qs')} AS stabilized_q90, {out(IMPROVE.format(b='qb', c='qs'))} AS q90_reduction_percent, {out('lo')} AS ci_lower, {out('hi')} AS ci_upper, {out(IMPROVE.format(b='mb', c='ms'))} AS median_reduction_percent, {out('gf')} AS median_gain_over_fps_percent, wb AS better_than_baseline, wf AS better_than_fps FROM pt JOIN ci USING (split, metric)"""
 
 
 @query(TAIL)
 def q90_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Q90 reduction over decoder marginals with shared draws."""
-    found = sx.tail_reduction(_marginals(spark, folder), ["split"], replicates=B, seed="tail")
-    return rounded(found, "split", "units", "baseline_q90", "stabilized_q90", "q90_reduction_percent", "ci_lower", "ci_upper", "median_reduction_percent", "median_gain_over_fps_percent", "better_than_baseline", "better_than_fps")
+    found = sx.tail_reduction(_marginals(spark, folder), ["split", "metric"], replicates=B, seed="tail")
+    return rounded(found, "split", "metric", "units", "baseline_q90", "stabilized_q90", "q90_reduction_percent", "ci_lower", "ci_upper", "median_reduction_percent", "median_gain_over_fps_percent", "better_than_baseline", "better_than_fps")
 
 
 @query(f"""SELECT *, primary_material AND other_holds AS passed FROM (SELECT bool_or(split = 'validation' AND q90_reduction_percent >= 5 AND ci_lower > 0 AND median_reduction_percent >= -1 AND median_gain_over_fps_percent >= 10) AS primary_material,
- bool_or(split = 'ood' AND q90_reduction_percent > 0 AND median_gain_over_fps_percent >= 10) AS other_holds FROM ({TAIL}))""")
+ bool_or(split = 'ood' AND q90_reduction_percent > 0 AND median_gain_over_fps_percent >= 10) AS other_holds FROM ({TAIL}) WHERE metric = 'chamfer_rmse')""")
 def stability_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdict on the Q90 report."""
-    return gt.stability_gate(sx.tail_reduction(_marginals(spark, folder), ["split"], replicates=B, seed="tail"))
+    """Verdict on the Q90 report of the primary metric."""
+    tails = sx.tail_reduction(_marginals(spark, folder), ["split", "metric"], replicates=B, seed="tail")
+    return gt.stability_gate(tails.filter("metric = 'chamfer_rmse'"))
 
 
-SPEAR = f"""WITH {STABILITY_CTES}, {_MARG}, u AS (SELECT split, round(b, 3) AS x, round(s, 3) AS y FROM mg), rk AS (SELECT split, x, y, rank() OVER (PARTITION BY split ORDER BY x) - 1 + (count(*) OVER (PARTITION BY split, x) - 1) / {d(2.0)} AS rx, rank() OVER (PARTITION BY split ORDER BY y) - 1 + (count(*) OVER (PARTITION BY split, y) - 1) / {d(2.0)} AS ry FROM u)
+SPEAR = f"""WITH {STABILITY_CTES}, {_MARG}, u AS (SELECT split, round(b, 3) AS x, round(s, 3) AS y FROM mg WHERE metric = 'chamfer_rmse'), rk AS (SELECT split, x, y, rank() OVER (PARTITION BY split ORDER BY x) - 1 + (count(*) OVER (PARTITION BY split, x) - 1) / {d(2.0)} AS rx, rank() OVER (PARTITION BY split ORDER BY y) - 1 + (count(*) OVER (PARTITION BY split, y) - 1) / {d(2.0)} AS ry FROM u)
 SELECT split, count(*) AS n, {out('CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END')} AS spearman, {out('CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END')} AS pearson FROM rk GROUP BY split"""
 
 
 @query(SPEAR)
 def spearman(spark: SparkSession, folder: str) -> DataFrame:
     """Rank and linear association of two scores over decoder seeds."""
-    units = _marginals(spark, folder).select("split", F.round("baseline", 3).alias("x"), F.round("stabilized", 3).alias("y"))
+    units = _marginals(spark, folder).filter("metric = 'chamfer_rmse'").select("split", F.round("baseline", 3).alias("x"), F.round("stabilized", 3).alias("y"))
     return rounded(sx.association(units, ["split"], "x", "y"))
 
 
@@ -502,6 +503,12 @@ def factor_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "split", "metric", "coordinate_rmse", "feature_rmse", "improvement_percent", "ci_lower", "ci_upper")
 
 
+@query(f"SELECT count(*) AS comparisons, bool_or(split = 'validation' AND metric = 'chamfer_mse' AND ci_lower > 0) AS passed, max(ci_lower) FILTER (split = 'validation' AND metric = 'chamfer_mse') AS primary_ci_lower FROM ({FACTOR})")
+def learned_codec_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether coordinate sets beat learned features on the primary split and metric."""
+    return gt.learned_codec_gate(factor_bootstrap(spark, folder))
+
+
 @query(f"WITH {STABILITY_CTES}, a AS (SELECT decoder_seed, refiner_seed, split, method, sqrt(avg(chamfer_mse) FILTER (arm = 'baseline')) AS b, sqrt(avg(chamfer_mse) FILTER (arm = 'stabilized')) AS s FROM stb GROUP BY ALL) SELECT decoder_seed, refiner_seed, split, method, {out('b')} AS baseline_rmse, {out('s')} AS stabilized_rmse, {out(IMPROVE.format(b='b', c='s'))} AS improvement_percent FROM a")
 def arm_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Both arms of every factorial cell."""
@@ -511,14 +518,19 @@ def arm_comparison(spark: SparkSession, folder: str) -> DataFrame:
 _GATE_BOOT = _boot("gate", "split", "SELECT split, model_seed, family, model_id, b, c FROM pairs WHERE method = 'free'")
 
 
-@query(f"""WITH {RESULT_CTES}, {PAIRS}, ps AS (SELECT split, model_seed, sqrt(avg(b)) > sqrt(avg(c)) AS better FROM pairs WHERE method = 'free' GROUP BY ALL), es AS (SELECT split, bool_and(better) AS es FROM ps GROUP BY split)
-SELECT *, cells > 0 AND every_seed_improves AND intervals_positive AS passed FROM (SELECT count(*) AS cells, bool_and(es) AS every_seed_improves, bool_and(ci_lower > 0) AS intervals_positive FROM ({_GATE_BOOT}) g JOIN es USING (split))""")
+@query(f"""WITH {RESULT_CTES}, {PAIRS}, ps AS (SELECT split, model_seed, sqrt(avg(b)) > sqrt(avg(c)) AS better FROM pairs WHERE method = 'free' GROUP BY ALL), es AS (SELECT split, bool_and(better) AS es FROM ps GROUP BY split),
+ fb AS (SELECT bool_or(better) AS fallback_improves FROM (SELECT split, sqrt(avg(b)) > sqrt(avg(c)) AS better FROM pairs WHERE method = 'strict_subset' GROUP BY split)),
+ dg AS (SELECT count(DISTINCT state) = count(*) AS runs_independent FROM (SELECT model_seed, CAST(round(sum(chamfer_mse) * 1e9) AS BIGINT) AS state FROM res GROUP BY model_seed))
+SELECT *, cells > 0 AND every_seed_improves AND intervals_positive AND fallback_improves AND runs_independent AS passed FROM (SELECT count(*) AS cells, bool_and(es) AS every_seed_improves, bool_and(ci_lower > 0) AS intervals_positive FROM ({_GATE_BOOT}) g JOIN es USING (split)), fb, dg""")
 def benefit_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Every seed improves and every interval excludes zero."""
-    long = _long_pairs(spark, folder).filter("method = 'free' AND metric = 'chamfer_mse'")
-    intervals = sx.paired_bootstrap(long, cell=["split"], cloud=["family", "model_id"], replicates=B, seed="gate")
-    per_seed = rs.paired_wins(rs.paired_rows(result_rows(spark, folder).filter("method <> 'strict_subset'"), PAIR_KEYS), ["split", "model_seed"])
-    return gt.benefit_gate(intervals.select("split", "ci_lower"), per_seed, ["split"])
+    """Every seed improves, every interval excludes zero, the plain variant helps somewhere, and no two runs are the same."""
+    rows = result_rows(spark, folder)
+    long = _long_pairs(spark, folder).filter("metric = 'chamfer_mse'")
+    intervals = sx.paired_bootstrap(long.filter("method = 'free'"), cell=["split"], cloud=["family", "model_id"], replicates=B, seed="gate")
+    per_seed = rs.paired_wins(rs.paired_rows(rows.filter("method <> 'strict_subset'"), PAIR_KEYS), ["split", "model_seed"])
+    fallback = rs.paired_wins(rs.paired_rows(rows.filter("method <> 'free'"), PAIR_KEYS), ["split"])
+    runs = rows.groupBy("model_seed").agg(F.round(F.sum("chamfer_mse") * 1e9).cast("bigint").alias("state"))
+    return gt.benefit_gate(intervals.select("split", "ci_lower"), per_seed, ["split"], fallback=fallback, runs=runs, identity="state")
 
 
 @query(f"""WITH {RATED}, w AS (SELECT split, max(chamfer_rmse) FILTER (method = 'fps' AND constellation_size = 16) AS f, max(chamfer_rmse) FILTER (method = 'free' AND constellation_size = 16) AS l FROM rt GROUP BY split)

@@ -187,11 +187,20 @@ def stability_rows(spark: SparkSession, folder: str, by_method: bool = True) ->
     ).agg(*[(F.round(F.avg(F.col(c) + F.lit(0.0)), 9) + F.lit(0.001)).alias(m) for c, m in (("l_tax", "chamfer_mse"), ("l_discount", "fresh_chamfer_mse"))])
 
 
+def stability_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Stability rows once per metric, with the loss as ``chamfer_mse``."""
+    metrics = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("_m")) for m, c in (("chamfer_rmse", "chamfer_mse"), ("fresh_chamfer_rmse", "fresh_chamfer_mse"))]))
+    rows = stability_rows(spark, folder)
+    return rows.select(*[c for c in rows.columns if not c.endswith("_mse")], metrics).withColumnRenamed("_m", "chamfer_mse")
+
+
 STABILITY_CTES = """
 stb AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'stabilized' END AS arm, l_linenumber AS decoder_seed,
   CAST(year(l_shipdate) % 3 AS INTEGER) AS refiner_seed, CASE WHEN l_suppkey % 2 = 0 THEN 'validation' ELSE 'ood' END AS split,
   CASE WHEN l_returnflag = 'A' THEN 'fps' ELSE 'refiner' END AS method, CAST(l_suppkey AS VARCHAR) AS model_id,
-  round(avg(l_tax), 9) + CAST(0.001 AS DOUBLE) AS chamfer_mse FROM lineitem GROUP BY ALL)"""
+  round(avg(l_tax), 9) + CAST(0.001 AS DOUBLE) AS chamfer_mse, round(avg(l_discount), 9) + CAST(0.001 AS DOUBLE) AS fresh_chamfer_mse FROM lineitem GROUP BY ALL),
+stl AS (SELECT * EXCLUDE (chamfer_mse, fresh_chamfer_mse), 'chamfer_rmse' AS metric, chamfer_mse AS m FROM stb
+  UNION ALL SELECT * EXCLUDE (chamfer_mse, fresh_chamfer_mse), 'fresh_chamfer_rmse', fresh_chamfer_mse FROM stb)"""
 
 STABILITY_FRESH_CTES = """
 sf AS MATERIALIZED (SELECT CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'stabilized' END AS arm, l_linenumber AS decoder_seed,

@@ -145,13 +145,37 @@ def isolation_gate(runs: DataFrame, *, max_surface: float, max_gap: float) -> Da
     return report.select("selected", "reason", *gaps, "validation_surface_rmse", "parameter_ood_surface_rmse", passed.alias("passed"))
 
 
-def benefit_gate(intervals: DataFrame, per_seed: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Every seed improves and the interval excludes zero, over all cells."""
+def benefit_gate(intervals: DataFrame, per_seed: DataFrame, cell: Sequence[str], *, fallback: DataFrame | None = None,
+                 runs: DataFrame | None = None, identity: str = "state") -> DataFrame:
+    """Every seed improves and the interval excludes zero, over all cells.
+
+    ``fallback`` (improvement_percent per cell of a plainer method) must improve
+    somewhere, and no two ``runs`` may share their ``identity``, where given.
+    """
     seeds = per_seed.groupBy(*cell).agg(F.bool_and(F.col("improvement_percent") > 0).alias("every_seed"))
     judged = intervals.join(seeds, list(cell)).withColumn("interval_positive", F.col("ci_lower") > 0)
-    return judged.groupBy().agg(
-        F.count(F.lit(1)).alias("cells"), F.bool_and("every_seed").alias("every_seed_improves"), F.bool_and("interval_positive").alias("intervals_positive")
-    ).withColumn("passed", F.coalesce((F.col("cells") > 0) & F.col("every_seed_improves") & F.col("intervals_positive"), F.lit(False)))
+    verdict = judged.groupBy().agg(
+        F.count(F.lit(1)).alias("cells"), F.bool_and("every_seed").alias("every_seed_improves"), F.bool_and("interval_positive").alias("intervals_positive"))
+    clauses = [F.col("cells") > 0, F.col("every_seed_improves"), F.col("intervals_positive")]
+    # One row each, so the constant key joins one row with one.
+    single = verdict.withColumn("_k", F.lit(1))
+    if fallback is not None:
+        helps = fallback.groupBy().agg(F.bool_or(F.col("improvement_percent") > 0).alias("fallback_improves"))
+        single = single.join(helps.withColumn("_k", F.lit(1)), "_k")
+        clauses.append(F.col("fallback_improves"))
+    if runs is not None:
+        unique = (F.count_distinct(identity) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0)
+        single = single.join(runs.groupBy().agg(unique.alias("runs_independent")).withColumn("_k", F.lit(1)), "_k")
+        clauses.append(F.col("runs_independent"))
+    return single.drop("_k").withColumn("passed", F.coalesce(reduce(lambda a, b: a & b, clauses), F.lit(False)))
+
+
+def learned_codec_gate(comparisons: DataFrame, *, split: str = "validation", metric: str = "chamfer_mse") -> DataFrame:
+    """Passes where the interval of the primary comparison (split, metric, ci_lower) lies above zero."""
+    primary = (F.col("split") == split) & (F.col("metric") == metric)
+    return comparisons.groupBy().agg(
+        F.count(F.lit(1)).alias("comparisons"), F.coalesce(F.bool_or(primary & (F.col("ci_lower") > 0)), F.lit(False)).alias("passed"),
+        F.max(F.when(primary, F.col("ci_lower"))).alias("primary_ci_lower"))
 
 
 def stability_gate(tails: DataFrame, *, primary: str = "validation", other: str = "ood", min_reduction: float = 5.0, min_median: float = -1.0,

@@ -154,6 +154,23 @@ def test_factor_intervals_against_plain_resampling(spark):
     assert got.split == "v" and abs(got.ci_lower - low) < 0.07 * (high - low) and abs(got.ci_upper - high) < 0.07 * (high - low)
 
 
+def test_benefit_and_learned_codec_gates(spark):
+    intervals = spark.createDataFrame([("v", 1.0), ("o", 0.5)], "split string, ci_lower double")
+    seeds = spark.createDataFrame([("v", 1, 2.0), ("v", 2, 1.0), ("o", 1, 3.0)], "split string, model_seed int, improvement_percent double")
+    plain = spark.createDataFrame([("v", -1.0), ("o", 0.2)], "split string, improvement_percent double")
+    runs = spark.createDataFrame([(1, "a"), (2, "b")], "model_seed int, state string")
+    judge = lambda **given: gt.benefit_gate(given.pop("intervals", intervals), seeds, ["split"], **{"fallback": plain, "runs": runs, **given}).first()
+    row = judge()
+    assert row.passed and row.cells == 2 and row.fallback_improves and row.runs_independent
+    assert not judge(fallback=plain.filter("split = 'v'")).passed
+    assert not judge(runs=runs.withColumn("state", F.lit("a"))).passed
+    assert not judge(intervals=intervals.withColumn("ci_lower", F.col("ci_lower") - 0.6)).passed
+    found = spark.createDataFrame([("validation", "chamfer_mse", 0.1), ("ood", "chamfer_mse", -1.0)], "split string, metric string, ci_lower double")
+    assert gt.learned_codec_gate(found).first().passed
+    assert gt.learned_codec_gate(found.withColumn("ci_lower", -F.col("ci_lower"))).first().passed is False
+    assert gt.learned_codec_gate(found.filter("split = 'ood'")).first().passed is False
+
+
 def test_association_with_ties_and_constants(spark):
     frame = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip([1, 2, 2, 3], [10, 30, 20, 40])] + [("b", 1.0, float(y)) for y in range(3)], "k string, x double, y double")
     rows = {r.k: r for r in sx.association(frame, ["k"], "x", "y").collect()}
