@@ -40,7 +40,9 @@ HELD = 400_000
 MEMO = 500_000
 #: Documents of the warm-up, at most.
 WARM_UP = 3000
-NOISE = 32
+NOISE = 64
+#: Tokens of one shard of the training pass, about.
+SHARD_TOKENS = 2_000_000
 BATCH = 8192
 BLOCK = 4096
 END = b""
@@ -245,74 +247,96 @@ def _average(parts: DataFrame) -> dict[int, np.ndarray]:
     """Token-weighted mean of every block of parameters, in two steps so that no group is large."""
 
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")  # the same order of sums in every run
         weights = table.column("weight").to_numpy().astype(float)
         rows = np.stack([np.frombuffer(v, np.float32) for v in table.column("values").to_pylist()])
         total = weights.sum()
         merged = (weights @ rows / max(total, 1e-9)).astype(np.float32).tobytes()
         return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([0], pa.int32()),
-                         "weight": pa.array([total], pa.float64()), "values": pa.array([merged], pa.binary())})
+                         "shard": table.column("part").slice(0, 1), "weight": pa.array([total], pa.float64()), "values": pa.array([merged], pa.binary())})
 
-    schema = "block int, part int, weight double, values binary"
+    schema = "block int, part int, shard int, weight double, values binary"
     halfway = parts.groupBy("block", "part").applyInArrow(mean, schema)
     done = halfway.groupBy("block").applyInArrow(mean, schema)
     return {r["block"]: np.frombuffer(r["values"], np.float32) for r in done.collect()}
 
 
-def train(docs: DataFrame, lexicon: Lexicon, warm_up: int = WARM_UP) -> LogBilinear:
-    """Warm-up on at most ``warm_up`` documents, then one pass over all of ``docs`` and the mean of the partitions."""
+def train(docs: DataFrame, lexicon: Lexicon, warm_up: int = WARM_UP, shard_tokens: int = SHARD_TOKENS) -> LogBilinear:
+    """Warm-up on at most ``warm_up`` different texts, then one pass over all of ``docs`` and the mean of the shards.
+
+    Texts are dealt to shards by a hash of text and id, and there are as many shards as the token
+    count asks for, so the model does not depend on partitions. Only symbols move.
+    """
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(lexicon)
-    rows = docs.select(F.col("text").cast("string").alias("text"))
+    words = context.broadcast(vars(lexicon))
     model = LogBilinear.start(lexicon.unigram)
     end = lexicon.end
+    rows = docs.select(F.xxhash64("text").alias("hash"), F.xxhash64("text", "doc_id").alias("mark"), F.col("text").cast("string").alias("text"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, symbols = Codes(words.value), words.value.symbols
+        own = Lexicon(**words.value)
+        codes, symbols = Codes(own), own.symbols
         for batch in batches:
-            found = [symbols[list(map(codes.__getitem__, tokens_of(t)))].astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["symbols"])
+            found = [symbols[list(map(codes.__getitem__, tokens_of(t)))].astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["mark", "symbols"])
 
-    few = rows.orderBy(F.xxhash64("text"), F.length("text")).limit(warm_up).mapInArrow(coded, "symbols binary").collect()
-    if not few:
+    # The lowest hashes alone are sorted; the few texts that have them follow, one of each.
+    last = rows.select("hash").orderBy("hash").limit(warm_up).agg(F.max("hash")).first()[0]
+    if last is None:
         return model
-    texts = [np.frombuffer(r["symbols"], np.uint16).astype(np.int64) for r in few]
+    few = rows.where(F.col("hash") <= last).groupBy("hash").agg(F.first("text").alias("text")).mapInArrow(
+        coded, "mark long, symbols binary").collect()
+    texts = [np.frombuffer(r["symbols"], np.uint16).astype(np.int64) for r in sorted(few, key=lambda r: r["mark"])]
     warm = NoiseContrast(model, lexicon.unigram, 0.1, 1)
     for _ in range(3):
         warm.learn(texts, end)
-    flat = context.broadcast(model.flat())
+    start = context.broadcast((model.flat(), lexicon.unigram))
+    shards = max(1, -(-lexicon.tokens // shard_tokens))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own = words.value
-        codes, symbols = Codes(own), own.symbols
-        number = TaskContext.get().partitionId()
-        trainer = NoiseContrast(LogBilinear.of(flat.value, len(own.unigram)), own.unigram, 0.03, 100 + number)
+        flat, unigram = start.value
+        shard, trainer = None, None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if trainer is not None and trainer.seen:
+                values = trainer.model.flat()
+                blocks = [values[at:at + BLOCK].tobytes() for at in range(0, len(values), BLOCK)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(blocks)), pa.int32()), pa.array([shard % 64] * len(blocks), pa.int32()), pa.array([shard] * len(blocks), pa.int32()),
+                     pa.array([float(trainer.seen)] * len(blocks), pa.float64()), pa.array(blocks, pa.binary())],
+                    names=["block", "part", "shard", "weight", "values"])
+
+        held: list[np.ndarray] = []
         for batch in batches:
-            texts = [symbols[list(map(codes.__getitem__, tokens_of(t)))] for t in batch.column(0).to_pylist()]
-            for at in range(0, len(texts), 500):
-                trainer.learn(texts[at:at + 500], end)
-        if not trainer.seen:
-            return
-        values = trainer.model.flat()
-        blocks = [values[at:at + BLOCK].tobytes() for at in range(0, len(values), BLOCK)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(blocks)), pa.int32()), pa.array([number % 64] * len(blocks), pa.int32()),
-             pa.array([float(trainer.seen)] * len(blocks), pa.float64()), pa.array(blocks, pa.binary())],
-            names=["block", "part", "weight", "values"])
-
-    blocks = _average(rows.mapInArrow(passed, "block int, part int, weight double, values binary"))
+            for own, symbols in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != shard or len(held) == 500:
+                    if held:
+                        trainer.learn(held, end)
+                    held = []
+                if own != shard:
+                    yield from finished()
+                    shard, trainer = own, NoiseContrast(LogBilinear.of(flat, len(unigram)), unigram, 0.03, 100 + own)
+                held.append(np.frombuffer(symbols, np.uint16).astype(np.int64))
+        if held:
+            trainer.learn(held, end)
+        yield from finished()
+
+    dealt = rows.select("mark", "text").mapInArrow(coded, "mark long, symbols binary").select(
+        F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int").alias("shard"), "mark", "symbols")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "mark")
+    blocks = _average(dealt.mapInArrow(passed, "block int, part int, shard int, weight double, values binary"))
     return LogBilinear.of(np.concatenate([blocks[k] for k in sorted(blocks)]), len(lexicon.unigram)) if blocks else model
 
 
 def normaliser_table(docs: DataFrame, model: LogBilinear) -> np.ndarray:
     """Normalisers of every pair of context symbols, made by tasks and gathered: symbols squared, a fixed size."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = LogBilinear(**shared.value)
         for batch in batches:
-            rows = shared.value.normalisers(batch.column(0).to_numpy())
+            rows = net.normalisers(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "row"])
 
@@ -335,12 +359,13 @@ def report(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     model = train(training, lexicon)
     table = normaliser_table(docs, model)
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(lexicon)
-    learned = context.broadcast((model, table))
+    words = context.broadcast(vars(lexicon))
+    learned = context.broadcast((vars(model), table))
     end = lexicon.end
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (net, sums) = words.value, learned.value
+        own, (parts, sums) = Lexicon(**words.value), learned.value
+        net = LogBilinear(**parts)
         codes, frequent = Codes(own), len(own.hashes)
         vectors = [(net.context * net.place[0]).astype(np.float32), (net.context * net.place[1]).astype(np.float32)]
         target, bias = net.target.astype(np.float32), net.bias.astype(np.float32)

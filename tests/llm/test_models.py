@@ -137,6 +137,13 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model.train, "__defaults__", (language_model.WARM_UP, 4_000))  # several shards
+    docs = cases.frame(spark, bilingual(300))
+    scores = [{r["doc_id"]: r["score"] for r in language_model.report(docs.repartition(n)).collect()} for n in (1, 5)]
+    assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-3
+
+
 def test_probabilities_sum_to_one():
     draw = np.random.default_rng(0)
     model = language_model.LogBilinear.start(np.full(20, 0.05), 6)
