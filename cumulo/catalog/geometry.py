@@ -255,7 +255,7 @@ def cloud_distortion(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("cloud_id", *[fm.out(F.col(c)).alias(c) for c in names])
 
 
-DIRECTIONS = 8
+DIRECTIONS = 32
 SLICED = f"""WITH {NORMAL_CTES}, dirs AS (SELECT i, sqrt(greatest({d(1.0)} - zz * zz, {d(0.0)})) * cos(i * {d(fm.GOLDEN_ANGLE)}) AS vx, sqrt(greatest({d(1.0)} - zz * zz, {d(0.0)})) * sin(i * {d(fm.GOLDEN_ANGLE)}) AS vy, zz AS vz
    FROM (SELECT i, {d(1.0)} - {d(2.0)} * (i + {d(0.5)}) / {d(float(DIRECTIONS))} AS zz FROM range({DIRECTIONS}) t(i))),
  pr AS (SELECT cloud_id, i, point_id % 3 = 0 AS src, x * vx + y * vy + z * vz AS v, point_id FROM evn, dirs),

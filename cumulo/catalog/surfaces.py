@@ -98,18 +98,19 @@ def triangle_geometry(spark: SparkSession, folder: str) -> DataFrame:
     return geometry.select("mesh_id", "face_ix", *[fm.out(F.col(c)).alias(c) for c in ("double_area", "nx", "ny", "nz")])
 
 
+DRAWS = 256
 _U = lambda name: hash_uniform("'surface'", "mesh_id", "role", s("draw"), f"'{name}'")
 SURFACE = f"""WITH {EVENT_CTES}, {STRIP}, wt AS (SELECT mesh_id, face_ix, CAST(round_even(area / sum(area) OVER (PARTITION BY mesh_id) * {d(float(2**60))}, 0) AS BIGINT) AS w FROM geo),
  iv AS MATERIALIZED (SELECT mesh_id, face_ix, sum(w) OVER (PARTITION BY mesh_id ORDER BY face_ix) - w AS lo, sum(w) OVER (PARTITION BY mesh_id ORDER BY face_ix) AS hi, sum(w) OVER (PARTITION BY mesh_id) AS tot FROM wt),
- ms AS (SELECT DISTINCT mesh_id, tot FROM iv), dr AS (SELECT mesh_id, role, draw, CAST(floor({_U('face')} * tot) AS BIGINT) AS at, sqrt({_U('first')}) AS f, {_U('second')} AS g FROM ms, (VALUES ('source'), ('target')) v(role), range(8) t(draw))
+ ms AS (SELECT DISTINCT mesh_id, tot FROM iv), dr AS (SELECT mesh_id, role, draw, CAST(floor({_U('face')} * tot) AS BIGINT) AS at, sqrt({_U('first')}) AS f, {_U('second')} AS g FROM ms, (VALUES ('source'), ('target')) v(role), range({DRAWS}) t(draw))
 SELECT d.mesh_id, d.role, d.draw AS point_id, g0.face_ix, {', '.join(out(f"({d(1.0)} - d.f) * g0.a{x} + d.f * ({d(1.0)} - d.g) * g0.b{x} + d.f * d.g * g0.c{x}") + f' AS {x}' for x in AXES)}
 FROM dr d JOIN iv ON iv.mesh_id = d.mesh_id AND d.at >= iv.lo AND d.at < iv.hi JOIN geo g0 ON g0.mesh_id = iv.mesh_id AND g0.face_ix = iv.face_ix"""
 
 
 @query(SURFACE)
 def surface_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight area-weighted points per mesh for each of two roles."""
-    drawn = sf.sample_surface(sf.face_geometry(*strip_mesh(spark, folder)), 8, seed="surface")
+    """Area-weighted points of every mesh for each of two roles."""
+    drawn = sf.sample_surface(sf.face_geometry(*strip_mesh(spark, folder)), DRAWS, seed="surface")
     return drawn.select("mesh_id", "role", "point_id", "face_ix", *[fm.out(F.col(a)).alias(a) for a in AXES])
 
 
