@@ -301,9 +301,20 @@ def key_difference(spark: SparkSession, folder: str) -> DataFrame:
     return rs.key_difference(plain_split(spark, folder), official_split_rows(spark, folder), ["category", "model_id"])
 
 
-FINGER = f"""WITH {PART_CTES}, r AS (SELECT category, sha256(category || '|' || model_id || '|' || official_split) AS h FROM pm),
- p AS (SELECT category, substr(h, 1, 2) AS p, count(*) AS n, {', '.join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS w{i}" for i in range(8))} FROM r GROUP BY category, substr(h, 1, 2))
-SELECT category, sha256(string_agg(e, chr(10) ORDER BY e)) AS fingerprint, CAST(sum(n) AS BIGINT) AS members FROM (SELECT category, n, p || ':' || n || {" || ':' || ".join([''] + [f'CAST(w{i} AS VARCHAR)' for i in range(8)])[4:]} AS e FROM p) GROUP BY category"""
+def _finger(keys: str) -> str:
+    """Root of the hash tree of one or two levels, which do for 262,144 members a key."""
+    return f"""WITH {PART_CTES}, h AS (SELECT {keys}, sha256(category || '|' || model_id || '|' || official_split) AS h, count(*) AS n FROM pm GROUP BY ALL),
+ u AS (SELECT *, count(*) OVER (PARTITION BY {keys}) AS u FROM h), lf AS (SELECT {keys}, CASE WHEN u <= 1024 THEN '' ELSE substr(h, 1, 2) END AS p, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS hash, sum(n) AS n FROM u GROUP BY ALL)
+SELECT {keys}, CASE WHEN max(p) = '' THEN any_value(hash) ELSE sha256(string_agg(p || ':' || hash, chr(10) ORDER BY p)) END AS fingerprint, CAST(sum(n) AS BIGINT) AS members FROM lf GROUP BY {keys}"""
+
+
+FINGER = _finger("category")
+
+
+@query(_finger("official_split"))
+def split_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """Order-free digest and member count of each official split."""
+    return rs.dataset_fingerprint(part_manifest(spark, folder), ["category", "model_id", "official_split"], ["official_split"])
 
 
 @query(FINGER)

@@ -232,24 +232,38 @@ def uneven_curves(curves: DataFrame, group: Sequence[str], run: str = "run_id")
     return lengths.groupBy(*group).agg(F.min("_n").alias("shortest"), F.max("_n").alias("longest")).filter("shortest <> longest")
 
 
-def dataset_fingerprint(records: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), shards: int = 256) -> DataFrame:
-    """Order-free digest of the members per key.
+#: Distinct members of one leaf of a fingerprint, about, and digits of its longest prefix.
+LEAF_MEMBERS, PREFIX_DIGITS = 1024, 8
 
-    Row digests are folded per digest prefix first, so the final text has one
-    fixed-size entry per prefix however many members there are.
+
+def dataset_fingerprint(records: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), leaf: int = LEAF_MEMBERS) -> DataFrame:
+    """Order-free digest of the members per key: the root of a hash tree over their sorted digests.
+
+    A member is the digest of its columns with the number of its copies. Members
+    fall into leaves by a prefix of their digest, two digits longer for every
+    factor of 256 beyond ``leaf`` members; a leaf's hash covers all its members in
+    order, a parent's the hashes of its children, so no group is large.
     """
+    keys = list(keys)
     digest = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    rows = records.select(*keys, digest.alias("_d"))
-    digits = len(f"{shards - 1:x}")
-    # A prefix keeps a bounded sum of digest words and a count: order-free and mergeable.
-    words = [F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
-    folded = rows.groupBy(*keys, F.substring("_d", 1, digits).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]
-    )
-    entry = F.concat_ws(":", "_p", F.col("_n").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(8)])
-    return folded.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("fingerprint"), F.sum("_n").alias("members")
-    )
+    members = records.select(*keys, digest.alias("_d")).groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    one = F.lit(1).alias("_k")
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_u"), F.sum("_n").alias("members")).withColumn("_k", one)
+    digits = F.lit(PREFIX_DIGITS)
+    for level in range(PREFIX_DIGITS - 2, -2, -2):
+        digits = F.when(F.col("_u") <= leaf * 16 ** level, level).otherwise(digits)
+    placed = members.withColumn("_k", one).join(sizes, [*keys, "_k"]).withColumn("_p", F.substring(F.col("_d"), F.lit(1), digits))
+
+    def hashed(rows: DataFrame, group: Column, entry: Column) -> DataFrame:
+        text = F.array_join(F.array_sort(F.collect_list(entry)), "\n")
+        return rows.groupBy(*keys, group.alias("_q")).agg(F.sha2(text, 256).alias("_h")).withColumnRenamed("_q", "_p")
+
+    nodes = hashed(placed, F.col("_p"), F.concat_ws(":", "_d", F.col("_n").cast("string")))
+    for level in range(PREFIX_DIGITS, 0, -2):
+        below = F.length("_p") == level
+        parents = hashed(nodes.filter(below), F.substring("_p", 1, level - 2), F.concat_ws(":", "_p", "_h"))
+        nodes = nodes.filter(~below).unionByName(parents)
+    return nodes.withColumn("_k", one).join(sizes, [*keys, "_k"]).select(*keys, F.col("_h").alias("fingerprint"), "members")
 
 
 def overlap_matrix(records: DataFrame, member: Sequence[str], part: str = "split") -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -171,6 +174,31 @@ def test_benefit_and_learned_codec_gates(spark):
     assert gt.learned_codec_gate(found.filter("split = 'ood'")).first().passed is False
 
 
+def test_fingerprint_is_a_hash_tree(spark):
+    def root(lines, leaf):
+        seen = Counter(hashlib.sha256(line.encode()).hexdigest() for line in lines)
+        digits = next((k for k in (0, 2, 4, 6) if len(seen) <= leaf * 16 ** k), 8)
+        nodes = {}
+        for digest, count in seen.items():
+            nodes.setdefault(digest[:digits], []).append(f"{digest}:{count}")
+        while True:
+            nodes = {p: hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest() for p, rows in nodes.items()}
+            if not digits:
+                return nodes[""]
+            digits, below = digits - 2, nodes
+            nodes = {}
+            for p, h in below.items():
+                nodes.setdefault(p[:digits], []).append(f"{p}:{h}")
+
+    lines = [f"m{k}" for k in range(700)] + ["m3", "m3"]
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "m string").repartition(3)
+    for leaf in (1024, 600, 3, 1):  # up to four digits
+        got = rs.dataset_fingerprint(frame(lines), ["m"], leaf=leaf).first()
+        assert (got.fingerprint, got.members) == (root(lines, leaf), 702)
+    first = rs.dataset_fingerprint(frame(lines[::-1]), ["m"]).first().fingerprint
+    assert first == root(lines, 1024) and first != rs.dataset_fingerprint(frame(lines[:-1]), ["m"]).first().fingerprint
+
+
 def test_association_with_ties_and_constants(spark):
     frame = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip([1, 2, 2, 3], [10, 30, 20, 40])] + [("b", 1.0, float(y)) for y in range(3)], "k string, x double, y double")
     rows = {r.k: r for r in sx.association(frame, ["k"], "x", "y").collect()}
