@@ -363,6 +363,61 @@ def run_identity(spark: SparkSession, folder: str) -> DataFrame:
     return gt.run_identity(joined, group=["arm"], independent=["state"], shared=["members"])
 
 
+_OPTIONS = "(SELECT CASE WHEN p_size % 10 = 0 THEN p_brand || ' x' ELSE p_brand END AS rate_point, CASE WHEN p_size % 7 = 0 THEN lower(p_type) ELSE '--' || lower(replace(p_type, ' ', '-')) || '=' || p_size END AS option FROM part)"
+
+
+@query(f"""SELECT reason, count(*) AS options FROM (SELECT CASE WHEN rate_point LIKE '% %' THEN 'blanks in the rate point''s name' WHEN NOT regexp_matches(option, '^--[^=]*=') THEN 'not written --name=value'
+ WHEN option LIKE '--s%' OR option LIKE '--promo%' THEN 'the run sets this option itself' WHEN count(*) OVER (PARTITION BY rate_point, regexp_extract(option, '^(--[^=]*)=', 1)) > 1 THEN 'given twice' END AS reason FROM {_OPTIONS}) WHERE reason IS NOT NULL GROUP BY reason""")
+def option_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate-point options that break a rule, options made of part types."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    made = F.concat(F.lit("--"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), F.lit("="), F.col("p_size").cast("string"))
+    options = part.select(
+        F.when(F.col("p_size") % 10 == 0, F.concat("p_brand", F.lit(" x"))).otherwise(F.col("p_brand")).alias("rate_point"),
+        F.when(F.col("p_size") % 7 == 0, F.lower("p_type")).otherwise(made).alias("option"))
+    return gt.option_problems(options, ["--s", "--promo"]).groupBy("reason").agg(F.count(F.lit(1)).alias("options"))
+
+
+@query("""SELECT axis, entry, CASE WHEN n > 1 THEN 'listed more than once' ELSE 'not known' END AS reason FROM (SELECT a.axis, a.entry, count(*) AS n, max(k.entry) AS k FROM
+ (SELECT 'brand' AS axis, p_brand AS entry FROM part WHERE p_size = 7 UNION ALL SELECT 'kind', p_type FROM part WHERE p_size = 7) a
+ LEFT JOIN (SELECT DISTINCT 'brand' AS axis, p_brand AS entry FROM part WHERE p_size < 5 UNION SELECT DISTINCT 'kind', p_type FROM part WHERE p_size < 5) k ON a.axis = k.axis AND a.entry = k.entry GROUP BY a.axis, a.entry) WHERE n > 1 OR k IS NULL""")
+def plan_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated and unknown entries on the two axes of a plan: parts of one size against the kinds that small parts have."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    axes = lambda rows: rows.select(F.inline(F.array(
+        F.struct(F.lit("brand").alias("axis"), F.col("p_brand").alias("entry")), F.struct(F.lit("kind").alias("axis"), F.col("p_type").alias("entry")))))
+    return gt.plan_problems(axes(part.filter("p_size = 7")), axes(part.filter("p_size < 5")))
+
+
+@query(f"WITH {RESULT_CTES} SELECT b.split, b.model_seed, count(*) AS clouds, {out('sqrt(avg(b.chamfer_mse))')} AS rmse FROM res b WHERE b.method = 'fps' AND EXISTS (SELECT 1 FROM res f WHERE f.method = 'free' AND f.split = b.split AND f.model_seed = b.model_seed AND f.family = b.family AND f.model_id = b.model_id) GROUP BY ALL")
+def matched_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Baseline error over the clouds that the free method was run on."""
+    rows = rs.matched_baseline(result_rows(spark, folder), "free", ["split", "model_seed"])
+    return rows.groupBy("split", "model_seed").agg(F.count(F.lit(1)).alias("clouds"), fm.out(F.sqrt(F.avg("chamfer_mse"))).alias("rmse"))
+
+
+@query(f"""WITH {RESULT_CTES}, a AS (SELECT split, family, model_id, model_seed, chamfer_mse, 96 + length(model_id) AS stream_bytes FROM res WHERE method = 'free'), b AS (SELECT split, family, model_id, model_seed, chamfer_mse, 96 + length(model_id) + CASE WHEN model_seed % 3 = 0 THEN 1 ELSE 0 END AS stream_bytes FROM res WHERE method = 'fps' AND model_seed <> 7)
+SELECT CASE WHEN b.stream_bytes IS NULL THEN 'no reference row' WHEN a.stream_bytes <> b.stream_bytes THEN 'stream sizes differ' ELSE 'paired' END AS outcome, count(*) AS rows, {out('sum(CASE WHEN a.stream_bytes = b.stream_bytes THEN a.chamfer_mse - b.chamfer_mse END)')} AS difference FROM a LEFT JOIN b USING (split, family, model_id, model_seed) GROUP BY 1""")
+def reference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a run against a stored reference at the same stream size, whose splits are named otherwise."""
+    rows, size = result_rows(spark, folder), F.length("model_id")
+    own = rows.filter("method = 'free'").withColumn("stream_bytes", 96 + size)
+    stored = rows.filter("method = 'fps' AND model_seed <> 7").withColumn("stream_bytes", 96 + size + (F.col("model_seed") % 3 == 0).cast("int")).withColumn("split", F.concat(F.lit("stored_"), "split"))
+    keys = ["split", "family", "model_id", "model_seed"]
+    pairs, rest = rs.reference_pairs(own, stored, {"stored_validation": "validation", "stored_ood": "ood"}, keys)
+    judged = pairs.select(F.lit("paired").alias("outcome"), (F.col("chamfer_mse") - F.col("reference_chamfer_mse")).alias("_d")).unionByName(
+        rest.select(F.col("reason").alias("outcome"), F.lit(None).cast("double").alias("_d")))
+    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), fm.out(F.sum("_d")).alias("difference"))
+
+
+@query(f"WITH {RESULT_CTES} SELECT split, method, count(*) AS rows, count(*) FILTER (method <> 'fps') AS with_fresh, {out('avg(fresh_chamfer_mse) FILTER (method <> ' + chr(39) + 'fps' + chr(39) + ')')} AS fresh FROM res GROUP BY split, method")
+def united_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of which one lacks a column, as one table."""
+    rows = result_rows(spark, folder)
+    united = rs.union_rows([rows.filter("method <> 'fps'"), rows.filter("method = 'fps'").drop("fresh_chamfer_mse", "sample_id")])
+    return united.groupBy("split", "method").agg(F.count(F.lit(1)).alias("rows"), F.count("fresh_chamfer_mse").alias("with_fresh"), fm.out(F.avg("fresh_chamfer_mse")).alias("fresh"))
+
+
 # ---- statistics ------------------------------------------------------------
 
 B = 10_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import gap_percent
@@ -204,6 +204,38 @@ def rate_alignment(first: DataFrame, second: DataFrame, bytes_column: str = "str
     )
 
 
+def plan_problems(axes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(axis, entry, reason): entries of an experiment plan that are blank, repeated on their axis or not among the known ones.
+
+    ``axes`` and ``known`` hold (axis, entry).
+    """
+    counted = axes.groupBy("axis", "entry").agg(F.count(F.lit(1)).alias("_n"))
+    if known is None:
+        counted = counted.withColumn("_known", F.lit(True))
+    else:
+        counted = counted.join(known.select("axis", "entry").distinct().withColumn("_known", F.lit(True)), ["axis", "entry"], "left")
+    blank = F.col("entry").isNull() | (F.trim("entry") == "")
+    reason = F.when(blank, "blank").when(F.col("_n") > 1, "listed more than once").when(F.col("_known").isNull(), "not known")
+    return counted.withColumn("reason", reason).filter("reason IS NOT NULL").select("axis", "entry", "reason")
+
+
+def option_problems(options: DataFrame, managed: Sequence[str]) -> DataFrame:
+    """(rate_point, option, reason): names with blanks, options not written ``--name=value``, those that are managed elsewhere or given twice.
+
+    ``options`` holds (rate_point, option); a managed option also stands for longer ones that start like it.
+    """
+    name = F.regexp_extract("option", r"^(--[^=]*)=", 1)
+    judged = options.withColumn("_name", name).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("rate_point", "_name")))
+    taken = reduce(lambda a, b: a | b, [F.col("option").startswith(m) for m in managed], F.lit(False))
+    reason = (
+        F.when(F.coalesce(F.length("rate_point"), F.lit(0)) == 0, "a rate point without a name")
+        .when(F.col("rate_point").rlike(r"\s"), "blanks in the rate point's name")
+        .when(F.col("option").isNull() | (F.col("_name") == ""), "not written --name=value")
+        .when(taken, "the run sets this option itself").when(F.col("_n") > 1, "given twice")
+    )
+    return judged.withColumn("reason", reason).filter("reason IS NOT NULL").select("rate_point", "option", "reason")
+
+
 def run_identity(runs: DataFrame, *, group: Sequence[str], independent: Sequence[str], shared: Sequence[str]) -> DataFrame:
     """Hashes that must differ between independent runs, and hashes that must agree."""
     n = F.count(F.lit(1))

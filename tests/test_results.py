@@ -199,6 +199,19 @@ def test_fingerprint_is_a_hash_tree(spark):
     assert first == root(lines, 1024) and first != rs.dataset_fingerprint(frame(lines[:-1]), ["m"]).first().fingerprint
 
 
+def test_plan_and_option_problems(spark):
+    axes = spark.createDataFrame([("m", "fps"), ("m", "fps"), ("m", "odd"), ("k", " "), ("k", None), ("k", "4")], "axis string, entry string")
+    known = spark.createDataFrame([("m", "fps"), ("k", "4")], "axis string, entry string")
+    assert {(r.axis, r.entry, r.reason) for r in gt.plan_problems(axes, known).collect()} == {
+        ("m", "fps", "listed more than once"), ("m", "odd", "not known"), ("k", " ", "blank"), ("k", None, "blank")}
+    assert {r.reason for r in gt.plan_problems(axes).collect()} == {"listed more than once", "blank"}
+    given = [("r1", "--q=1"), ("r1", "--q=2"), ("r1", "--w=1"), ("r 2", "--q=1"), ("", "--q=1"), ("r3", "-q=1"), ("r3", None), ("r3", "--modeX=2"), ("r4", "--q=1")]
+    found = {(r.rate_point, r.option): r.reason for r in gt.option_problems(spark.createDataFrame(given, "rate_point string, option string"), ["--mode"]).collect()}
+    assert found == {("r1", "--q=1"): "given twice", ("r1", "--q=2"): "given twice", ("r 2", "--q=1"): "blanks in the rate point's name",
+                     ("", "--q=1"): "a rate point without a name", ("r3", "-q=1"): "not written --name=value", ("r3", None): "not written --name=value",
+                     ("r3", "--modeX=2"): "the run sets this option itself"}
+
+
 def test_association_with_ties_and_constants(spark):
     frame = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip([1, 2, 2, 3], [10, 30, 20, 40])] + [("b", 1.0, float(y)) for y in range(3)], "k string, x double, y double")
     rows = {r.k: r for r in sx.association(frame, ["k"], "x", "y").collect()}
