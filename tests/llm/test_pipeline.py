@@ -1,9 +1,13 @@
+from collections import Counter
+
 import pandas as pd
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from cumulo.llm import mixing, toxicity
 from tests.llm import cases
+from tests.llm.test_minhash import expected
 from tests.llm.test_models import labelled
 
 
@@ -32,6 +36,30 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3]
 
 
+def test_stages_against_plain_python(spark, folder, tmp_path):
+    """What every stage keeps, on its own input: clean documents stay, one of each group stays, words follow the mix."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        kept = Counter(r.doc_id for r in after.collect())
+        if name == "toxicity":
+            judged = {r.doc_id: r.predicted for r in toxicity.report(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+            assert kept == Counter(i for i, p in judged.items() if p == 0) and 0 < len(kept) < len(rows)
+        elif name == "exact_dedup":
+            last = {}
+            for i, text, _ in rows:
+                last[text or ""] = max(i, last.get(text or "", i))
+            assert kept == Counter(last.values())
+        elif name == "near_dedup":
+            assert kept == Counter({i: n for (i, _, _, stays), n in expected(rows).items() if stays})
+        else:
+            taken = {r.doc_id: (r.size, r.taken) for r in mixing.mix_report(docs).collect()}
+            assert all(kept[i] * size == words for i, (size, words) in taken.items()) and sum(kept.values()) > 0
+        docs = after
+
+
 def test_run_equals_its_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert isinstance(got, pd.DataFrame) and len(got)
@@ -44,6 +72,6 @@ def test_run_equals_its_stages(spark, folder):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert [k for k in names if k.startswith(f"op{n}_")], n
     assert "pipeline" in names
