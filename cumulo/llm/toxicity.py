@@ -33,6 +33,8 @@ SAMPLE = 6000
 SEGMENTS = 6000
 SEGMENT_WORDS = 32
 WEIGHTS = 1 << 18
+#: Characters of the texts whose chains advance together, about.
+GROUP_CHARS = 4 << 20
 MEMO = 400_000
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -306,8 +308,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, segments: int
 
 
 def _batch_odds(texts: list[str | None], memo: Emissions, model: ChainModel) -> list[np.ndarray]:
-    emissions = [np.fromiter(map(memo.__getitem__, w), float, len(w)) for w in map(words_of, texts)]
-    return marginal_odds(emissions, model.moves)
+    """Odds of every text, by groups of similar length that hold about GROUP_CHARS characters, so memory is bounded."""
+    odds: list[np.ndarray] = [np.zeros(0)] * len(texts)
+    group, held = [], 0
+
+    def advance() -> None:
+        emissions = [np.fromiter(map(memo.__getitem__, w), float, len(w)) for w in (words_of(texts[k]) for k in group)]
+        for k, found in zip(group, marginal_odds(emissions, model.moves)):
+            odds[k] = found
+
+    for k in sorted(range(len(texts)), key=lambda k: -len(texts[k] or "")):
+        group.append(k)
+        held += len(texts[k] or "")
+        if held >= GROUP_CHARS:
+            advance()
+            group, held = [], 0
+    advance()
+    return odds
 
 
 def offending_spans(text: str, odds: np.ndarray) -> list[dict]:
