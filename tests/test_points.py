@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -213,6 +214,25 @@ def test_sliced_wasserstein_both_sizes(spark, monkeypatch):
     assert got == pytest.approx(math.sqrt(((p - (q[lo] * (1 - w) + q[hi] * w)) ** 2).mean()))
 
 
+def test_sliced_wasserstein_never_broadcasts_projected_rows(spark):
+    """Both forms agree on odd rows; none collects rows per point and direction, which the planner takes for small."""
+    import cumulo.operators.distortion as module
+    draw = np.random.default_rng(5)
+    rows = [("c", k, *map(float, draw.normal(size=3)), k % 3 == 0) for k in range(40)]
+    rows += [rows[3], rows[5], ("c", 41, None, 1.0, 1.0, False), ("c", 42, 0.5, None, 1.0, True), ("one", 1, 1.0, 2.0, 3.0, True), ("one", 2, 1.0, 2.0, 5.0, False),
+             ("alone", 3, 1.0, 1.0, 1.0, True), (None, 4, 1.0, 1.0, 1.0, True), (None, 5, 1.0, 1.0, 1.0, False)]
+    tagged = spark.createDataFrame(rows, "cloud_id string, point_id long, x double, y double, z double, first boolean")
+    small = sliced_wasserstein(tagged.filter("first").drop("first"), tagged.filter("NOT first").drop("first"), 6)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan
+    spread = module._spread_gap(tagged.filter("cloud_id IS NOT NULL"), 6)
+    joins = re.findall("SortMergeJoin|BroadcastHashJoin", spread._jdf.queryExecution().executedPlan().toString())
+    assert joins[:2] == ["SortMergeJoin"] * 2  # the outer two, which carry the projected rows
+    one, two = ({r.cloud_id: r.sliced_wasserstein for r in d.collect()} for d in (small, spread))
+    assert set(one) == set(two) == {"c", "one"}
+    assert all(one[c] == pytest.approx(two[c]) for c in one)
+
+
 def test_lattice_halves_go_to_even_and_rates(spark):
     row = spark.range(1).select(
         lt.snap(F.lit(0.5), 2, 0.0, 3.0).alias("a"), lt.snap(F.lit(2.5), 2, 0.0, 3.0).alias("b"), lt.snap(F.lit(7.0), 12).alias("c"),
