@@ -30,6 +30,15 @@ def _lists(arrays: Sequence[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
+def _deal(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to tasks by their keys, as many as the session shuffles to.
+
+    The rows are few and small but stand for many draws each. Adaptive coalescing
+    sees bytes and not draws, and without an explicit count it puts them all into one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cell_name(seed: object, cell: Sequence[str]) -> Column:
     return F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cell])
 
@@ -55,7 +64,7 @@ def group_counts(cells: DataFrame, replicates: int, role: str) -> DataFrame:
                      _lists(list(drawn.T), pa.int64())], names=["_cell", "_group", "_first", "_n"])
 
     blocks = replicate_blocks(cells.select("_cell", F.col("_groups").cast("int").alias("_groups")), replicates)
-    return blocks.repartition("_cell", "_first").mapInArrow(count, "_cell string, _group long, _first int, _n array<long>")
+    return _deal(blocks, "_cell", "_first").mapInArrow(count, "_cell string, _group long, _first int, _n array<long>")
 
 
 def slice_counts(groups: DataFrame, width: int = SLICE) -> DataFrame:
@@ -76,7 +85,7 @@ def slice_counts(groups: DataFrame, width: int = SLICE) -> DataFrame:
                      pa.array([first] * slices, pa.int32()), _lists(list(counts.T), pa.int64())],
                     names=["_cell", "_group", "_slice", "_first", "_n"])
 
-    rows = groups.select("_cell", "_group", F.col("_size").cast("long"), "_first", "_n").repartition("_cell", "_group", "_first")
+    rows = _deal(groups.select("_cell", "_group", F.col("_size").cast("long"), "_first", "_n"), "_cell", "_group", "_first")
     return rows.mapInArrow(count, "_cell string, _group long, _slice long, _first int, _n array<long>")
 
 
@@ -112,7 +121,7 @@ def drawn_sums(values: DataFrame, counts: DataFrame, fold: Callable[[str, int, n
 
     columns = [f"_sum_{k}" for k in range(outputs)]
     names = ["_cell", "_r", "_n", *columns]
-    dealt = met.repartition("_cell", "_group", "_slice", "_first")
+    dealt = _deal(met, "_cell", "_group", "_slice", "_first")
     parts = dealt.mapInArrow(add, "_cell string, _r int, _n long, " + ", ".join(f"{c} double" for c in columns))
     return parts.groupBy("_cell", "_r").agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in columns])
 
@@ -134,5 +143,5 @@ def design_statistic(cells: DataFrame, replicates: int, statistic: Callable[[str
                     [pa.array([row["_cell"]] * many, pa.string()), pa.array(np.arange(first, first + many), pa.int32()), pa.array(found, pa.float64())],
                     names=["_cell", "_r", "_value"])
 
-    blocks = replicate_blocks(cells, replicates).select(*columns, "_first", "_many").repartition("_cell", "_first")
+    blocks = _deal(replicate_blocks(cells, replicates).select(*columns, "_first", "_many"), "_cell", "_first")
     return blocks.mapInArrow(draw, "_cell string, _r int, _value double")

@@ -122,6 +122,14 @@ def test_resamples_by_slices(spark):
     assert np.abs(drawn.mean(axis=0) - 1).max() < 0.2 and np.abs(drawn.var(axis=0) - (1 - 1 / size)).max() < 0.35
 
 
+def test_draws_are_dealt_to_tasks_by_count(spark):
+    """Rows that stand for many draws are small, so adaptive coalescing must not put them into one task."""
+    cells = spark.createDataFrame([(f"c{k}", 5, 23) for k in range(8)], "_cell string, _group long, _size long")
+    groups = rp.replicate_blocks(cells, 100, 10).withColumn("_n", F.array_repeat(F.col("_size"), F.col("_many")))
+    tasks = rp.slice_counts(groups, 4).select(F.spark_partition_id()).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_bootstrap_intervals_against_plain_resampling(spark):
     draw = np.random.default_rng(8)
     table = draw.uniform(0.01, 0.09, size=(2, 4, 30))
