@@ -49,6 +49,18 @@ def test_nearest_matches_brute_force_with_deep_tree(spark, monkeypatch):
     np.testing.assert_allclose(got["d2"], d.min(axis=1), rtol=0, atol=1e-12)
 
 
+def test_sources_meet_their_own_leaf_and_few_others(spark, monkeypatch):
+    import cumulo.operators.neighbors as module
+    monkeypatch.setattr(module, "LEAF_LIMIT", 32)
+    draw, met, meet = np.random.default_rng(11), [], module._meet_leaves
+    monkeypatch.setattr(module, "_meet_leaves", lambda sources, *rest: met.append(sources.count()) or meet(sources, *rest))
+    a, b = draw.random((500, 3)), np.concatenate([draw.random((1500, 3)), [[1e6, 1e6, 1e6]]])
+    got = table(nearest(clouds(spark, {"c": a}), clouds(spark, {"c": b}), k=3, bound=1), "point_id", "rank")
+    d = pairwise(a, b)
+    assert got["target_id"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert len(met) == 2 and met[0] == 500 and met[1] < 500 * 8  # of 47 leaves at least
+
+
 def test_cells_of_uneven_clouds_are_bounded(spark, monkeypatch):
     import cumulo.operators.neighbors as module
     draw = np.random.default_rng(7)
