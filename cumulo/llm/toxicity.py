@@ -17,11 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ SEGMENTS = 6000
 SEGMENT_WORDS = 32
 WEIGHTS = 1 << 18
 #: Characters of the texts whose chains advance together, about.
-GROUP_CHARS = 4 << 20
-MEMO = 400_000
+GROUP_CHARS = 1 << 20
+#: Rows of a batch that are texts of Python's at one time, and words or traits that a worker remembers, at most.
+SLICE_ROWS = 1_000
+MEMO = 100_000
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -137,24 +141,37 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, modulus: int) -> Da
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("text", "toxic")
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE_ROWS rows, so that few texts are in Python at one time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in _sliced(batches):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def _telling_traits(rows: DataFrame) -> set[str]:
     """Words and beginnings that mark toxic documents, from document frequencies in both classes."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {t for w in set(words_of(text)) for t in traits(w) if t[0] in "w456"}
-                tables[toxic].update(own | {""})
-        shared = tables[1]  # what no toxic document holds can't mark one
-        names = list(shared)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([shared[n] for n in names], pa.int64()),
-             pa.array([0] * len(names), pa.int64())], names=["name", "toxic", "clean"])
-        names = list(tables[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()),
-             pa.array([tables[0][n] for n in names], pa.int64())], names=["name", "toxic", "clean"])
+
+        def emptied(toxic: int) -> pa.RecordBatch:
+            names, numbers = pa.array(list(tables[toxic]), pa.string()), pa.array(list(tables[toxic].values()), pa.int64())
+            tables[toxic].clear()
+            none = pa.array([0] * len(names), pa.int64())
+            return pa.RecordBatch.from_arrays([names, *((numbers, none) if toxic else (none, numbers))], names=["name", "toxic", "clean"])
+
+        for text, toxic in _rows_of(batches):
+            own = {t for w in set(words_of(text)) for t in traits(w) if t[0] in "w456"}
+            tables[toxic].update(own | {""})
+            if len(tables[toxic]) >= MEMO:  # sums of parts are added up below
+                yield emptied(toxic)
+        yield emptied(1)
+        yield emptied(0)
 
     sums = rows.mapInArrow(counted, "name string, toxic long, clean long").groupBy("name").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
@@ -175,8 +192,10 @@ def _segments(rows: DataFrame, telling: set[str], most: int) -> tuple[list[list[
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             words, tags, some = [], [], []
+            if len(known) >= MEMO:
+                known.clear()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words_of(text)
                 for at in range(0, len(tokens), SEGMENT_WORDS):
@@ -294,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, segments: int
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         memo = chain.memo()
-        for batch in batches:
+        for batch in _sliced(batches):
             odds = _batch_odds(batch.column(0).to_pylist(), memo, chain)
             found = [document_traits(o) for o in odds]
             yield pa.RecordBatch.from_arrays(
@@ -353,7 +372,12 @@ def score(docs: DataFrame, model: ChainModel, with_spans: bool = False, keep: li
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + ["`__llm_score` double"]
+    return _scored(rows, shared, keep, with_spans, lambda batch: batch.column(0))
+
+
+def _scored(rows: DataFrame, shared: Broadcast, keep: list[str], with_spans: bool, text: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``keep`` of ``rows`` with the score of what ``text`` finds in a batch."""
+    fields = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep] + ["`__llm_score` double"]
     if with_spans:
         fields.append("spans array<struct<start:bigint,end:bigint,p:double>>")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
@@ -362,15 +386,15 @@ def score(docs: DataFrame, model: ChainModel, with_spans: bool = False, keep: li
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         memo = chain.memo()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for batch in _sliced(batches):
+            texts = text(batch).to_pylist()
             odds = _batch_odds(texts, memo, chain)
             if chain.document is None:
                 scores = np.zeros(len(texts))
             else:
                 at = np.array([document_traits(o) for o in odds]).reshape(-1, 2) @ chain.document[1:] + chain.document[0]
                 scores = 1 / (1 + np.exp(-np.clip(at, -30, 30)))
-            columns = [*batch.columns[1:], pa.array(scores, pa.float64())]
+            columns = [*[batch.column(n) for n in keep], pa.array(scores, pa.float64())]
             if with_spans:
                 columns.append(pa.array([offending_spans(t or "", o) for t, o in zip(texts, odds)], kind))
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -388,5 +412,9 @@ def report(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with the columns of the input."""
-    scored = score(docs.select(F.struct(*docs.columns).alias("__llm_row"), "text"), fit(docs, labels), keep=["__llm_row"])
+    inside = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    # The text goes to the workers once, inside the row.
+    rows = docs.select(F.struct(*docs.columns).alias("__llm_row"))
+    scored = _scored(rows, shared, ["__llm_row"], False, lambda batch: pc.struct_field(batch.column(0), [inside]).cast(pa.string()))
     return scored.where("toxic_score < 0.5").select("__llm_row.*")

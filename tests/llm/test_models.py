@@ -160,3 +160,13 @@ def test_language_model_without_rows(spark):
     only_held = [(i, "a b", "a") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = language_model.report(cases.frame(spark, only_held)).collect()
     assert len(got) == len(only_held) and all(r["n_known"] == 0 and r["base_score"] == 0 for r in got)
+
+
+def test_toxicity_turns_few_texts_into_python_at_one_time():
+    import pyarrow as pa
+
+    from cumulo.llm import toxicity
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(2500)])], names=["text"])
+    parts = list(toxicity._sliced([batch]))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500]
+    assert [t for p in parts for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
