@@ -75,7 +75,8 @@ def plane_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def strip_mesh(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Each event cloud as a triangle strip over its points in id order."""
-    points = rank_in_group(event_clouds(spark, folder), ["cloud_id"], ["point_id"], rank="vertex_ix")
+    # Read once per corner and for the sizes.
+    points = cut_lineage(rank_in_group(event_clouds(spark, folder), ["cloud_id"], ["point_id"], rank="vertex_ix"))
     vertices = points.select(F.col("cloud_id").alias("mesh_id"), F.col("vertex_ix").cast("int").alias("vertex_ix"), *AXES)
     sizes = vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
     faces = vertices.join(sizes, "mesh_id").filter(F.col("vertex_ix") < F.col("n") - 2).select(

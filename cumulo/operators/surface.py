@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from cumulo.functions.formulas import square
 from cumulo.functions.hashing import hash_uniform
 from cumulo.operators.ranking import fold_before
+from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
-BLOCK = 64
+#: Faces of a block, which every draw walks through.
+BLOCK = 8
 
 
 def assemble(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -55,9 +57,11 @@ def sample_surface(geometry: DataFrame, count: int, *, seed: object = 0, roles:
 
     Areas become whole-number weights out of 2^60, so running sums are exact in
     any order and every draw falls into exactly one face. Faces are packed in
-    blocks of 64; a draw finds its block through an interval join bucketed on its
+    blocks of 8; a draw finds its block through an interval join bucketed on its
     share of the weight, then its face inside that one block row.
     """
+    # Read three times.
+    geometry = cut_lineage(geometry)
     area = geometry.groupBy("mesh_id").agg(F.sum("double_area").alias("area"))
     weighed = geometry.select("mesh_id", "face_ix", "double_area").join(area, "mesh_id").select(
         "mesh_id", "face_ix", F.rint(F.col("double_area") / F.col("area") * F.lit(float(2**60))).cast("bigint").alias("weight")
