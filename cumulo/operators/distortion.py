@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cumulo.functions.formulas import GOLDEN_ANGLE, psnr, sphere_direction, square
-from cumulo.operators.grouping import by_size, per_cloud
+from cumulo.operators.grouping import by_size, dealt_if_many, per_cloud
 from cumulo.operators.neighbors import AXES, nearest
 from cumulo.operators.ranking import quantiles, spread_rank
+from cumulo.session import cut_lineage
 
 NORMALS = ("nx", "ny", "nz")
 
@@ -33,15 +34,18 @@ def geometry_metrics(reconstruction: DataFrame, target: DataFrame, *, peak: floa
     Only the target carries normals: forward matches use the matched target
     point's normal, backward matches the target point's own.
     """
-    forward = reconstruction.select("cloud_id", "point_id", *AXES).join(
-        nearest(reconstruction, target, carry=NORMALS), ["cloud_id", "point_id"]
-    )
-    backward = target.select("cloud_id", "point_id", *AXES, *NORMALS).join(
-        nearest(target, reconstruction), ["cloud_id", "point_id"]
-    )
-    both = forward.select("cloud_id", "point_id", "d2", _along(NORMALS, 1.0).alias("plane"), F.lit("f").alias("way")).unionByName(
+    keys = ["cloud_id", "point_id"]
+
+    def matched(rows: DataFrame, found: DataFrame) -> DataFrame:
+        total = rows.count()
+        return dealt_if_many(rows, keys, total).join(dealt_if_many(found, keys, total), keys)
+
+    forward = matched(reconstruction.select(*keys, *AXES), nearest(reconstruction, target, carry=NORMALS))
+    backward = matched(target.select(*keys, *AXES, *NORMALS), nearest(target, reconstruction))
+    # Stored, as the means and the tails read different columns of it: the clouds would be matched for each.
+    both = cut_lineage(forward.select("cloud_id", "point_id", "d2", _along(NORMALS, 1.0).alias("plane"), F.lit("f").alias("way")).unionByName(
         backward.select("cloud_id", "point_id", "d2", _along(NORMALS, 1.0).alias("plane"), F.lit("b").alias("way"))
-    )
+    ))
 
     def mean(value: Column, way: str) -> Column:
         return F.avg(F.when(F.col("way") == way, value))
@@ -75,7 +79,7 @@ def sliced_wasserstein(reconstruction: DataFrame, target: DataFrame, directions:
     schema = T.StructType([tagged.schema["cloud_id"], T.StructField("sliced_wasserstein", T.DoubleType())])
     return by_size(
         tagged.filter("cloud_id IS NOT NULL"),
-        lambda d: per_cloud(d, _projected_gap(schema, directions), schema),
+        lambda d, n: per_cloud(d, _projected_gap(schema, directions), schema, total=n),
         lambda d: _spread_gap(d, directions),
     )
 

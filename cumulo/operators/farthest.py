@@ -31,7 +31,7 @@ def _schema(points: DataFrame) -> T.StructType:
     ])
 
 
-def _in_task(points: DataFrame, size: int) -> DataFrame:
+def _in_task(points: DataFrame, size: int, total: int = 0) -> DataFrame:
     def pick(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("point_id").to_numpy(), kind="stable")
         x, y, z, start, weight = (rows.column(c).to_numpy()[order] for c in ("x", "y", "z", "_start", "_weight"))
@@ -45,7 +45,7 @@ def _in_task(points: DataFrame, size: int) -> DataFrame:
         taken = rows.select(["cloud_id", "point_id", "x", "y", "z"]).take(pa.array(order[chosen]))
         return taken.add_column(1, "slot", pa.array(range(len(chosen)), pa.int32()))
 
-    return per_cloud(points, pick, _schema(points))
+    return per_cloud(points, pick, _schema(points), total=total)
 
 
 def _farthest_row(points: DataFrame, priority: Column, *more: Column) -> DataFrame:
@@ -92,7 +92,7 @@ def _pick(points: DataFrame, size: int, start: Column, weight: Column, bound: in
         picked = _spread(large, size)
         return picked.join(sizes, "cloud_id").filter(F.col("slot") < F.col("_n")).drop("_n")
 
-    return by_size(ready, lambda d: _in_task(d, size), spread, sized=points, **options)
+    return by_size(ready, lambda d, n: _in_task(d, size, n), spread, sized=points, **options)
 
 
 def farthest_points(points: DataFrame, size: int, *, bound: int | None = None) -> DataFrame:

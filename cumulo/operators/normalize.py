@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import square
-from cumulo.operators.grouping import attach
+from cumulo.operators.grouping import attach, by_cloud
 
 
 def _shift(points: DataFrame, origin: DataFrame, key: str) -> DataFrame:
@@ -36,6 +36,7 @@ def center_unit_radius(points: DataFrame, key: str = "cloud_id") -> DataFrame:
 
     Normals, when present, are rescaled to unit length with the same floor.
     """
+    points = by_cloud(points, key)
     origin = points.groupBy(key).agg(F.avg("x").alias("_ox"), F.avg("y").alias("_oy"), F.avg("z").alias("_oz"))
     shifted = _shift(points, origin, key)
     radius = _radius(shifted, key).withColumn("_radius", F.greatest("_radius", F.lit(1e-8)))

@@ -21,7 +21,7 @@ from cumulo.session import cut_lineage
 AXES = ("x", "y", "z")
 
 
-def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int) -> DataFrame:
+def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int, total: int = 0) -> DataFrame:
     schema = T.StructType([
         T.StructField("cloud_id", points.schema["cloud_id"].dataType),
         T.StructField("potential", T.ArrayType(T.DoubleType())),
@@ -53,7 +53,7 @@ def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations:
             "cloud_id": rows.column("cloud_id").slice(0, len(found)), "potential": pa.array(found, pa.list_(pa.float64())),
         })
 
-    return per_cloud(both, solve, schema)
+    return per_cloud(both, solve, schema, total=total)
 
 
 def _spread(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int, tolerance: float) -> DataFrame:
@@ -97,7 +97,7 @@ def anchor_potentials(points: DataFrame, anchors: DataFrame, *, epsilon: float =
     options = {} if bound is None else {"bound": bound}
     return by_size(
         points,
-        lambda d: _in_task(d, anchors, epsilon, iterations),
+        lambda d, n: _in_task(d, anchors, epsilon, iterations, n),
         lambda d: _spread(d, anchors, epsilon, iterations, tolerance),
         **options,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.operators.grouping import attach, cloud_sizes
+from cumulo.operators.grouping import attach, by_cloud, cloud_sizes
 
 
 def _finite(name: str) -> Column:
@@ -30,7 +30,7 @@ def check_points(points: DataFrame, *, minimum: int = 1, lower: float | None = -
     A cloud with a bad row, or with fewer than ``minimum`` rows, is unusable as a
     whole: its good rows are quarantined too, naming the cloud as the cause.
     """
-    marked = points.withColumn("reason", point_reason(lower, upper))
+    marked = by_cloud(points).withColumn("reason", point_reason(lower, upper))
     state = marked.groupBy("cloud_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.count("reason").alias("_bad")
     )

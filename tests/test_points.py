@@ -321,3 +321,24 @@ def test_bad_points_take_no_part_and_lose_no_others(spark):
         pd.testing.assert_frame_equal(small, large[small.columns])
         assert len(small) == (14 if self_too else 16)
     assert sorted(r["point_id"] for r in unusable_points(frame).collect()) == [50, 51, 52, 53]
+
+
+def test_clouds_are_dealt_by_their_counted_rows(spark, monkeypatch):
+    import cumulo.operators.grouping as module
+    monkeypatch.setattr(module, "TASK_ROWS", 50)
+    points = clouds(spark, random_clouds({f"c{i}": 30 for i in range(20)}))
+    assert module.by_cloud(points).rdd.getNumPartitions() == 12  # 600 rows, 4 shuffle partitions
+    assert module.by_cloud(points.filter("cloud_id = 'c1'")).count() == 30
+    good, _ = check_points(points, lower=None, upper=None)
+    assert good.rdd.getNumPartitions() == 12 and good.count() == 600
+    hot = clouds(spark, random_clouds({"hot": 200, "cold": 10}))
+    assert module.by_cloud(hot).rdd.getNumPartitions() == hot.rdd.getNumPartitions()
+
+
+def test_event_clouds_are_made_once(spark, tmp_path):
+    from cumulo.catalog.views import event_clouds
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=37 * i), i % 3, float(i * i % 17), '{"k": %d}' % (i % 5)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    made = event_clouds(spark, str(tmp_path))
+    assert made.count() == 60
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
