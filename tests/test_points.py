@@ -336,8 +336,10 @@ def test_clouds_are_dealt_by_their_counted_rows(spark, monkeypatch):
 
 
 def test_event_clouds_are_made_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
     from cumulo.catalog.views import event_clouds
-    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=37 * i), i % 3, float(i * i % 17), '{"k": %d}' % (i % 5)) for i in range(60)]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=37 * i), i % 3, float(i * i % 17), '{"k": %d}' % (i % 5)) for i in range(60)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     made = event_clouds(spark, str(tmp_path))
     assert made.count() == 60
