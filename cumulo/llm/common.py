@@ -13,6 +13,8 @@ from cumulo.session import cut_lineage, ensure_checkpoint_dir
 HOT_PARTS = 256
 #: Per-group tables up to this many rows are sent to every executor.
 SMALL_ROWS = 20_000
+#: Rows of a narrow table (ids and numbers) that one task takes, about, where they are counted.
+TASK_ROWS = 20_000
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Prefix of the working columns that wide operators add, so that they clash with no column of the input.
@@ -35,7 +37,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     is broadcast. Beyond that only the groups with more than 1/HOT_PARTS of
     ``total`` rows are, which are fewer than HOT_PARTS; the other rows join by shuffle.
     """
-    if groups.count() <= SMALL_ROWS:
+    if counted(groups) <= SMALL_ROWS:
         return rows.join(F.broadcast(groups), keys, "left")
     mark = OWN + "hot"
     hot = groups.where(F.col(size) * HOT_PARTS > total).withColumn(mark, F.lit(True))
@@ -52,6 +54,20 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def few_tasks(rows: DataFrame, total: int) -> DataFrame:
+    """A narrow frame of about ``total`` rows in no more tasks than these ask for.
+
+    Each task that writes to a shuffle or a checkpoint leaves several files, so hundreds of
+    tasks for a few rows take more disk than the rows. Large frames keep all their tasks.
+    """
+    return rows.coalesce(max(1, -(-total // TASK_ROWS)))
+
+
+def counted(df: DataFrame) -> int:
+    """Rows of a stored frame, counted by as many tasks as there are cores and not one for each stored part."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)).count()
+
+
 def stored_table(df: DataFrame) -> DataFrame:
     """Like ``stored``, as a compressed table beside the checkpoints: for large rows that resemble their neighbours."""
     spark = df.sparkSession
@@ -75,7 +91,7 @@ def mark_members(rows: DataFrame, keys: DataFrame, hashed: Column, flag: str, ma
     What is broadcast is a Bloom filter of at most ``max_words`` 64-bit words. It
     spares rows a shuffle; an exact join decides about those it lets through.
     """
-    count, words = keys.count(), 1024
+    count, words = counted(keys), 1024
     while words * 4 < count and words < max_words:
         words *= 2
     word, mask = _bits(hashed, words)

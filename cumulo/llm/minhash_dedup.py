@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import OWN, attach_groups, mark_members, stored
+from cumulo.llm.common import OWN, attach_groups, counted, mark_members, stored
 from cumulo.llm.graph import components
 
 WORDS = 5
@@ -128,7 +128,7 @@ def _regions(classes: DataFrame, trees: int, depth: int, bound: int) -> DataFram
     width = 4 * depth
     rows = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
         "node", "n", "tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("key"))
-    total, done = classes.count() * trees, []
+    total, done = counted(classes) * trees, []
     for level in range(min(SHALLOW, depth), depth + 1):
         # A region goes by its hash; two that share one would only be compared in vain.
         named = rows.withColumn("region", F.xxhash64("tree", F.substring("key", 1, 4 * level)))
@@ -193,7 +193,7 @@ def _meetings(regions: DataFrame, known: DataFrame, bound: int) -> DataFrame:
     several = stored(rows.groupBy("tree", "region").agg(
         F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where(
         "low <> high").drop("low", "high"))
-    placed = attach_groups(rows, several, ["tree", "region"], "size", rows.count()).where("size IS NOT NULL")
+    placed = attach_groups(rows, several, ["tree", "region"], "size", counted(rows)).where("size IS NOT NULL")
     placed = placed.withColumn("parts", _parts(bound)).withColumns(
         {"part": F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     return stored(placed.select(
@@ -371,7 +371,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ``pairs`` and ``sets`` are stored. Nodes fall into blocks by hash, and a task
     gets the sets of two blocks once each, only those that it has pairs of.
     """
-    pairs_made = pairs.count()
+    pairs_made = counted(pairs)
     size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
     blocks = max(8, -(-size // BLOCK_BYTES), math.isqrt(2 * pairs_made // BLOCK_PAIRS))
     block = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(blocks))
@@ -470,7 +470,7 @@ def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
         F.count(F.lit(1)).alias("many")))
     order = F.struct("unnamed", "doc_id", "tie")
     first = stored(texts.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("texts")))
-    chosen = attach_groups(texts, first, ["class"], "texts", texts.count()).withColumn("stays", order == F.col("first"))
+    chosen = attach_groups(texts, first, ["class"], "texts", counted(texts)).withColumn("stays", order == F.col("first"))
     # Rows to drop, and rows of which one stays.
     doubtful = stored(chosen.where("NOT stays OR many > 1").select(_id_key(), "tie", "stays"))
     names = {k: OWN + k for k in [*key, "stays"]}

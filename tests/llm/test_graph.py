@@ -22,3 +22,27 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_few_links_take_few_tasks(spark, monkeypatch):
+    from cumulo.llm import graph
+
+    parts = []
+    stored = graph.stored
+
+    def noted(df):
+        parts.append(df.rdd.getNumPartitions())
+        return stored(df)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["node"]: r["component"] for r in components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict.fromkeys(range(301), 0)
+    assert len(parts) > 2 and max(parts[1:]) == 1
