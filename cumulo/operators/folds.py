@@ -18,23 +18,29 @@ from pyspark.sql import functions as F
 
 from cumulo.functions.formulas import square
 from cumulo.operators.anchors import anchor_rows
-from cumulo.operators.grouping import attach_counted, cloud_sizes
+from cumulo.operators.grouping import attach_counted, cloud_sizes, task_count
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
-#: Points of a block, entries of one matrix, and bytes of states that every executor may get.
-BLOCK, MATRIX, SENT_BYTES = 8_192, 1 << 21, 64 << 20
+#: Points of a block, entries of one matrix (a few of them fit a core's cache), and bytes of states that every executor may get.
+BLOCK, MATRIX, SENT_BYTES = 8_192, 1 << 15, 64 << 20
 
 
 def point_blocks(points: DataFrame, block: int | None = None) -> DataFrame:
-    """(cloud_id, n, x, y, z): arrays of about ``block`` points at most, with the cloud's size; stored."""
+    """(cloud_id, n, x, y, z): arrays of about ``block`` points at most, with the cloud's size; stored.
+
+    Blocks are dealt out evenly, over as many tasks as the counted points ask for: they are small, but
+    every fold works on all their points and anchors.
+    """
     block = block or BLOCK
     rows = points.select("cloud_id", "point_id", *AXES)
     sizes = cut_lineage(cloud_sizes(rows).withColumn("size", F.col("n")))
-    sized = attach_counted(rows, sizes, ["cloud_id"], sizes.agg(F.sum("n")).first()[0] or 0)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sized = attach_counted(rows, sizes, ["cloud_id"], total)
     part = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("size") / block))
     packed = sized.groupBy("cloud_id", F.col("size").alias("n"), part.alias("_part")).agg(F.collect_list(F.struct(*AXES)).alias("_p"))
-    return cut_lineage(packed.select("cloud_id", "n", *[F.col(f"_p.{a}").alias(a) for a in AXES]))
+    blocks = packed.select("cloud_id", "n", *[F.col(f"_p.{a}").alias(a) for a in AXES])
+    return cut_lineage(blocks.repartition(task_count(rows, total)))
 
 
 def anchor_state(anchors: DataFrame) -> DataFrame:
@@ -47,13 +53,19 @@ def state_entries(state: DataFrame) -> int:
     return state.agg(F.sum("k")).first()[0] or 0
 
 
+def added(parts: Sequence[Sequence[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of partial values that several matrices of a block gave."""
+    return [np.sum(values, axis=0) for values in zip(*parts)]
+
+
 def fold(blocks: DataFrame, state: DataFrame, names: Sequence[str],
-         task: Callable[[np.ndarray, np.ndarray, dict], Sequence[np.ndarray]], entries: int | None = None) -> DataFrame:
+         task: Callable[[np.ndarray, np.ndarray, dict], Sequence[np.ndarray]], entries: int | None = None,
+         merge: Callable[[Sequence[Sequence[np.ndarray]]], Sequence[np.ndarray]] = added) -> DataFrame:
     """(cloud_id, _slot, names...): a block's partial values per anchor.
 
     ``task(points, d2, row)`` gets some points of a block (rows), their squared distances
     to the anchors (columns), and the block's n and the state's other columns; it
-    returns one K-vector per name. ``state`` is stored; where its ``entries`` (anchors
+    returns one K-vector per name, and ``merge`` joins those of a block's matrices. ``state`` is stored; where its ``entries`` (anchors
     of all clouds, counted if not given) are few it travels to the blocks, otherwise
     both meet by key.
     """
@@ -68,16 +80,16 @@ def fold(blocks: DataFrame, state: DataFrame, names: Sequence[str],
             for k in range(batch.num_rows):
                 p, a = (np.stack([batch.column(c + i)[k].values.to_numpy() for i in range(3)], axis=1) for c in (2, 5))
                 row = {"n": batch.column(1)[k].as_py(), **{c: batch.column(8 + i)[k].values.to_numpy() for i, c in enumerate(extra)}}
-                step = max(1, MATRIX // len(a))
+                step, parts = max(1, MATRIX // len(a)), []
                 for at in range(0, len(p), step):
                     here = p[at:at + step]
                     d2 = np.zeros((len(here), len(a)))
                     for i in range(3):
                         d2 += (here[:, i, None] - a[None, :, i]) ** 2
-                    found = task(here, d2, row)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([k] * len(a))), pa.array(np.arange(len(a)), pa.int32()),
-                         *(pa.array(np.asarray(f, float), pa.float64()) for f in found)], names=["cloud_id", "_slot", *names])
+                    parts.append(task(here, d2, row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([k] * len(a))), pa.array(np.arange(len(a)), pa.int32()),
+                     *(pa.array(np.asarray(f, float), pa.float64()) for f in merge(parts))], names=["cloud_id", "_slot", *names])
 
     return met.mapInArrow(partial, f"cloud_id {kind}, _slot int, " + ", ".join(f"{n} double" for n in names))
 
@@ -98,6 +110,13 @@ def log_sum_parts(scores: np.ndarray) -> list[np.ndarray]:
     return [top, np.exp(scores - top).sum(axis=0)]
 
 
+def joined_log_sums(parts: Sequence[Sequence[np.ndarray]]) -> list[np.ndarray]:
+    """One pair like those of ``log_sum_parts`` for several of them."""
+    tops, rests = (np.stack(values) for values in zip(*parts))
+    top = tops.max(axis=0)
+    return [top, (rests * np.exp(tops - top)).sum(axis=0)]
+
+
 def log_sums(parts: DataFrame, name: str) -> DataFrame:
     """(cloud_id, name): log of the sum of exp over all points, from partial values ``top`` and ``rest``."""
     grouped = parts.groupBy("cloud_id", "_slot").agg(F.max("top").alias("_m"), F.collect_list(F.struct("top", "rest")).alias("_parts"))
@@ -139,7 +158,7 @@ def density_aware_chamfer(points: DataFrame, anchors: DataFrame, temperature: fl
     one fold for the anchor side's normalizer, one for occupancies and matches.
     """
     blocks, state = point_blocks(points), anchor_state(anchors)
-    norm = log_sums(fold(blocks, state, ["top", "rest"], lambda _, d2, row: log_sum_parts(-d2 / temperature)), "norm")
+    norm = log_sums(fold(blocks, state, ["top", "rest"], lambda _, d2, row: log_sum_parts(-d2 / temperature), merge=joined_log_sums), "norm")
 
     def task(_: np.ndarray, d2: np.ndarray, row: dict) -> list[np.ndarray]:
         share, back, near = shares(d2, temperature), np.exp(-d2 / temperature - row["norm"]), np.exp(-d2 / temperature)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cumulo.operators.anchors import softmax, with_distances
-from cumulo.operators.folds import anchor_state, fold, log_sum_parts, log_sums, point_blocks, shares, state_entries
+from cumulo.operators.folds import anchor_state, fold, joined_log_sums, log_sum_parts, log_sums, point_blocks, shares, state_entries
 from cumulo.operators.grouping import attach, by_size, per_cloud
 from cumulo.session import cut_lineage
 
 AXES = ("x", "y", "z")
+#: Sums of shares down to this lose nothing to underflow.
+SAFE = 1e-150
 
 
 def _in_task(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: int, total: int = 0) -> DataFrame:
@@ -67,10 +69,15 @@ def _spread(points: DataFrame, anchors: DataFrame, epsilon: float, iterations: i
             if "potential" in row:  # the column scaling that the last potentials ask for
                 pulled = scores + row["potential"]
                 top = pulled.max(axis=1, keepdims=True)
-                scores = scores - np.log(row["n"]) - top - np.log(np.exp(pulled - top).sum(axis=1, keepdims=True))
+                share = np.exp(pulled - top)
+                whole = share.sum(axis=1, keepdims=True)
+                mass = (share / whole).sum(axis=0)
+                if (mass > SAFE).all():  # the shares are the sums' terms, up to a factor of each anchor
+                    return [-np.log(row["n"]) - row["potential"], mass]
+                scores = scores - np.log(row["n"]) - top - np.log(whole)
             return log_sum_parts(scores)
 
-        swept = log_sums(fold(blocks, state, ["top", "rest"], task, entries), "_sum")
+        swept = log_sums(fold(blocks, state, ["top", "rest"], task, entries, joined_log_sums), "_sum")
         new = cut_lineage(fixed.join(swept, "cloud_id").withColumn(
             "potential", F.transform("_sum", lambda v: -F.log(F.col("k").cast("double")) - v)).drop("_sum"))
         moved = None

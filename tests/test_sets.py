@@ -236,3 +236,23 @@ def test_registries(spark):
         assert objective(points, chosen, name).first().loss > 0
     with pytest.raises(ValueError):
         sample(points, 3, "unknown")
+
+
+def test_blocks_are_dealt_by_counted_points(spark):
+    points = spark.range(4000).selectExpr("concat('c', id % 2) AS cloud_id", "id AS point_id", "id / 7 AS x", "id % 11 / 3 AS y", "id % 5 / 2 AS z")
+    blocks = fo.point_blocks(points, 100)
+    held = [len(part) for part in blocks.select("cloud_id").rdd.glom().collect()]
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sum(held) == 40 and min(held) >= 5
+    assert blocks.selectExpr("sum(size(x))").first()[0] == 4000
+
+
+def test_transport_by_blocks_keeps_anchors_beyond_all_points(spark, monkeypatch):
+    monkeypatch.setattr(fo, "MATRIX", 40)
+    points = spark.range(60).selectExpr("'c' AS cloud_id", "id AS point_id", "id % 7 / 10 AS x", "id % 5 / 10 AS y", "id % 3 / 10 AS z")
+    anchors = spark.createDataFrame([("c", 0, 0.1, 0.1, 0.1), ("c", 1, 0.5, 0.3, 0.1), ("c", 2, 40.0, 0.0, 0.0)], "cloud_id string, slot int, x double, y double, z double")
+    for sweeps in (1, 2, 6):
+        whole, blocks = ({r["cloud_id"]: r["potential"] for r in tr.anchor_potentials(points, anchors, epsilon=0.02, iterations=sweeps, **options).collect()}
+                         for options in ({}, {"bound": 0}))
+        assert np.isfinite(blocks["c"]).all()
+        assert np.allclose(whole["c"], blocks["c"], rtol=1e-9, atol=1e-9)
