@@ -13,6 +13,7 @@ from cumulo.catalog.views import AXES, EMBED_CTES, EVENT_CTES, LINE_CTES, embedd
 from cumulo.functions import formulas as fm
 from cumulo.operators import plane as pl
 from cumulo.operators import surface as sf
+from cumulo.operators.grouping import cloud_sizes, task_count
 from cumulo.operators.neighbors import nearest
 from cumulo.operators.ranking import rank_in_group
 from cumulo.session import cut_lineage, ensure_checkpoint_dir
@@ -140,12 +141,19 @@ def metric_logs(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("log", *METRIC_NAMES)
 
 
+#: Files that one task writes, about: a small file costs more to make than its rows.
+TASK_FILES = 64
+
+
 def _event_lines(spark: SparkSession, folder: str, heads: list[str], vertex: str, face: str | None) -> str:
     """Writes one text file per event cloud, ``heads`` first, and returns the folder beside the checkpoints.
 
-    Vertices are the events by id in whole numbers, faces the strip of every three in a row.
+    Vertices are the events by id in whole numbers, faces the strip of every three in a row. Clouds are dealt
+    to tasks by counted files and rows, and each task puts its own files in place.
     """
     raw = raw_event_clouds(spark, folder)
+    rows, files = cloud_sizes(raw).filter("n >= 3").agg(F.sum("n"), F.count(F.lit(1))).first()
+    tasks = max(task_count(raw, rows or 0), -(-files // TASK_FILES))
     ranked = rank_in_group(raw, ["cloud_id"], ["point_id"], rank="i").select(
         "cloud_id", "i", F.floor(F.col("x") * 100).alias("x"), F.col("y").cast("bigint").alias("y"), F.coalesce(F.col("z").cast("bigint"), F.lit(0)).alias("z"))
     sizes = ranked.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
@@ -162,7 +170,9 @@ def _event_lines(spark: SparkSession, folder: str, heads: list[str], vertex: str
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
     order = ["cloud_id", "part", "at"]
-    lines.withColumn("value", F.trim("value")).repartition("cloud_id").sortWithinPartitions(*order).select("cloud_id", "value").write.partitionBy("cloud_id").text(path)
+    dealt = lines.withColumn("value", F.trim("value")).repartition(tasks, "cloud_id").sortWithinPartitions(*order).select("cloud_id", "value")
+    # By the first version of the committer the driver would move all files, one after the other.
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("cloud_id").text(path)
     return path
 
 

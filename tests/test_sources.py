@@ -211,3 +211,19 @@ def test_design_checks(spark):
     hashes = spark.createDataFrame([(1, "h1", "same"), (2, "h1", "same")], "seed int, state string, data string").withColumn("g", F.lit(0))
     row = run_identity(hashes, group=["g"], independent=["state"], shared=["data"]).first()
     assert row.state_unique is False and row.data_equal is True
+
+
+def test_event_files_are_dealt_by_counted_files(spark, tmp_path):
+    from pathlib import Path
+
+    from cumulo.catalog import surfaces
+
+    rows = spark.range(900).selectExpr(
+        "id AS event_id", "id % 300 AS user_id", "timestamp_seconds(id * 77) AS ts", "id / 8 AS value", """concat('{"k": ', id % 9, '}') AS props""")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    written = surfaces._event_lines(spark, str(tmp_path), [], "v", "f")
+    files = list(Path(written.removeprefix("file:")).glob("cloud_id=*/part-*"))
+    tasks = {path.name.split("-")[1] for path in files}
+    assert len(files) == 300
+    assert len(tasks) > 1 and max(sum(path.name.split("-")[1] == task for path in files) for task in tasks) <= 2 * surfaces.TASK_FILES
+    assert {(r.vertices, r.faces) for r in surfaces.obj_files(spark, str(tmp_path)).collect()} == {(3, 1)}
