@@ -17,6 +17,7 @@ from cumulo.operators.grouping import cloud_sizes, task_count
 from cumulo.operators.neighbors import nearest
 from cumulo.operators.ranking import rank_in_group
 from cumulo.session import cut_lineage, ensure_checkpoint_dir
+from cumulo.sources.listing import write_texts
 from cumulo.sources.meshes import read_obj, read_off
 from cumulo.sources.points import read_ply
 
@@ -142,7 +143,7 @@ def metric_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Files that one task writes, about: a small file costs more to make than its rows.
-TASK_FILES = 64
+TASK_FILES = 256
 
 
 def _event_lines(spark: SparkSession, folder: str, heads: list[str], vertex: str, face: str | None) -> str:
@@ -169,10 +170,7 @@ def _event_lines(spark: SparkSession, folder: str, heads: list[str], vertex: str
         lines = lines.unionByName(sizes.filter("n >= 3").select("cloud_id", F.lit(0).alias("part"), F.lit(at).cast("bigint").alias("at"), filled.alias("value")))
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-    order = ["cloud_id", "part", "at"]
-    dealt = lines.withColumn("value", F.trim("value")).repartition(tasks, "cloud_id").sortWithinPartitions(*order).select("cloud_id", "value")
-    # By the first version of the committer the driver would move all files, one after the other.
-    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("cloud_id").text(path)
+    write_texts(lines.withColumn("value", F.trim("value")), "cloud_id", ["part", "at"], tasks, path)
     return path
 
 

@@ -227,3 +227,61 @@ def test_event_files_are_dealt_by_counted_files(spark, tmp_path):
     assert len(files) == 300
     assert len(tasks) > 1 and max(sum(path.name.split("-")[1] == task for path in files) for task in tasks) <= 2 * surfaces.TASK_FILES
     assert {(r.vertices, r.faces) for r in surfaces.obj_files(spark, str(tmp_path)).collect()} == {(3, 1)}
+
+
+def test_walked_folders_hold_what_sparks_readers_find(spark, tmp_path):
+    """The same files, lines and splits of any width; hidden names are passed over."""
+    from cumulo.sources.listing import split_lines, walked_files
+
+    draw = np.random.default_rng(3)
+    for k in range(12):
+        text = b"".join(draw.choice([b"v 1 2", b"", b"\r", b"\n", b"\r\n", " é".encode(), b"f"], 60))
+        path = tmp_path / f"d{k % 3}" / "deep" / f"m{k}.obj"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"\xef\xbb\xbf" * (k % 2) + text + b"\n" * (k % 2))
+    write(tmp_path / "empty.obj", "")
+    for name in (".m.obj", "_m.obj", "_hidden/m.obj", "m.off", "_k=1/m.obj"):
+        write(tmp_path / name, "v 0 0 0\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = spark.read.text(str(tmp_path), recursiveFileLookup=True, pathGlobFilter="*.[oO]bj").select("_metadata.file_name", "value")
+    wanted = sorted(map(tuple, read.collect()))
+    try:
+        for width in (3, 17, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(width))
+            files = walked_files(spark, str(tmp_path), "*.[oO]bj")
+            assert {r.mesh_id for r in files.collect()} == {f"d{k % 3}/deep/m{k}.obj" for k in range(12)} | {"empty.obj", "_k=1/m.obj"}
+            lines = split_lines(files)
+            assert sorted((r.mesh_id.split("/")[-1], r.value) for r in lines.collect()) == wanted
+            numbers = meshes.file_lines(spark, str(tmp_path), "*.[oO]bj").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"), F.count_distinct("line").alias("d"))
+            assert all(r.n == r.last == r.d for r in numbers.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_patterns_and_file_names_are_left_to_sparks_readers(spark, tmp_path):
+    import gzip
+
+    write(tmp_path / "a.obj", CUBE_FACE + "f 1 2 3\n")
+    (tmp_path / "b.obj.gz").write_bytes(gzip.compress((CUBE_FACE + "f 1 2 3\n").encode()))
+    for root, glob, names in ((str(tmp_path), "*.{obj,off}", {"a.obj"}), (f"{tmp_path}/a.obj", "*.obj", None), (str(tmp_path), "*.obj*", {"a.obj", "b.obj.gz"})):
+        vertices, faces, bad = meshes.read_obj(spark, root, glob)
+        assert bad.count() == 0 and faces.count() == (len(names) if names else 1)
+        assert names is None or {r.mesh_id for r in vertices.collect()} == names
+
+
+def test_event_files_are_whole_where_tasks_equal_partitions(spark, tmp_path):
+    """As many tasks as shuffle partitions: the planner took the heads and the lines, a union, as dealt already."""
+    from pathlib import Path
+
+    from cumulo.catalog import surfaces
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for kind, users in enumerate((60, 40 * partitions)):
+        rows = spark.range(4 * users).selectExpr(
+            "id AS event_id", f"id % {users} AS user_id", "timestamp_seconds(id * 77) AS ts", "id / 8 AS value", """concat('{"k": ', id % 9, '}') AS props""")
+        rows.write.parquet(f"{tmp_path}/{kind}/events.parquet")
+        written = surfaces._event_lines(spark, f"{tmp_path}/{kind}", ["OFF", "N M 0"], "", "3")
+        files = list(Path(written.removeprefix("file:")).glob("cloud_id=*/part-*"))
+        assert len(files) == len({path.parent for path in files}) == users
+        assert all(path.read_text().startswith("OFF\n4 2 0\n") for path in files)
+        assert {(r.vertices, r.faces) for r in surfaces.off_files(spark, f"{tmp_path}/{kind}").collect()} == {(4, 2)}
