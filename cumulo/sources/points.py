@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulo.functions.lattice import short_decimal
-from cumulo.sources.meshes import _finite, _number, _texts, file_lines, file_names
+from cumulo.session import cut_lineage
+from cumulo.sources.meshes import _finite, _number, _texts, file_lines, found_files
 
 AXES = ("x", "y", "z")
 NORMALS = ("nx", "ny", "nz")
@@ -18,11 +19,14 @@ def read_ply(spark: SparkSession, root: str, glob: str = "*.ply") -> tuple[DataF
     Properties are found by name; vertex rows are the first ``element vertex``
     count of lines after the header.
     """
-    lines = file_lines(spark, root, glob)
-    ends = lines.groupBy("mesh_id").agg(F.min(F.when(F.col("text") == "end_header", F.col("line"))).alias("_end"))
-    found = lines.join(ends, "mesh_id")
-    ordered = F.array_sort(F.collect_list(F.when((F.col("line") <= F.col("_end")) | (F.col("line") <= 2), F.struct("line", "text"))))
-    heads = found.groupBy("mesh_id").agg(F.transform(ordered, lambda r: r["text"]).alias("_head"), F.any_value("_end").alias("_end"))
+    files = found_files(spark, root, glob)
+    lines = file_lines(spark, root, glob, files)
+    ends = cut_lineage(lines.filter("text = 'end_header'").groupBy("mesh_id").agg(F.min("line").alias("_end")))
+    # No header is longer than the longest, so the other lines need not meet their file's end.
+    longest = max(ends.agg(F.max("_end")).first()[0] or 0, 2)
+    first = lines.filter(F.col("line") <= longest).join(ends, "mesh_id", "left").filter("line <= _end OR line <= 2")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    heads = first.groupBy("mesh_id").agg(F.transform(ordered, lambda r: r["text"]).alias("_head"), F.any_value("_end").alias("_end"))
     # Walk the header once: which element a property belongs to, and the vertex count.
     start = F.struct(F.lit("").alias("element"), F.lit(None).cast("int").alias("n"), F.array().cast("array<string>").alias("names"))
 
@@ -38,28 +42,29 @@ def read_ply(spark: SparkSession, root: str, glob: str = "*.ply") -> tuple[DataF
         )
 
     heads = heads.withColumn("_h", F.aggregate("_head", start, step))
-    heads = heads.select("mesh_id", "_head", "_end", F.col("_h.n").alias("_n"), *[
-        (F.array_position(F.col("_h.names"), a).cast("int") - 1).alias(f"_p{a}") for a in AXES])
-    body = found.join(heads.select("mesh_id", "_n", *[f"_p{a}" for a in AXES]), "mesh_id").filter(
+    heads = cut_lineage(heads.select("mesh_id", F.slice("_head", 1, 2).alias("_head"), "_end", F.col("_h.n").alias("_n"), *[
+        (F.array_position(F.col("_h.names"), a).cast("int") - 1).alias(f"_p{a}") for a in AXES]))
+    body = lines.join(heads.select("mesh_id", "_end", "_n", *[f"_p{a}" for a in AXES]), "mesh_id").filter(
         (F.col("line") > F.col("_end")) & (F.col("line") <= F.col("_end") + F.col("_n")))
-    present = body.filter("text <> ''").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_present"))
-    files = file_names(spark, root, glob).join(heads, "mesh_id", "left").join(present, "mesh_id", "left")
+    fields = F.split("text", " ")
+    points = body.select(
+        F.col("mesh_id").alias("cloud_id"), (F.col("line") - F.col("_end") - 1).alias("point_id"),
+        *[_number(F.get(fields, F.col(f"_p{a}"))).alias(a) for a in AXES], (F.col("text") != "").alias("_filled"))
+    finite = _finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z"))
+    present = points.groupBy(F.col("cloud_id").alias("mesh_id")).agg(F.count_if("_filled").alias("_present"), F.count_if(~finite).alias("_broken"))
     problem = (
         F.when(F.coalesce(F.get("_head", F.lit(0)), F.lit("")) != "ply", "not a PLY file")
         .when(F.coalesce(F.get("_head", F.lit(1)), F.lit("")) != "format ascii 1.0", "not ASCII PLY 1.0")
         .when(F.col("_end").isNull(), "the header has no end").when(F.col("_n").isNull() | (F.col("_n") < 1), "no vertices are announced")
         .when((F.col("_px") < 0) | (F.col("_py") < 0) | (F.col("_pz") < 0), "x, y or z is not among the properties")
         .when(F.coalesce("_present", F.lit(0)) < F.col("_n"), "fewer vertices than announced")
+        .when(F.col("_broken") > 0, "a coordinate is not a finite number")
     )
-    judged = files.withColumn("reason", problem)
-    fields = F.split("text", " ")
-    points = body.join(judged.filter("reason IS NOT NULL").select("mesh_id"), "mesh_id", "left_anti").select(
-        F.col("mesh_id").alias("cloud_id"), (F.col("line") - F.col("_end") - 1).alias("point_id"),
-        *[_number(F.get(fields, F.col(f"_p{a}"))).alias(a) for a in AXES])
-    broken = points.filter(~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z"))))
-    bad = broken.groupBy("cloud_id").agg(F.lit("a coordinate is not a finite number").alias("reason"))
-    rejected = judged.filter("reason IS NOT NULL").select(F.col("mesh_id").alias("cloud_id"), "reason")
-    return points.join(bad, "cloud_id", "left_anti"), rejected.unionByName(bad)
+    judged = files.select("mesh_id").join(heads, "mesh_id", "left").join(present, "mesh_id", "left").withColumn("reason", problem)
+    rejected = cut_lineage(judged.filter("reason IS NOT NULL").select(F.col("mesh_id").alias("cloud_id"), "reason"))
+    # The points are many and stay where they are if no file is rejected.
+    kept = points if rejected.isEmpty() else points.join(rejected.select("cloud_id"), "cloud_id", "left_anti")
+    return kept.drop("_filled"), rejected
 
 
 def ply_text(points: DataFrame) -> DataFrame:
