@@ -23,6 +23,8 @@ from cumulo.functions.draws import level_weights, replicate_names, tally
 
 #: Members of a slice, and replicates of a block.
 SLICE, BLOCK = 1024, 500
+#: Draws of a task, about, where they are counted.
+TASK_DRAWS = 1 << 23
 
 
 def _lists(arrays: Sequence[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -30,13 +32,13 @@ def _lists(arrays: Sequence[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def _deal(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt to tasks by their keys, as many as the session shuffles to.
+def _deal(rows: DataFrame, *keys: str, total: int = 0) -> DataFrame:
+    """Rows dealt to tasks by their keys, as many as the session shuffles to, or as ``total`` draws ask for.
 
     The rows are few and small but stand for many draws each. Adaptive coalescing
     sees bytes and not draws, and without an explicit count it puts them all into one task.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DRAWS)), *keys)
 
 
 def cell_name(seed: object, cell: Sequence[str]) -> Column:
@@ -67,10 +69,11 @@ def group_counts(cells: DataFrame, replicates: int, role: str) -> DataFrame:
     return _deal(blocks, "_cell", "_first").mapInArrow(count, "_cell string, _group long, _first int, _n array<long>")
 
 
-def slice_counts(groups: DataFrame, width: int = SLICE) -> DataFrame:
+def slice_counts(groups: DataFrame, width: int = SLICE, total: int = 0) -> DataFrame:
     """(_cell, _group, _slice, _first, _n): the draws of every replicate by slices of ``width`` members.
 
-    ``groups``: _cell, _group, _size, _first, _n (draws of each replicate of a block).
+    ``groups``: _cell, _group, _size, _first, _n (draws of each replicate of a block). ``total`` is
+    the number of all draws, if known.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +88,19 @@ def slice_counts(groups: DataFrame, width: int = SLICE) -> DataFrame:
                      pa.array([first] * slices, pa.int32()), _lists(list(counts.T), pa.int64())],
                     names=["_cell", "_group", "_slice", "_first", "_n"])
 
-    rows = _deal(groups.select("_cell", "_group", F.col("_size").cast("long"), "_first", "_n"), "_cell", "_group", "_first")
+    rows = _deal(groups.select("_cell", "_group", F.col("_size").cast("long"), "_first", "_n"), "_cell", "_group", "_first", total=total)
     return rows.mapInArrow(count, "_cell string, _group long, _slice long, _first int, _n array<long>")
 
 
 def drawn_sums(values: DataFrame, counts: DataFrame, fold: Callable[[str, int, np.ndarray, list[int]], np.ndarray], outputs: int,
-               width: int = SLICE) -> DataFrame:
+               width: int = SLICE, total: int = 0) -> DataFrame:
     """(_cell, _r, _n, _sum_0, ...): folded sums over a replicate's drawn members, and the number of draws.
 
     ``values``: _cell, _group, _size, _levels (sizes of the cell's other factors), _member
     (0-based in its group), _values (as many doubles in every row of a cell). ``counts``: from
     ``slice_counts``. ``fold(cell, first, sums, levels)`` turns a block's sums of the values,
-    one row per replicate, into ``outputs`` columns; it must be linear in the sums.
+    one row per replicate, into ``outputs`` columns; it must be linear in the sums. ``total`` is
+    the number of all draws, if known.
     """
     slices = values.withColumn("_slice", F.floor(F.col("_member") / width)).groupBy("_cell", "_group", "_slice").agg(
         F.any_value("_size").alias("_size"), F.any_value("_levels").alias("_levels"),
@@ -121,7 +125,7 @@ def drawn_sums(values: DataFrame, counts: DataFrame, fold: Callable[[str, int, n
 
     columns = [f"_sum_{k}" for k in range(outputs)]
     names = ["_cell", "_r", "_n", *columns]
-    dealt = _deal(met, "_cell", "_group", "_slice", "_first")
+    dealt = _deal(met, "_cell", "_group", "_slice", "_first", total=total)
     parts = dealt.mapInArrow(add, "_cell string, _r int, _n long, " + ", ".join(f"{c} double" for c in columns))
     return parts.groupBy("_cell", "_r").agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in columns])
 

@@ -18,6 +18,7 @@ from cumulo.functions.draws import level_draws, level_weights
 from cumulo.functions.formulas import FLOOR, improvement_percent, square
 from cumulo.operators.ranking import rank_in_group
 from cumulo.operators.resampling import cell_name, design_statistic, drawn_sums, group_counts, replicate_blocks, slice_counts
+from cumulo.session import cut_lineage
 
 
 def _interval(draws: DataFrame, keys: Sequence[str], value: str, confidence: float) -> DataFrame:
@@ -51,11 +52,14 @@ def paired_bootstrap(pairs: DataFrame, *, cell: Sequence[str], cloud: Sequence[s
     folds to two sums.
     """
     cell, cloud = list(cell), list(cloud)
+    # Stored: pairs are read six times, and they are folds and joins of the given rows.
+    pairs = cut_lineage(pairs.select(*cell, *cloud, seed_column, base, candidate))
     seeds = _unit_index(pairs, cell, [seed_column], "_s")
-    clouds = _unit_index(pairs, cell, cloud, "_c")
-    sizes = seeds.groupBy(*cell).agg(F.count(F.lit(1)).alias("seeds")).join(
+    clouds = cut_lineage(_unit_index(pairs, cell, cloud, "_c"))
+    sizes = cut_lineage(seeds.groupBy(*cell).agg(F.count(F.lit(1)).alias("seeds")).join(
         clouds.groupBy(*cell).agg(F.count(F.lit(1)).alias("clouds")), cell
-    ).withColumn("_cell", cell_name(seed, cell))
+    ).withColumn("_cell", cell_name(seed, cell)))
+    drawn = (sizes.agg(F.sum("clouds")).first()[0] or 0) * replicates
     summed = pairs.join(seeds, [*cell, seed_column]).join(clouds, [*cell, *cloud]).groupBy(*cell, "_c", "_s").agg(
         F.array(F.sum(base), F.sum(candidate)).alias("_v"))
     values = summed.groupBy(*cell, "_c").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_v"))).alias("_of")).join(sizes, cell).select(
@@ -68,7 +72,7 @@ def paired_bootstrap(pairs: DataFrame, *, cell: Sequence[str], cloud: Sequence[s
         weights = level_weights(name, "seed", first, len(sums), levels[0])
         return np.einsum("rs,rsk->rk", weights, sums.reshape(len(sums), levels[0], 2))
 
-    sums = drawn_sums(values, slice_counts(groups), fold, 2).join(sizes, "_cell")
+    sums = drawn_sums(values, slice_counts(groups, total=drawn), fold, 2, total=drawn).join(sizes, "_cell")
     total = F.col("_n") * F.col("seeds")
     draws = sums.withColumn("_gain", improvement_percent(F.sqrt(F.col("_sum_0") / total), F.sqrt(F.col("_sum_1") / total)))
     point = pairs.groupBy(*cell).agg(F.sqrt(F.avg(base)).alias("base_rmse"), F.sqrt(F.avg(candidate)).alias("rmse")).withColumn(

@@ -81,6 +81,38 @@ def test_constant_bootstrap(spark):
     assert (row.seeds, row.clouds, row.replicates) == (3, 12, 40)
 
 
+def test_bootstrap_reads_its_pairs_once(spark):
+    """The pairs may be folds and joins of large tables; and draws are dealt to tasks by their number."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pairs = seed_matrix(spark, 3, 12, 1.0, .81)
+    row = sx.paired_bootstrap(pairs.mapInArrow(counted, pairs.schema), cell=["split"], cloud=["family", "model_id"], replicates=40).first()
+    assert row.clouds == 12 and read.value == 36
+    assert rp._deal(pairs, "model_id", total=9 * rp.TASK_DRAWS + 1).rdd.getNumPartitions() == 10
+
+
+def test_tallies_at_the_ends_of_blocks_and_chunks():
+    """Names that fill a hash block, streams of several chunks, counts that do not fill a digest."""
+
+    def plain(name, count, bound):
+        parts = [int(hashlib.sha256(f"{name}:{k}".encode()).hexdigest()[16 * q:16 * q + 15], 16) for k in range(-(-count // 4)) for q in range(4)]
+        return np.array(parts[:count], dtype=np.int64) % bound
+
+    for length in (1, 50, 52, 53, 54, 55, 61, 62, 63, 64, 117, 126, 127, 200):
+        name = "k" * length
+        assert (draws.draws(name, 0, 41, 1000) == plain(name, 41, 1000)).all()
+    most = draws.CHUNK * draws.PER_DIGEST + 3
+    names, wanted = ["a", "b", "c", "d"], np.array([most, 0, 7, 5])
+    for bound, width in ((2048, 1024), (1000, 1), (2999, 1000)):
+        expected = [np.bincount(plain(n, w, bound) // width, minlength=-(-bound // width)) if w else np.zeros(-(-bound // width), int) for n, w in zip(names, wanted)]
+        assert (draws.tally(names, wanted, bound, width) == np.stack(expected)).all()
+
+
 def test_variance_components(spark):
     matrix = np.array([[0, .01, -.01], [1, 1.01, .99]])
     cells = spark.createDataFrame([("a", i, j, float(v)) for (i, j), v in np.ndenumerate(matrix)], "k string, d int, r int, v double")
