@@ -61,6 +61,43 @@ def test_sources_meet_their_own_leaf_and_few_others(spark, monkeypatch):
     assert len(met) == 2 and met[0] == 500 and met[1] < 500 * 8  # of 47 leaves at least
 
 
+def test_descent_by_arrays_finds_the_closest_leaf_and_all_others():
+    import cumulo.operators.neighbors as module
+    draw = np.random.default_rng(17)
+    leaves = []
+    for cloud, paths in (("a", ["1", "22", "241", "243", "3"]), ("b", [""])):
+        for path in paths:
+            low = draw.random(3) * 10
+            leaves.append((cloud, path, int(draw.integers(1, 9)), *low, *(low + draw.random(3) * 3)))
+    tree = module.LeafTree(leaves)
+    xyz = draw.random((3, 200)) * 14 - 2
+    ends = {(cloud, path): (n, np.array(ends).reshape(2, 3)) for cloud, path, n, *ends in leaves}
+    for cloud in "ab":
+        node, limit = tree.closest(xyz, np.full(200, tree.root[cloud]), 4)
+        own = {path: (np.maximum(np.maximum(box[0][:, None] - xyz, xyz - box[1][:, None]), 0) ** 2).sum(axis=0) for (c, path), (_, box) in ends.items() if c == cloud}
+        assert {tree.paths[n] for n in node} <= set(own)
+        assert (limit < np.inf).all() == (sum(n for (c, _), (n, _) in ends.items() if c == cloud) >= 4)
+        bound = draw.random(200) * 40
+        place, leaf = tree.within(xyz, np.full(200, tree.root[cloud]), bound)
+        assert sorted(zip(place.tolist(), [tree.paths[n] for n in leaf])) == sorted((i, path) for path, low in own.items() for i in np.flatnonzero(low <= bound).tolist())
+
+
+@pytest.mark.parametrize("options", [{}, {"k": 3}, {"k": 2, "exclude_self": True}])
+def test_sent_and_joined_boxes_give_the_same_rows(spark, monkeypatch, options):
+    """Repeated sources, ids that stand for several places, and clouds without targets or sources."""
+    import cumulo.operators.neighbors as module
+    monkeypatch.setattr(module, "LEAF_LIMIT", 8)
+    targets = random_clouds({"p": 90, "q": 30, "none": 5})
+    a = clouds(spark, random_clouds({"p": 70, "q": 20, "alone": 4}))
+    a = a.unionByName(a.filter("point_id < 9")).unionByName(a.filter("point_id = 3").withColumn("x", F.col("x") + 1.5))
+    b = clouds(spark, targets)
+    sent = table(nearest(a, b, bound=1, **options), "cloud_id", "point_id", "rank")
+    monkeypatch.setattr(module, "SENT_LEAVES", 0)
+    joined = table(nearest(a, b, bound=1, **options), "cloud_id", "point_id", "rank")
+    pd.testing.assert_frame_equal(sent, joined)
+    assert set(sent["cloud_id"]) == {"p", "q"} and len(sent) == 90 * options.get("k", 1)
+
+
 def test_cells_of_uneven_clouds_are_bounded(spark, monkeypatch):
     import cumulo.operators.neighbors as module
     draw = np.random.default_rng(7)
